@@ -1,0 +1,186 @@
+"""Ranking a large table of texts for a block of questions.
+
+Each task holds one block of questions in an inverted n-gram index, streams its share of the
+texts past it and keeps the k best rows per question, so a task emits at most k rows per
+question however many texts it reads.  The questions are measured before they are broadcast:
+a question table over ``BLOCK_BYTES`` is cut by hash into blocks below that size, and every
+block makes its own pass over the texts.
+"""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from math import ceil
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folia.sources.tables import measured_bytes
+
+GRAM_SIZES = (2, 3, 4)
+# A question of n characters has fewer than 3n distinct grams of 8 bytes each, so the postings
+# of one block stay near 50 MB in a worker.
+BLOCK_BYTES = 2 * 1024 * 1024
+TEXTS_PER_STEP = 256
+
+
+def gram_codes(text: str) -> np.ndarray:
+    """Every n-gram of a normalised text packed into 64 bits (its characters fit 16 bits)."""
+    chars = np.frombuffer(text.encode("utf-16-le"), dtype=np.uint16).astype(np.uint64)
+    grams, parts = chars, []
+    for size in GRAM_SIZES:
+        if len(chars) < size:
+            break
+        grams = (grams[:-1] << np.uint64(16)) | chars[size - 1 :]
+        parts.append(grams)
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
+
+
+class QuestionIndex:
+    """Inverted n-gram index over one block of normalised questions.
+
+    ``features`` carries the question columns a scorer wants to compare.
+    """
+
+    def __init__(self, norms: list[str], features: pd.DataFrame) -> None:
+        self.norms, self.features, self.size = norms, features, len(norms)
+        by_gram, counts = defaultdict(list), []
+        self.same = defaultdict(list)
+        for q, norm in enumerate(norms):
+            codes = np.unique(gram_codes(norm)).tolist()
+            counts.append(len(codes))
+            self.same[norm].append(q)
+            for code in codes:
+                by_gram[code].append(q)
+        self.gram_counts = np.array(counts, dtype=np.float64)
+        self.vocabulary = np.array(sorted(by_gram), dtype=np.uint64)
+        self.lengths = np.array([len(by_gram[c]) for c in self.vocabulary.tolist()], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.postings = np.array([q for c in self.vocabulary.tolist() for q in by_gram[c]], dtype=np.int64)
+        self.gramless = [q for q, n in enumerate(counts) if n == 0 and norms[q]]
+        self.containing = lru_cache(maxsize=50_000)(self._containing)
+
+    def _known(self, codes: np.ndarray) -> np.ndarray:
+        """Vocabulary positions of the codes that occur in some question, each once."""
+        if not len(self.vocabulary) or not len(codes):
+            return np.empty(0, dtype=np.int64)
+        at = np.searchsorted(self.vocabulary, codes)
+        at[at == len(self.vocabulary)] = 0
+        seen = np.zeros(len(self.vocabulary), dtype=bool)
+        seen[at[self.vocabulary[at] == codes]] = True
+        return np.flatnonzero(seen)
+
+    def shared_grams(self, text: str) -> np.ndarray:
+        """Number of distinct grams each question shares with the text."""
+        ids = self._known(gram_codes(text))
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        offsets = np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.postings[offsets], minlength=self.size)
+
+    def contained_in(self, text: str, shared: np.ndarray | None = None) -> list[int]:
+        """Questions that occur in the text; only one whose grams all occur can."""
+        shared = self.shared_grams(text) if shared is None else shared
+        complete = np.flatnonzero((shared > 0) & (shared == self.gram_counts)).tolist()
+        return [q for q in (*complete, *self.gramless) if self.norms[q] in text]
+
+    def _containing(self, keyword: str) -> list[int]:
+        """Questions that contain a keyword; its rarest gram narrows the candidates."""
+        codes = np.unique(gram_codes(keyword))
+        ids = self._known(codes)
+        if len(ids) < len(codes):
+            return []
+        candidates = range(self.size)
+        if len(ids):
+            rarest = ids[np.argmin(self.lengths[ids])]
+            start = self.starts[rarest]
+            candidates = self.postings[start : start + self.lengths[rarest]].tolist()
+        return [q for q in candidates if keyword in self.norms[q]]
+
+
+# Scores of a batch of texts, one row per text and one column per question; NaN is no hit.
+Scorer = Callable[[QuestionIndex, pd.DataFrame], np.ndarray]
+
+
+def nonzero(scores: np.ndarray) -> np.ndarray:
+    """A score of zero is no hit."""
+    return np.where(scores == 0, np.nan, scores)
+
+
+def make_index(block: pd.DataFrame) -> QuestionIndex:
+    return QuestionIndex(block["q_norm"].tolist(), block)
+
+
+def question_blocks(questions: DataFrame, size: Column, limit: int = BLOCK_BYTES) -> list[pd.DataFrame]:
+    """Questions in blocks whose summed ``size`` has been checked."""
+    rows, total = measured_bytes(questions, size)
+    n = max(1, ceil(total / limit))
+    if n == 1:
+        return [questions.toPandas()] if rows else []
+    bucket = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    blocks = (questions.filter(bucket == i).toPandas() for i in range(n))
+    return [b for b in blocks if len(b)]
+
+
+def stream_top_k(
+    texts: DataFrame,
+    features: DataFrame,
+    scorer: Scorer,
+    ties: tuple[tuple[str, bool], ...],
+    k: int,
+    question_columns: list[str] | None = None,
+) -> DataFrame:
+    """Per task the k best texts for each question: (query_id, score, tie columns).
+
+    The caller ranks the task winners with the same order.
+    """
+    wanted = features.select("query_id", "q_norm", *dict.fromkeys(question_columns or []))
+    blocks = question_blocks(wanted, F.octet_length("q_norm") + 64)
+    return keep_best(texts, features, blocks, make_index, scorer, ties, k)
+
+
+def keep_best(texts: DataFrame, questions: DataFrame, blocks, prepare, scorer, ties, k: int) -> DataFrame:
+    """One pass over ``texts`` per block; ``prepare(block)`` builds what ``scorer`` reads."""
+    context = texts.sparkSession.sparkContext
+    kinds = {f.name: f.dataType.simpleString() for f in [*questions.schema, *texts.schema]}
+    schema = f"query_id {kinds['query_id']}, score double, " + ", ".join(f"{c} {kinds[c]}" for c, _ in ties)
+    parts = [texts.mapInPandas(_best_rows(context.broadcast(b), prepare, scorer, ties, k), schema) for b in blocks]
+    if not parts:
+        return texts.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _best_rows(shared, prepare, scorer: Scorer, ties, k: int):
+    names = [c for c, _ in ties]
+    order = ["q", "score", *names]
+    ascending = [True, False, *(up for _, up in ties)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = shared.value
+        prepared = prepare(block)
+        best = None
+        floor = np.full(len(block), -np.inf)
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS_PER_STEP):
+                part = batch.iloc[at : at + TEXTS_PER_STEP]
+                scores = scorer(prepared, part)
+                row, q = np.nonzero(scores >= floor)
+                if not len(row):
+                    continue
+                new = part[names].iloc[row].reset_index(drop=True)
+                new["q"], new["score"] = q, scores[row, q]
+                pool = new[order] if best is None else pd.concat([best, new[order]], ignore_index=True)
+                best = pool.sort_values(order, ascending=ascending, kind="stable").groupby("q").head(k)
+                filled = best.groupby("q")["score"].agg(["size", "min"])
+                filled = filled[filled["size"] == k]
+                floor[filled.index.to_numpy(dtype=np.int64)] = filled["min"].to_numpy(dtype=np.float64)
+        if best is not None:
+            out = best[["score", *names]].copy()
+            out.insert(0, "query_id", block["query_id"].to_numpy()[best["q"].to_numpy(dtype=np.int64)])
+            yield out
+
+    return run
