@@ -81,14 +81,14 @@ def path_stem(path) -> Column:
 
 def char_grams(normalized: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
     """Distinct character n-grams of an already normalised string."""
-    chars = F.split(normalized, "")
 
-    def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(normalized) - (n - 1))
+    def of_size(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(chars) - (n - 1))
         grams = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
-        return F.when(F.length(normalized) >= n, grams).otherwise(F.slice(chars, 1, 0))
+        return F.when(F.size(chars) >= n, grams).otherwise(F.slice(chars, 1, 0))
 
-    return F.array_distinct(F.concat(*[of_size(n) for n in sizes]))
+    chars = F.split(normalized, "")
+    return F.array_distinct(let(chars, lambda c: F.concat(*[of_size(c, n) for n in sizes])))
 
 
 def content_terms(value) -> Column:

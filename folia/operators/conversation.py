@@ -80,5 +80,5 @@ def link_citations(answer, links: Column) -> Column:
 
 def citation_audit(answers: DataFrame, sources: DataFrame, key: str = "answer_id") -> DataFrame:
     """Citations that no source of the answer backs: (key, index)."""
-    cited = answers.select(key, F.explode(citation_numbers("answer")).cast("int").alias("index"))
+    cited = answers.select(key, F.explode(F.transform(citation_numbers("answer"), lambda n: n.cast("int"))).alias("index"))
     return cited.join(sources.select(key, F.col("index").cast("int").alias("index")), [key, "index"], "left_anti")

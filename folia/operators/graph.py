@@ -17,7 +17,7 @@ def document_order(doc_id) -> Column:
     return F.split(T.col(doc_id), "/")
 
 
-def semantic_relation(category: Column, kind: str, text: Column) -> Column:
+def semantic_relation(category: Column, kind: str, text: Column, profile: P.Profile = P.REGULATORY_ZH) -> Column:
     """Typed relation a mention stands for, judged by the wording around it."""
     if kind == "attachment":
         return (
@@ -27,12 +27,12 @@ def semantic_relation(category: Column, kind: str, text: Column) -> Column:
         )
     joined = F.replace(text, F.lit(" "), F.lit(""))
     from_notice = (
-        F.when(T.has_any(joined, P.ADJUST_MARKERS), "adjusts_rule")
-        .when(T.has_any(joined, P.EXTEND_MARKERS), "extends_transition")
-        .when(T.has_any(joined, P.CLARIFY_MARKERS), "clarifies_formula")
+        F.when(T.has_any(joined, profile.adjust_markers), "adjusts_rule")
+        .when(T.has_any(joined, profile.extend_markers), "extends_transition")
+        .when(T.has_any(joined, profile.clarify_markers), "clarifies_formula")
         .otherwise("applies_to_rule")
     )
-    elsewhere = F.when(T.has_any(joined, P.APPLY_MARKERS), "applies_to_rule").otherwise("mentions_rule")
+    elsewhere = F.when(T.has_any(joined, profile.apply_markers), "applies_to_rule").otherwise("mentions_rule")
     return F.when(category == "notices", from_notice).otherwise(elsewhere)
 
 
@@ -44,7 +44,7 @@ def mention_targets(catalog: DataFrame, profile: P.Profile = P.REGULATORY_ZH) ->
     """(target_kind, target_number) to the last document in reading order that bears the number."""
     numbers = [
         F.struct(F.lit(kind).alias("target_kind"), T.first_match("title", pattern, 1).alias("target_number"))
-        for kind, pattern in profile.mention_patterns.items()
+        for kind, pattern in (profile.title_patterns or profile.mention_patterns).items()
     ]
     return (
         catalog.select("doc_id", F.inline(F.array(*numbers)))
@@ -60,7 +60,7 @@ def mention_candidates(sections: DataFrame, profile: P.Profile = P.REGULATORY_ZH
     def of_kind(kind: str, labels: str) -> Column:
         head, tail = profile.mention_labels[kind].split("{}")
         fallback = "mentions_rule" if kind == "rule" else "mentions_attachment"
-        relation = semantic_relation(F.col("category"), kind, F.col("text"))
+        relation = semantic_relation(F.col("category"), kind, F.col("text"), profile)
         return F.transform(
             labels,
             lambda label, pos: F.struct(
@@ -75,7 +75,8 @@ def mention_candidates(sections: DataFrame, profile: P.Profile = P.REGULATORY_ZH
             ),
         )
 
-    both = F.concat(of_kind("rule", "mentions_rules"), of_kind("attachment", "mentions_attachments"))
+    columns = {"rule": "mentions_rules", "attachment": "mentions_attachments"}
+    both = F.concat(*[of_kind(kind, columns[kind]) for kind in profile.mention_patterns])
     return sections.select(
         F.col("doc_id").alias("source"),
         "section_idx",
@@ -233,19 +234,22 @@ def explain_formulas(formulas: DataFrame, sections: DataFrame, *, lines_per_vari
     chosen = formula_sections(formulas, sections)
     text = F.coalesce("section_text", F.lit(""))
 
-    def evidence(variable: Column) -> Column:
-        forms = F.filter(
-            F.transform(
-                F.array(variable, F.replace(variable, F.lit("_"), F.lit("")), F.substring_index(variable, "_", 1)),
-                T.norm_text,
-            ),
-            lambda v: v != "",
-        )
-        named = F.filter(
-            F.transform(T.lines(text), lambda r: F.btrim(r, F.lit(" -\t"))),
-            lambda r: (r != "") & F.exists(forms, lambda v: F.contains(T.norm_text(r), v)),
+    def naming(rows: Column, forms: Column) -> Column:
+        return F.filter(rows, lambda r: F.exists(forms, lambda v: F.contains(r["norm"], v)))
+
+    def evidence(variable: Column, rows: Column) -> Column:
+        spellings = F.array(variable, F.replace(variable, F.lit("_"), F.lit("")), F.substring_index(variable, "_", 1))
+        forms = F.filter(F.transform(spellings, T.norm_text), lambda v: v != "")
+        named = T.let(forms, lambda f: naming(rows, f))
+        return F.transform(F.slice(named, 1, lines_per_variable), lambda r: T.truncate(r["line"], 180))
+
+    shown = F.filter(F.transform(T.lines(text), lambda r: F.btrim(r, F.lit(" -\t"))), lambda r: r != "")
+    formed = F.transform(shown, lambda r: F.struct(r.alias("line"), T.norm_text(r).alias("norm")))
+
+    def explain(rows: Column) -> Column:
+        return F.transform(
+            "variables", lambda v: F.struct(v.alias("variable"), evidence(v, rows).alias("evidence"))
         )
-        return F.transform(F.slice(named, 1, lines_per_variable), lambda r: T.truncate(r, 180))
 
     cleaned = formulas.withColumn("variables", formula_variables("formula_text"))
     return (
@@ -253,9 +257,7 @@ def explain_formulas(formulas: DataFrame, sections: DataFrame, *, lines_per_vari
         .join(sections.select("section_id", F.col("text").alias("section_text")), "section_id", "left")
         .select(
             "formula_id", "doc_id", "title", "path", "article_no", "section_heading", "formula_text", "variables",
-            F.transform(
-                "variables", lambda v: F.struct(v.alias("variable"), evidence(v).alias("evidence"))
-            ).alias("variable_explanations"),
+            T.let(formed, explain).alias("variable_explanations"),
             F.when(text != "", T.truncate(text, 700)).otherwise("").alias("applicability_evidence"),
             "section_id",
         )

@@ -10,14 +10,16 @@ from folia.operators import graph as G
 from folia.operators import lexical as L
 from folia.operators import routing as R
 from folia.operators.titles import resolve_documents, search_titles
+from folia.sources.shared import stored
 
 
 def plan(questions: DataFrame, tables: dict[str, DataFrame], *, limit: int = 5) -> DataFrame:
     """Routing record per question (see ``routing.plan_questions``)."""
     typed = questions.withColumn("question_type", R.question_type("question"))
     searchable = typed.filter(F.col("question_type") != "catalog")
-    title_hits = search_titles(searchable, tables["doc_catalog"], limit=limit)
-    scope = R.resolve_scope(typed, title_hits)
+    # Title hits and scope feed several later searches; a few rows per question are stored once.
+    title_hits = stored(search_titles(searchable, tables["doc_catalog"], limit=limit), "title_hits")
+    scope = stored(R.resolve_scope(typed, title_hits), "scope")
     # Summaries are searched inside the scope, else inside the title hits, else everywhere.
     scoped = scope.select("query_id", F.explode("scoped_doc_ids").alias("doc_id"))
     by_title = title_hits.select("query_id", "doc_id").join(
@@ -27,7 +29,7 @@ def plan(questions: DataFrame, tables: dict[str, DataFrame], *, limit: int = 5)
         searchable.select("query_id", "question"), tables["doc_summaries"], tables["doc_catalog"],
         limit=limit, scope=scoped.unionByName(by_title),
     )
-    return R.plan_questions(typed, title_hits, summary_hits, scope)
+    return stored(R.plan_questions(typed, title_hits, summary_hits, scope), "plans")
 
 
 def collect_evidence(plans: DataFrame, tables: dict[str, DataFrame], *, limit: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +57,7 @@ def collect_evidence(plans: DataFrame, tables: dict[str, DataFrame], *, limit: i
     resolved = resolve_documents(unscoped, tables["doc_catalog"]).select("query_id", "doc_id")
     wanted = scope.join(related.select("query_id"), "query_id", "left_semi").unionByName(resolved)
     edges = G.trace_relations(tables["relation_edges"], wanted, limit=limit)
-    return evidence, edges
+    return stored(evidence, "evidence"), stored(edges, "relations")
 
 
 def answer(plans: DataFrame, tables: dict[str, DataFrame], manifest: DataFrame, *, limit: int = 5) -> DataFrame:

@@ -12,7 +12,7 @@ from folia.operators import catalog as C
 from folia.operators import graph as G
 from folia.operators import sections as X
 from folia.operators.cleaning import clean_body, source_category
-from folia.sources.sinks import build_manifest, normalized_markdown, write_artifact
+from folia.sources.sinks import COUNT_FIELDS, build_manifest, normalized_markdown, write_artifact
 
 
 def normalize_corpus(raw: DataFrame) -> DataFrame:
@@ -50,6 +50,12 @@ def _derive(built: DataFrame, sections: DataFrame, formulas: DataFrame, profile:
     }
 
 
+def load_ready_data(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """The artifact tables stored below ``root``."""
+    names = (*COUNT_FIELDS, "relation_nodes")
+    return {name: spark.read.format(fmt).load(f"{root.rstrip('/')}/{name}") for name in names}
+
+
 def build_ready_data(
     spark: SparkSession, documents: DataFrame, root: str, profile: P.Profile = P.REGULATORY_ZH, *, fmt: str = "parquet"
 ) -> DataFrame:

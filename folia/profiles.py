@@ -2,8 +2,7 @@
 
 Every operator takes its markers, weights and caps from a ``Profile`` so one set of
 operators can serve several corpora.  ``REGULATORY_ZH`` carries the values of the
-Chinese regulatory corpus; ``GENERIC`` is the same vocabulary with the text patterns that
-fit plain web prose.
+Chinese regulatory corpus; ``WEB`` is the same vocabulary with link mentions for web pages.
 """
 
 from __future__ import annotations
@@ -244,16 +243,27 @@ class Profile:
     doc_context_tokens: int = 120_000
     section_context_tokens: int = 16_000
     similarity_threshold: float = 0.0
-    mention_patterns: dict = field(
-        default_factory=lambda: {"rule": RULE_NO, "attachment": ATTACHMENT_NO}
-    )
-    mention_labels: dict = field(
-        default_factory=lambda: {"rule": "规则第{}号", "attachment": "附件{}"}
-    )
+    mention_patterns: dict = field(default_factory=lambda: {"rule": RULE_NO, "attachment": ATTACHMENT_NO})
+    mention_labels: dict = field(default_factory=lambda: {"rule": "规则第{}号", "attachment": "附件{}"})
+    # Patterns that find a document's own number in its title; None means the mention patterns.
+    title_patterns: dict | None = None
+    adjust_markers: tuple = ADJUST_MARKERS
+    extend_markers: tuple = EXTEND_MARKERS
+    clarify_markers: tuple = CLARIFY_MARKERS
+    apply_markers: tuple = APPLY_MARKERS
 
 
 REGULATORY_ZH = Profile("regulatory_zh", doc_prefix="Knowledge_Base_MarkDown/")
-GENERIC = replace(REGULATORY_ZH, name="generic", doc_prefix="corpus/")
+# Web prose: a document mentions another by a site-relative link to its first title word.
+WEB = replace(
+    REGULATORY_ZH,
+    name="web",
+    doc_prefix="corpus/",
+    mention_patterns={"rule": r"\]\(/([^)\s]+)\)"},
+    mention_labels={"rule": "/{}"},
+    title_patterns={"rule": r"^(\S+)"},
+    apply_markers=("thethe", "enen", "onon"),
+)
 # Caps of the catalog that is derived on the fly when no built catalog exists.
 FALLBACK_CATALOG = replace(
     REGULATORY_ZH, name="fallback_catalog", heading_cap=6, paragraph_cap=3, summary_chars=140, keyword_cap=30
