@@ -91,11 +91,23 @@ def char_grams(normalized: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column
     return F.array_distinct(let(chars, lambda c: F.concat(*[of_size(c, n) for n in sizes])))
 
 
+def _words(value) -> Column:
+    # Runs are maximal, so asking for three characters leaves out the shorter words.
+    return F.regexp_extract_all(F.lower(col(value)), F.lit(P.TERM), F.lit(0))
+
+
+def _stopwords() -> Column:
+    return F.array(*[F.lit(w) for w in P.STOPWORDS])
+
+
 def content_terms(value) -> Column:
-    """Lower-case word tokens longer than two characters and not stop words, in text order."""
-    words = F.regexp_extract_all(F.lower(col(value)), F.lit(P.TERM), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in P.STOPWORDS])
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    """Lower-case words longer than two characters and not stop words, in text order."""
+    return F.filter(_words(value), lambda w: ~F.array_contains(_stopwords(), w))
+
+
+def distinct_terms(value) -> Column:
+    """Content terms without repetition; the hash-based set difference suits long texts."""
+    return F.array_except(_words(value), _stopwords())
 
 
 def keyword_tokens(values: Iterable[Column], cap: int = P.REGULATORY_ZH.keyword_cap) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions import text as T
-from folia.operators.ranking import QuestionIndex, nonzero, stream_top_k
+from folia.operators.ranking import gram_codes, keep_best, make_index, nonzero, question_blocks
 
 # --- Fixed values: weights of a file name match ------------------------------------------
 HINT_WEIGHT = 50.0
@@ -17,16 +17,46 @@ BASE_SCORE = 1.5
 SCORE_SCALE = 100.0
 
 
-def longest_common_run(a: str, b: str) -> int:
-    """Length of the longest substring the two texts share."""
-    best = 0
-    for start in range(len(a)):
-        while start + best < len(a) and a[start : start + best + 1] in b:
-            best += 1
-    return best
+class _Block:
+    """Question index plus the positions of every 4-gram in the questions laid end to end."""
 
+    def __init__(self, block: pd.DataFrame) -> None:
+        self.index = make_index(block)
+        gap = np.zeros(1, dtype=np.uint64)
+        pieces = [x for norm in self.index.norms for x in (run_codes(norm), gap)]
+        codes = np.concatenate(pieces) if pieces else gap
+        self.owner = np.repeat(np.arange(self.index.size), [len(run_codes(n)) + 1 for n in self.index.norms])
+        self.order = np.argsort(codes, kind="stable")
+        self.codes = codes[self.order]
 
-def _score(index: QuestionIndex, part: pd.DataFrame) -> np.ndarray:
+    def common_runs(self, text: str) -> np.ndarray:
+        """Length of the longest substring each question shares with the text, zero below four.
+
+        Two matching 4-grams at neighbouring places of both texts continue one shared run, so
+        the runs follow from the gram positions without comparing any pair of texts.
+        """
+        wanted = run_codes(text)
+        low, high = np.searchsorted(self.codes, wanted), np.searchsorted(self.codes, wanted, side="right")
+        longest = np.zeros(self.index.size, dtype=np.int64)
+        run, touched = np.zeros(len(self.codes) + 1, dtype=np.int64), np.empty(0, dtype=np.int64)
+        for start, end in zip(low.tolist(), high.tolist()):
+            here = self.order[start:end]
+            grown = run[here - 1] + 1
+            run[touched] = 0
+            run[here] = grown
+            touched = here
+            np.maximum.at(longest, self.owner[here], grown)
+        return np.where(longest > 0, longest + MIN_COMMON_RUN - 1, 0)
+
+
+def run_codes(text: str) -> np.ndarray:
+    """Codes of the 4-grams of a normalised text in order."""
+    n = len(text) - MIN_COMMON_RUN + 1
+    return gram_codes(text)[-n:] if n > 0 else np.empty(0, dtype=np.uint64)
+
+
+def _score(block: _Block, part: pd.DataFrame) -> np.ndarray:
+    index = block.index
     out = np.zeros((len(part), index.size))
     hints = [list(h) for h in index.features["q_hints"]]
     hinted = [q for q, h in enumerate(hints) if h]
@@ -34,15 +64,10 @@ def _score(index: QuestionIndex, part: pd.DataFrame) -> np.ndarray:
         if not r.s_norm:
             continue
         best = out[i]
-        shared = index.shared_grams(r.s_norm)
-        inside, around = set(index.contained_in(r.s_norm, shared)), set(index.containing(r.s_norm))
-        for q in np.flatnonzero(shared).tolist() or []:
-            if q not in inside and q not in around:
-                run = longest_common_run(r.s_norm, index.norms[q])
-                best[q] = run if run >= MIN_COMMON_RUN else 0.0
-        for q in around:
-            best[q] = len(r.s_norm)
-        for q in inside:
+        best[:] = block.common_runs(r.s_norm)
+        around = index.containing(r.s_norm)
+        best[around] = len(r.s_norm)
+        for q in index.contained_in(r.s_norm):
             best[q] = len(index.norms[q])
         for q in hinted:
             found = sum(h in r.stem for h in hints[q])
@@ -66,7 +91,8 @@ def filename_hits(
         "first_seen", "path", stem.alias("stem"), T.norm_text(stem).alias("s_norm"), T.filename_hints(stem).alias("stem_hints")
     )
     ties = (("first_seen", True), ("path", True))
-    best = stream_top_k(paths, asked, _score, ties, max_paths, ["q_hints"])
+    blocks = question_blocks(asked.select("query_id", "q_norm", "q_hints"), F.octet_length("q_norm") + 64)
+    best = keep_best(paths, asked, blocks, _Block, _score, ties, max_paths)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first_seen", "path"))
     chosen = best.withColumn("path_rank", rank).filter(F.col("path_rank") <= max_paths).drop("first_seen")
     chunk = F.row_number().over(Window.partitionBy("query_id", "path").orderBy(order))

@@ -56,14 +56,14 @@ def rerank(hits: DataFrame, questions: DataFrame, top_k: int | None = None, by:
     """
     asked = domain_context(questions.select("query_id", "question")).select(
         "query_id", F.lower("question").alias("q_lower"),
-        F.array_distinct(T.content_terms("question")).alias("q_terms"), "priority_terms",
+        T.distinct_terms("question").alias("q_terms"), "priority_terms",
     )
     group = Window.partitionBy(*by)
     joined = F.concat_ws(" ", "path", "text")
     rows = (
         hits.join(asked, "query_id")
-        .withColumn("doc_terms", F.array_distinct(T.content_terms(joined)))
-        .withColumn("path_terms", T.content_terms(F.replace("path", F.lit("/"), F.lit(" "))))
+        .withColumn("doc_terms", T.distinct_terms(joined))
+        .withColumn("path_terms", T.distinct_terms(F.replace("path", F.lit("/"), F.lit(" "))))
         .withColumn("low", F.min("retrieval_score").over(group))
         .withColumn("high", F.max("retrieval_score").over(group))
         .withColumn("n_hits", F.count("*").over(group))
@@ -162,14 +162,16 @@ def answer_hits(
     budget = F.when(F.col("is_section"), section_tokens).otherwise(doc_tokens)
     cap = F.when(F.col("mixed"), F.when(F.col("is_section"), 6).otherwise(3))
     kept = within_budget(ordered, budget, max_hits=cap, by=side)
-    alone = kept.filter(~F.col("mixed")).drop("mixed", "is_section")
-    joint_order = Window.partitionBy("query_id").orderBy("is_section", "rank")
-    together = (
-        kept.filter("mixed").withColumn("ord", F.row_number().over(joint_order))
-        .drop("mixed", "is_section", "rank", "rerank_score")
-    )
-    joint = rerank(together, questions).drop("domain_terms_matched")
-    return alone.unionByName(joint.select(*alone.columns))
+    # The joint ranking is computed for every question in one pass and used by the mixed ones.
+    sided = kept.withColumnsRenamed({"rank": "side_rank", "rerank_score": "side_score"}).withColumn(
+        "ord", F.row_number().over(Window.partitionBy("query_id").orderBy("is_section", "side_rank"))
+    )
+    joint = rerank(sided, questions).drop("domain_terms_matched")
+    return (
+        joint.withColumn("rank", F.when(F.col("mixed"), F.col("rank")).otherwise(F.col("side_rank")))
+        .withColumn("rerank_score", F.when(F.col("mixed"), F.col("rerank_score")).otherwise(F.col("side_score")))
+        .drop("mixed", "is_section", "side_rank", "side_score")
+    )
 
 
 # --- rendering ---------------------------------------------------------------------------

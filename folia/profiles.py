@@ -22,7 +22,7 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 NON_MATCH_CHARS = r"[^0-9A-Za-z\u4e00-\u9fff]+"
 KEYWORD_TOKEN = r"[A-Za-z0-9\u4e00-\u9fff]{2,}"
 TOKEN = rf"[{WS}]+|[\u4e00-\u9fff]|[A-Za-z0-9_]+|[^{WS}]"
-TERM = r"[\p{L}\p{N}_-]+"
+TERM = r"[\p{L}\p{N}_-]{3,}"
 HEADING = rf"(?md)^(#{{1,6}})[{WS}]+(.+?)[{WS}]*$"
 MATH_BLOCK = rf"(?isd)```math[{WS}]*(.*?)```|\$\$(.*?)\$\$"
 TABLE_LINE = rf"(?md)^[{WS}]*\|.+\|[{WS}]*$"

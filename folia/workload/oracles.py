@@ -253,7 +253,7 @@ add(
 )
 add(
     "embedding_texts",
-    f"""WITH {MD}, e AS (SELECT path AS doc_id, 'Path: corpus/' || path || chr(10) || 'Title: ' || title || chr(10) || 'Headings: '
+    f"""WITH {MD}, e AS (SELECT path AS doc_id, 'Path: corpus/' || path || chr(10) || 'Title: ' || {strip("title")} || chr(10) || 'Headings: '
           || array_to_string(list_transform(regexp_extract_all(body, '{HEADING_RE}', 1), lambda h: {collapse("h")}), ' | ')
           || chr(10) || chr(10) || {strip("body")} AS x FROM md)
         SELECT doc_id, md5(array_to_string(list_slice({tokens("x")}, 1, 300), '')) AS embed_md5 FROM e""",

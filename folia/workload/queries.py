@@ -21,6 +21,7 @@ from folia.operators import lexical as L
 from folia.operators import titles
 from folia.plans import questions as plans
 from folia.plans import ready_data as builds
+from folia.plans import retrieval
 from folia.sources import sinks
 from folia.sources.files import source_inventory
 from folia.sources.shared import new_folder, stored
@@ -516,6 +517,24 @@ def multi_query(spark: SparkSession, root: str) -> DataFrame:
     return history.select("question_id", _long("query_ord").alias("query_ord"), "query", _long("new_hits").alias("new_hits"), F.array_join("paths", ",").alias("paths"))
 
 
+def hybrid_retrieval(spark: SparkSession, root: str) -> DataFrame:
+    """Vector and file name hits over documents and page openings, by question strategy."""
+    table = read_table(spark, root, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    docs = I.documents(spark, root).select(
+        F.col("doc_id").alias("row_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
+        F.col("lang").alias("title"), "text", F.lit(0).alias("token_count"), F.lit("document").alias("source_kind"),
+        F.lit(None).cast("string").alias("section_heading"),
+    )
+    pages = I.page_fields(spark, root).select(
+        F.col("page_id").alias("row_id"), F.concat_ws("/", "lang", "title").alias("path"), "title",
+        F.array_join("paragraphs", "\n").alias("text"), F.lit(0).alias("token_count"), F.lit("section").alias("source_kind"),
+        F.col("h1").alias("section_heading"),
+    )
+    asked = I.questions(spark, root).join(table, F.col("query_id") == F.col("row_id")).drop("row_id")
+    found = retrieval.retrieve(asked, docs.join(table, "row_id"), pages.join(table, "row_id"))
+    return found.select("query_id", _long("rank").alias("rank"), "path", "source_kind", F.round("rerank_score", 6).alias("rerank_score"))
+
+
 # --- routing and conversations -----------------------------------------------------------
 def question_routing(spark: SparkSession, root: str) -> DataFrame:
     """Type, strategy, count and follow-up flags and evidence steps of every user turn."""
@@ -660,7 +679,7 @@ QUERIES = {
     for f in (
         lexical_topk, scoped_search, keyword_search, question_scope_search, summary_search, section_search, formula_search,
         title_ladder, alias_resolution, vector_topk, unit_vectors, vector_dimensions, filename_matches, merge_hits,
-        reranked_hits, domain_contexts, context_budget, answer_context, rendered_context, answer_sources, multi_query,
+        reranked_hits, domain_contexts, context_budget, answer_context, rendered_context, answer_sources, multi_query, hybrid_retrieval,
         validity_report, validity_counts, normalized_text, text_snippets, char_gram_counts, content_terms, keywords_first40,
         token_counts, token_windows, embedding_texts, content_types, source_urls, canonical_ids, json_recovery, message_texts,
         heading_dedupe, leading_title, corpus_manifest, normalized_corpus, math_markdown, latex_repair, html_title,
