@@ -360,7 +360,7 @@ NOISE = rf"""({norm("p")} = '' OR {norm("p")} = title_norm OR regexp_full_match(
   OR regexp_matches(p, '^[A-Za-z\x{{4e00}}-\x{{9fff}}]{{1,12}}〔?\d{{4}}〕?\d+号$') OR regexp_matches(p, '{P.RECIPIENT_LINE}')
   OR regexp_matches(p, '^(?:{"|".join(P.SUMMARY_METADATA_LABELS)})[：:]'))"""
 HEADINGS = f"list_filter(list_transform(regexp_extract_all(body, '{HEADING_RE}', 1), lambda h: {collapse('h')}), lambda h: h <> '')"
-CATALOG = f"""{MD}, {PARA},
+CATALOG_TAIL = f"""{PARA},
   base AS (SELECT m.path AS doc_id, 'corpus/' || m.path AS path, {strip("title")} AS title, lang AS category, body,
              list_slice({HEADINGS}, 1, 8) AS headings, i.paragraphs AS paras, {norm("title")} AS title_norm,
              split_part(split_part(m.path, '/', 2), '.', 1) AS stem
@@ -370,6 +370,7 @@ CATALOG = f"""{MD}, {PARA},
                list_filter([title, stem], lambda a: {norm("a")} <> '') AS aliases FROM cand),
   cat AS (SELECT *, {keywords("array_to_string(list_concat([title], headings, aliases, list_slice(chosen, 1, 2)), chr(10))")} AS keywords FROM picked)
 """
+CATALOG = f"{MD}, {CATALOG_TAIL}"
 STRUCTURED = f"""concat_ws(chr(10), '标题：' || title,
   CASE WHEN len(headings) > 0 THEN '重点章节：' || array_to_string(list_slice(headings, 1, 4), '；') END,
   CASE WHEN len(chosen) > 0 THEN '内容摘要：' || array_to_string(list_transform(list_slice(chosen, 1, 2), lambda p: {truncate("p", 120)}), ' ') END)"""
@@ -410,7 +411,7 @@ add(
 )
 
 # --- graph -------------------------------------------------------------------------------
-LINKS = f"""{MD},
+LINKS_TAIL = f"""
   target AS (SELECT regexp_extract(title, '^(\\S+)', 1) AS no, max(path) AS target FROM md WHERE regexp_matches(title, '^\\S+') GROUP BY 1),
   ment AS (SELECT path AS source, body, unnest({distinct("m")}) AS no, generate_subscripts({distinct("m")}, 1) AS pos
            FROM (SELECT path, body, regexp_extract_all(body, '\\]\\(/([^)\\s]+)\\)', 1) AS m FROM md)),
@@ -419,6 +420,7 @@ LINKS = f"""{MD},
             SELECT *, 'applies_to_rule', 1 FROM res WHERE {any_of("replace(body, ' ', '')", P.WEB.apply_markers)}),
   edge AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, target, relation ORDER BY pos) AS rn FROM typed) WHERE rn = 1)
 """
+LINKS = f"{MD}, {LINKS_TAIL}"
 add(
     "mention_edges",
     f"""WITH {LINKS} SELECT source, target, relation, '/' || no AS label, source || '#section-1' AS evidence_section_id,
@@ -670,3 +672,172 @@ add(
         SELECT category, count(*) AS case_count, count_if(ok) AS passed, count(*) - count_if(ok) AS failed, round_even(CAST(count_if(ok) AS DOUBLE) / count(*), 4) AS pass_rate FROM e GROUP BY 1""",
 )
 add("hit_previews", f"WITH {TURN_HITS} SELECT query_id, rank, path, left({strip('text')}, 240) AS text_preview FROM th WHERE rank <= 2")
+
+
+# --- sections ----------------------------------------------------------------------------
+# Blocks are packed in order: a recursive scan carries the section number and the tokens held.
+# The pages have level-one headings only, so the heading path is the last heading.
+BUDGET = 1200
+
+
+def n_tokens(x: str) -> str:
+    return f"len({tokens(x)})"
+
+
+SECTIONS = f"""
+  {BLOCKS},
+  ordered AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY run) AS i, kind,
+      CASE WHEN kind = 'heading' THEN {collapse("regexp_replace(t, '^#+', '')")} ELSE {strip("t")} END AS b FROM blocks),
+  costed AS (SELECT o.*, {n_tokens("b")} AS cost, last_value(CASE WHEN kind = 'heading' THEN b END IGNORE NULLS) OVER (PARTITION BY o.path ORDER BY i) AS heading,
+      {strip("title")} AS title FROM ordered o JOIN md USING (path)),
+  overhead AS (SELECT *, {n_tokens("'Document: ' || title || chr(10) || chr(10) || coalesce('Section: ' || heading || chr(10) || chr(10), '')")} AS extra FROM costed),
+  packed AS (
+    SELECT path, i, kind, b, cost, heading, title, CASE WHEN kind = 'heading' THEN 0 ELSE 1 END AS sec,
+      CASE WHEN kind = 'heading' OR cost > {BUDGET} THEN 0 ELSE cost END AS used FROM overhead WHERE i = 1
+    UNION ALL
+    SELECT o.path, o.i, o.kind, o.b, o.cost, o.heading, o.title,
+      CASE WHEN o.kind = 'heading' THEN p.sec
+           WHEN p.used = 0 OR o.cost > {BUDGET} OR o.extra + p.used + 1 + o.cost > {BUDGET} THEN p.sec + 1 ELSE p.sec END,
+      CASE WHEN o.kind = 'heading' OR o.cost > {BUDGET} THEN 0
+           WHEN p.used = 0 OR o.extra + p.used + 1 + o.cost > {BUDGET} THEN o.cost ELSE p.used + 1 + o.cost END
+    FROM packed p JOIN overhead o ON o.path = p.path AND o.i = p.i + 1),
+  whole AS (SELECT path, sec, any_value(heading) AS heading, any_value(title) AS title, max(cost) AS cost,
+      string_agg(b, chr(10) || chr(10) ORDER BY i) AS body FROM packed WHERE kind <> 'heading' GROUP BY 1, 2),
+  sentences AS (SELECT path, sec, unnest(ss) AS s, generate_subscripts(ss, 1) AS j FROM (
+      SELECT path, sec, list_filter(list_transform(string_split(regexp_replace(replace(body, chr(10), ' '), '([。！？；.!?;])[{WS}]+', '\\1' || chr(1), 'g'), chr(1)),
+        lambda x: {strip("x")}), lambda x: x <> '') AS ss FROM whole WHERE cost > {BUDGET})),
+  sized AS (SELECT *, {n_tokens("s")} AS cost FROM sentences),
+  joined AS (
+    SELECT path, sec, s, j, cost, 1 AS piece, cost AS used FROM sized WHERE j = 1
+    UNION ALL
+    SELECT z.path, z.sec, z.s, z.j, z.cost, CASE WHEN p.used + 1 + z.cost > {BUDGET} THEN p.piece + 1 ELSE p.piece END,
+      CASE WHEN p.used + 1 + z.cost > {BUDGET} THEN z.cost ELSE p.used + 1 + z.cost END
+    FROM joined p JOIN sized z ON z.path = p.path AND z.sec = p.sec AND z.j = p.j + 1),
+  cutup AS (SELECT path, sec, piece, string_agg(s, ' ' ORDER BY j) AS body FROM joined GROUP BY 1, 2, 3),
+  bodies AS (
+    SELECT path, sec, 0 AS piece, heading, title, body FROM whole WHERE cost <= {BUDGET}
+    UNION ALL SELECT c.path, c.sec, c.piece, w.heading, w.title, c.body FROM cutup c JOIN whole w USING (path, sec)),
+  sections AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY sec, piece) AS idx, coalesce(heading, title) AS heading,
+      title, {strip("body")} AS text FROM bodies WHERE length(body) >= 10)
+"""
+SECTION_KEYWORDS = keywords(
+    "array_to_string(list_concat([c.title], list_filter(list_transform(string_split(s.heading, '>'), lambda h: "
+    + strip("h")
+    + "), lambda h: h <> ''), c.aliases, [s.text]), chr(10))"
+)
+SECTION_ROWS = f"""
+  {SECTIONS},
+  srows AS (SELECT s.path || '#section-' || s.idx AS section_id, s.path AS doc_id, s.idx, s.heading AS section_heading,
+      array_to_string(list_filter(list_transform(string_split(s.heading, '>'), lambda h: {strip("h")}), lambda h: h <> ''), {SEP}) AS heading_path,
+      c.title, s.text, regexp_matches(s.text, '{FORMULA_RE}') AS has_formula, regexp_matches(s.text, '(?m)^[{WS}]*\\|.+\\|[{WS}]*$') AS has_table,
+      {distinct("regexp_extract_all(s.text, '\\]\\(/([^)\\s]+)\\)', 1)")} AS mentions, {SECTION_KEYWORDS} AS keywords, {n_tokens("s.text")} AS token_count
+    FROM sections s JOIN cat c ON c.doc_id = s.path),
+  typed_rows AS (SELECT *, CASE WHEN has_formula THEN 'formula' WHEN has_table THEN 'table'
+      WHEN {any_of("text", P.THRESHOLD_MARKERS)} AND regexp_matches(text, '\\d') THEN 'threshold'
+      WHEN {any_of("text", P.OBLIGATION_MARKERS)} THEN 'obligation' ELSE 'semantic' END AS content_type FROM srows)
+"""
+add(
+    "structured_sections",
+    f"""WITH RECURSIVE {MD}, {CATALOG_TAIL}, {SECTION_ROWS}
+        SELECT section_id, doc_id, section_heading, heading_path, content_type, token_count, has_formula, has_table,
+          coalesce(array_to_string(list_transform(mentions, lambda m: '/' || m), {SEP}), '') AS mentions_rules, {joined("keywords")} AS keywords, text
+        FROM typed_rows""",
+)
+VARIABLES = f"""list_filter(regexp_extract_all(regexp_replace(regexp_replace(f, '```math|```|\\$\\$', '', 'g'), '[{{}}_^]', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+'),
+    lambda v: regexp_full_match(v, '[A-Za-z][A-Za-z0-9]{{0,30}}') AND NOT list_contains([{", ".join(repr(w) for w in P.LATEX_CONTROL_WORDS)}], lower(v))
+      AND NOT list_contains([{", ".join(repr(w) for w in P.SINGLE_LETTER_NOISE)}], v))"""
+CARDS = f"""
+  {SECTION_ROWS},
+  found AS (SELECT doc_id, idx, title, section_heading, unnest(fs) AS f, generate_subscripts(fs, 1) AS pos
+    FROM (SELECT *, list_filter(list_transform(regexp_extract_all(text, '{FORMULA_RE}', 0), lambda x: {strip("x")}), lambda x: x <> '') AS fs FROM srows)),
+  named AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, pos) AS no, {VARIABLES} AS raw FROM found),
+  cards AS (SELECT doc_id || '#formula-' || no AS formula_id, no, doc_id, title, section_heading, f,
+      list_slice(list_filter(raw, lambda v, i: list_position(list_transform(raw, lambda x: lower(x)), lower(v)) = i), 1, 16) AS vars FROM named)
+"""
+add(
+    "formula_cards",
+    f"""WITH RECURSIVE {MD}, {CATALOG_TAIL}, {CARDS}
+        SELECT formula_id, doc_id, section_heading, f AS formula_text, coalesce({joined("vars")}, '') AS variables FROM cards""",
+)
+add(
+    "section_embedding_inputs",
+    f"""WITH RECURSIVE {MD}, {CATALOG_TAIL}, {SECTION_ROWS},
+        e AS (SELECT doc_id, idx, title, section_heading, 'Document: ' || title || chr(10) || chr(10) || 'Section: ' || section_heading || chr(10) || chr(10) || text AS x FROM srows)
+        SELECT doc_id, idx AS section_index, {n_tokens("x")} AS token_count,
+          md5(array_to_string(list_slice({tokens("'Path: corpus/' || doc_id || chr(10) || 'Title: ' || title || chr(10) || 'Headings: ' || section_heading || chr(10) || 'Section type: semantic' || chr(10) || chr(10) || x")}, 1, 1800), '')) AS embed_md5
+        FROM e""",
+)
+add(
+    "formula_section_match",
+    f"""WITH RECURSIVE {MD}, {CATALOG_TAIL}, {CARDS},
+        spot AS (SELECT doc_id, section_heading, min(idx) AS idx FROM srows WHERE has_formula GROUP BY 1, 2)
+        SELECT formula_id, c.doc_id || '#section-' || idx AS section_id FROM cards c JOIN spot s ON s.doc_id = c.doc_id AND s.section_heading = c.section_heading""",
+)
+
+
+def keyword_ranking(texts: str, boost: float, order: str, k: int, extra: str = "0.0", extra_reason: str = "NULL") -> str:
+    """CTEs that rank ``texts`` (key, hay, kws, tie columns) for the title questions with keyword hits and reasons."""
+    return f"""
+    txt AS ({texts}), q AS (SELECT query_id, {norm("question")} AS q_norm FROM tq), h AS (SELECT *, {norm("hay")} AS h_norm FROM txt),
+    qg AS (SELECT query_id, unnest({grams("q_norm")}) AS g FROM q), qn AS (SELECT query_id, count(*) AS n FROM qg GROUP BY 1),
+    vocabulary AS (SELECT DISTINCT g FROM qg),
+    hg AS (SELECT key, g FROM (SELECT key, unnest({grams("h_norm")}) AS g FROM h) SEMI JOIN vocabulary USING (g)),
+    shared AS (SELECT query_id, key, count(*) AS c FROM qg JOIN hg USING (g) GROUP BY ALL),
+    kw AS (SELECT key, unnest(kws) AS k, generate_subscripts(kws, 1) AS pos FROM txt),
+    kwh AS (SELECT query_id, key, k, row_number() OVER (PARTITION BY query_id, key ORDER BY pos) AS rn FROM kw JOIN q ON {norm("k")} <> '' AND contains(q_norm, {norm("k")})),
+    kwn AS (SELECT query_id, key, count(*) AS hits, string_agg(k, '、' ORDER BY rn) FILTER (rn <= 3) AS names FROM kwh WHERE rn <= 5 GROUP BY ALL),
+    sc AS (SELECT query_id, h.*, round_even(CASE WHEN contains(h_norm, q_norm) AND q_norm <> '' THEN {boost} ELSE 0.0 END
+          + coalesce(CAST(c AS DOUBLE) / n, 0.0) * 60.0 + least(40.0, 8.0 * coalesce(hits, 0)) + {extra}, 4) AS score,
+        concat_ws('；', CASE WHEN contains(h_norm, q_norm) AND q_norm <> '' THEN '{P.REASON_CONTAINED}' END, CASE WHEN c > 0 THEN '{P.REASON_GRAMS}' END,
+          CASE WHEN hits > 0 THEN '{P.REASON_KEYWORDS}' || names END, {extra_reason}) AS reason
+      FROM (SELECT query_id, key FROM shared UNION SELECT query_id, key FROM kwn) JOIN q USING (query_id) JOIN h USING (key)
+      LEFT JOIN qn USING (query_id) LEFT JOIN shared USING (query_id, key) LEFT JOIN kwn USING (query_id, key)),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {order}) AS rank FROM sc WHERE score <> 0)
+    """
+
+
+SECTION_HAY = """concat_ws(chr(10), title, section_heading, 'None', 'None', content_type, text, array_to_string(keywords, ' '),
+  array_to_string(list_transform(mentions, lambda m: '/' || m), ' '), '')"""
+add(
+    "section_search",
+    f"""WITH RECURSIVE {MD}, {TITLE_Q}, {CATALOG_TAIL}, {SECTION_ROWS},
+        {keyword_ranking(f"SELECT section_id AS key, doc_id, idx, has_formula, token_count, keywords AS kws, {SECTION_HAY} AS hay FROM typed_rows", 95.0, "has_formula DESC, token_count, doc_id, idx", 5)}
+        SELECT query_id, rank, key AS section_id, score, reason FROM top WHERE rank <= 5""",
+)
+CARD_KEYWORDS = keywords(
+    "array_to_string(list_concat([title], list_filter(list_transform(string_split(section_heading, '>'), lambda h: "
+    + strip("h")
+    + "), lambda h: h <> ''), vars, [f]), chr(10))"
+)
+add(
+    "formula_search",
+    f"""WITH RECURSIVE {MD}, {TITLE_Q}, {CATALOG_TAIL}, {CARDS}, ck AS (SELECT *, {CARD_KEYWORDS} AS kw FROM cards),
+        {keyword_ranking("SELECT formula_id AS key, no, list_concat(vars, kw) AS kws, concat_ws(chr(10), title, section_heading, 'None', f, array_to_string(vars, ' '), array_to_string(kw, ' ')) AS hay FROM ck", 80.0, "no, key", 5)}
+        SELECT query_id, rank, key AS formula_id, score, reason FROM top WHERE rank <= 5""",
+)
+add(
+    "summary_search",
+    f"""WITH {MD}, {TITLE_Q}, {CATALOG_TAIL}, {LINKS_TAIL},
+        rel AS (SELECT source, string_agg(target, ' ' ORDER BY pos) AS related FROM (SELECT source, target, min(pos) AS pos FROM edge GROUP BY 1, 2) GROUP BY 1),
+        summ AS (SELECT *, list_slice({distinct("list_concat(headings, keywords)")}, 1, 5) AS focus, coalesce({truncate("chosen[1]", 180)}, title) AS short, {STRUCTURED} AS structured
+          FROM cat LEFT JOIN rel ON rel.source = cat.doc_id),
+        {keyword_ranking("SELECT doc_id AS key, title, focus AS kws, concat_ws(chr(10), title, short, structured, array_to_string(focus, ' '), coalesce(related, '')) AS hay FROM summ", 90.0, "title DESC, key", 5)}
+        SELECT query_id, rank, key AS doc_id, score, reason FROM top WHERE rank <= 5""",
+)
+add(
+    "filename_matches",
+    f"""WITH {PAGES}, {TITLE_Q},
+        docs AS (SELECT page_id, lang || '/' || replace(title, '/', '_') || '.md' AS path, {norm("replace(title, '/', '_')")} AS s_norm FROM pf),
+        paths AS (SELECT path, any_value(s_norm) AS s_norm, min(page_id) AS seen FROM docs GROUP BY 1),
+        q AS (SELECT query_id, {norm("question")} AS q_norm FROM tq),
+        sg AS (SELECT path, i, substring(s_norm, i, 4) AS g FROM (SELECT *, unnest(range(1, length(s_norm) - 2)) AS i FROM paths)),
+        qg AS (SELECT query_id, j, substring(q_norm, j, 4) AS g FROM (SELECT *, unnest(range(1, length(q_norm) - 2)) AS j FROM q)),
+        m AS (SELECT query_id, path, i - j AS diagonal, i - row_number() OVER (PARTITION BY query_id, path, i - j ORDER BY i) AS island FROM sg JOIN qg USING (g)),
+        runs AS (SELECT query_id, path, max(n) + 3 AS lcs FROM (SELECT query_id, path, diagonal, island, count(*) AS n FROM m GROUP BY ALL) GROUP BY 1, 2),
+        inside AS (SELECT query_id, path, CASE WHEN contains(s_norm, q_norm) THEN length(q_norm) ELSE length(s_norm) END AS n
+          FROM q JOIN paths ON s_norm <> '' AND q_norm <> '' AND (contains(s_norm, q_norm) OR contains(q_norm, s_norm))),
+        sc AS (SELECT query_id, path, CAST(coalesce(n, lcs) AS DOUBLE) AS score FROM runs FULL JOIN inside USING (query_id, path)),
+        rk AS (SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, path) AS pr FROM sc JOIN paths USING (path)),
+        ch AS (SELECT query_id, path, page_id, score, row_number() OVER (PARTITION BY query_id, path ORDER BY page_id) AS cr FROM rk JOIN docs USING (path) WHERE pr <= 3)
+        SELECT query_id, path, page_id, round(1.5 + score / 100.0, 4) AS retrieval_score FROM ch WHERE cr <= 2""",
+)
