@@ -15,6 +15,7 @@ from folia.functions import text as T
 # --- Fixed values: rerank weights --------------------------------------------------------
 LEXICAL_WEIGHT, PATH_WEIGHT, DOMAIN_WEIGHT, PHRASE_WEIGHT, SEMANTIC_WEIGHT = 0.35, 0.15, 0.20, 0.10, 0.10
 QUESTION_TERMS = 8
+SALTS = 16
 
 
 def merge_hits(hits: DataFrame, keys: tuple[str, ...] = ("query_id", "path", "text")) -> DataFrame:
@@ -113,15 +114,19 @@ def within_budget(
     bounds the folded list by the budget and not by the number of hits.
     """
     size = "n_tokens"
-    sized = hits.withColumn(size, hit_tokens().cast("long")).withColumn("_budget", budget.cast("long"))
-    if max_hits is not None:
-        sized = sized.withColumn("_cap", max_hits.cast("int"))
-    else:
-        sized = sized.withColumn("_cap", F.lit(None).cast("int"))
-    turn = F.row_number().over(Window.partitionBy(*by, size).orderBy(rank))
-    possible = sized.withColumn("_turn", turn).filter(
-        F.col("_turn") <= F.col("_budget") / F.greatest(F.col(size), F.lit(1)) + 1
+    cap = F.lit(None) if max_hits is None else max_hits
+    # Texts stay behind: only ranks and counts take part in the selection.
+    slim = hits.select(
+        *by, rank, hit_tokens().cast("long").alias(size), budget.cast("long").alias("_budget"), cap.cast("int").alias("_cap")
     )
+    most = F.col("_budget") / F.greatest(F.col(size), F.lit(1)) + 1
+
+    def first_per_size(rows: DataFrame, *salt: Column) -> DataFrame:
+        turn = F.row_number().over(Window.partitionBy(*by, size, *salt).orderBy(rank))
+        return rows.withColumn("_turn", turn).filter(F.col("_turn") <= most)
+
+    # The salted pass spreads one question with very many hits of a size over several tasks.
+    possible = first_per_size(first_per_size(slim, F.pmod(F.hash(rank), F.lit(SALTS))))
     item = F.struct(F.col(rank).alias("rank"), F.col(size).alias("n"))
     listed = possible.groupBy(*by).agg(
         F.array_sort(F.collect_list(item)).alias("items"), F.first("_budget").alias("b"), F.first("_cap").alias("cap")
@@ -139,7 +144,7 @@ def within_budget(
         return F.struct(total.alias("total"), done.alias("done"), picked.alias("picked"))
 
     chosen = listed.select(*by, F.explode(F.aggregate("items", start, step)["picked"]).alias(rank))
-    return sized.join(chosen, [*by, rank], "left_semi").drop(size, "_budget", "_cap")
+    return hits.join(chosen, [*by, rank], "left_semi")
 
 
 def answer_hits(

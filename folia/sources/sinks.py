@@ -11,6 +11,7 @@ from folia import profiles as P
 from folia.functions.frontmatter import parse_front_matter, render_front_matter
 from folia.functions.text import canonical_doc_id, path_stem
 from folia.operators.vectors import unit_vector
+from folia.sources.shared import stored
 
 COUNT_FIELDS = {
     "doc_catalog": "doc_count",
@@ -81,19 +82,34 @@ def normalized_markdown(raw: DataFrame, body: Column, category: Column) -> DataF
         "source_file": F.coalesce("meta.source_file", name),
     }
     target = F.concat_ws("/", category, name)
-    turn = F.row_number().over(Window.partitionBy("candidate").orderBy(F.split("path", "/")))
+    turns = number_within(raw.select("path", target.alias("candidate")), "candidate", F.split("path", "/"))
     suffixed = F.regexp_replace("candidate", r"(\.[^.]+)$", "")
     extension = F.regexp_extract("candidate", r"(\.[^.]+)$", 1)
+    numbered = F.concat(suffixed, F.lit("-"), F.col("turn").cast("string"), extension)
+    placed = turns.select("path", F.when(F.col("turn") == 1, F.col("candidate")).otherwise(numbered).alias("target_path"))
+    return raw.select("path", render_front_matter(fields, body).alias("text")).join(placed, "path").select(
+        "path", "target_path", "text"
+    )
+
+
+def number_within(rows: DataFrame, group: str, order: Column) -> DataFrame:
+    """Add ``turn``: the position of a row in its group, without gathering a group in one task.
+
+    Rows are range-partitioned by (group, order), so a group of any size is spread over several
+    ranges.  A row's turn is its place in the range plus the group's rows in earlier ranges.
+    The ranges are stored, so a recomputed task sees the same ones.
+    """
+    ranged = rows.withColumn("_order", order).repartitionByRange(group, "_order")
+    ranges = stored(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(group, "_range").orderBy("_order"))
     return (
-        raw.select("path", target.alias("candidate"), render_front_matter(fields, body).alias("text"))
-        .withColumn("turn", turn)
-        .select(
-            "path",
-            F.when(F.col("turn") == 1, F.col("candidate"))
-            .otherwise(F.concat(suffixed, F.lit("-"), F.col("turn").cast("string"), extension))
-            .alias("target_path"),
-            "text",
-        )
+        ranges.withColumn("_place", place)
+        .join(offsets, [group, "_range"])
+        .withColumn("turn", F.col("_before") + F.col("_place"))
+        .drop("_order", "_range", "_place", "_before")
     )
 
 

@@ -403,3 +403,12 @@ def test_citations(spark):
     assert df.select(conversation.link_citations("answer", links)).first()[0] == "见[1](u1)和[2] $$x_{[1]}{a}$$ ```[1](u1)``` [[1]] [1](k)"
     sources = spark.createDataFrame([(1, 1)], "answer_id int, index int")
     assert [r["index"] for r in conversation.citation_audit(df, sources).collect()] == [2]
+
+
+def test_numbering_spreads_a_hot_group(spark):
+    rows = [(f"d{i:03d}/a.md", "x" if i % 3 else "y") for i in range(120)]
+    df = spark.createDataFrame(rows, "path string, candidate string").repartition(5)
+    got = sinks.number_within(df, "candidate", F.split("path", "/")).collect()
+    for group in ("x", "y"):
+        mine = sorted((r["path"], r["turn"]) for r in got if r["candidate"] == group)
+        assert [t for _, t in mine] == list(range(1, len(mine) + 1))
