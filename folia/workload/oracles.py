@@ -57,10 +57,11 @@ def any_of(x: str, words) -> str:
 
 
 def grams(x: str, sizes=(2, 3, 4)) -> str:
+    """Distinct character n-grams; the text is split into characters once."""
     per_size = [
-        f"list_transform(range(1, greatest(length({x}) - {n - 2}, 1)), lambda i: substring({x}, i, {n}))" for n in sizes
+        f"list_transform(range(1, len(c) - {n - 2}), lambda i: {' || '.join(f'c[i + {d}]' for d in range(n))})" for n in sizes
     ]
-    return f"list_distinct(list_concat({', '.join(per_size)}))"
+    return f"list_transform([string_split({x}, '')], lambda c: list_distinct(list_concat({', '.join(per_size)})))[1]"
 
 
 # --- derived tables ----------------------------------------------------------------------
@@ -176,25 +177,25 @@ def hint_case(x: str, name: str, default: str) -> str:
     return f"coalesce(nullif(concat_ws(' ', {', '.join(parts)}), ''), '{default}')"
 
 
-def rerank(hits: str, questions: str, by: str = "query_id") -> str:
-    """CTEs ``scored`` and ``rr`` over a hit CTE; ``rr`` adds rerank_score and rank."""
+def rerank(hits: str, questions: str, by: str = "query_id", name: str = "rr") -> str:
+    """CTEs over a hit CTE; the last, ``name``, adds rerank_score and rank."""
     return f"""
-    asked AS (SELECT query_id, lower(question) AS q_lower, list_distinct({terms("question")}) AS q_terms,
+    {name}q AS (SELECT query_id, lower(question) AS q_lower, list_distinct({terms("question")}) AS q_terms,
               {domain_terms("question")} AS prio FROM ({questions})),
-    rr0 AS (SELECT h.*, a.q_lower, a.q_terms, a.prio, lower(path || ' ' || text) AS joint,
+    {name}0 AS (SELECT h.*, a.q_lower, a.q_terms, a.prio, lower(path || ' ' || text) AS joint,
               {terms("path || ' ' || text")} AS doc_terms, {terms("replace(path, '/', ' ')")} AS path_terms,
               min(retrieval_score) OVER (PARTITION BY {by}) AS lo, max(retrieval_score) OVER (PARTITION BY {by}) AS hi,
               count(*) OVER (PARTITION BY {by}) AS n_hits
-            FROM {hits} h JOIN asked a USING (query_id)),
-    rr1 AS (SELECT *, CASE WHEN n_hits > 1 THEN retrieval_score
+            FROM {hits} h JOIN {name}q a USING (query_id)),
+    {name}1 AS (SELECT *, CASE WHEN n_hits > 1 THEN retrieval_score
               + 0.35 * (CAST(len(list_filter(q_terms, lambda t: list_contains(doc_terms, t))) AS DOUBLE) / greatest(1, len(q_terms)))
               + 0.15 * (CAST(len(list_filter(q_terms, lambda t: list_contains(path_terms, t))) AS DOUBLE) / greatest(1, len(q_terms)))
               + 0.20 * (CAST(len(list_filter(prio, lambda t: list_contains(doc_terms, t))) AS DOUBLE) / greatest(1, len(prio)))
               + 0.10 * (CASE WHEN contains(joint, q_lower) THEN 1.0 ELSE 0.0 END)
               + 0.10 * (CASE WHEN hi = lo THEN 1.0 ELSE (retrieval_score - lo) / (hi - lo) END) END AS rerank_score,
               list_sort(list_filter(prio, lambda t: list_contains(doc_terms, t))) AS matched
-            FROM rr0),
-    rr AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY rerank_score DESC NULLS LAST, retrieval_score DESC, ord) AS rank FROM rr1)
+            FROM {name}0),
+    {name} AS (SELECT * EXCLUDE (q_lower, q_terms, prio, joint, doc_terms, path_terms, lo, hi, n_hits), row_number() OVER (PARTITION BY {by} ORDER BY rerank_score DESC NULLS LAST, retrieval_score DESC, ord) AS rank FROM {name}1)
     """
 
 
@@ -841,3 +842,27 @@ add(
         ch AS (SELECT query_id, path, page_id, score, row_number() OVER (PARTITION BY query_id, path ORDER BY page_id) AS cr FROM rk JOIN docs USING (path) WHERE pr <= 3)
         SELECT query_id, path, page_id, round(1.5 + score / 100.0, 4) AS retrieval_score FROM ch WHERE cr <= 2""",
 )
+add(
+    "answer_context",
+    f"""WITH RECURSIVE {lexical(DOC_Q, DOC_H, 90.0, 8)},
+        both_sides AS (
+          SELECT r.query_id, r.rank AS ord, 'document' AS source_kind, d.source || '/' || CAST(d.doc_id AS VARCHAR) AS path, d.text, r.score / 100.0 AS retrieval_score, d.doc_id
+          FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 8
+          UNION ALL
+          SELECT r.query_id, r.rank + 100, 'section', d.source || '/' || CAST(d.doc_id AS VARCHAR), {truncate("d.text", 400)}, r.score / 100.0, d.doc_id
+          FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 8),
+        {rerank("both_sides", BENCH_Q, "query_id, source_kind", "side")},
+        cost AS (SELECT query_id, source_kind, rank, {n_tokens("text")} AS n, CASE source_kind WHEN 'section' THEN 500 ELSE 3000 END AS budget,
+                 CASE source_kind WHEN 'section' THEN 6 ELSE 3 END AS cap FROM side),
+        fold AS (
+          SELECT query_id, source_kind, rank, n AS total, 1 AS picked, TRUE AS taken, (n >= budget OR 1 >= cap) AS done FROM cost WHERE rank = 1
+          UNION ALL
+          SELECT c.query_id, c.source_kind, c.rank, CASE WHEN ok THEN f.total + c.n ELSE f.total END, CASE WHEN ok THEN f.picked + 1 ELSE f.picked END, ok,
+            f.done OR (ok AND (f.total + c.n >= c.budget OR f.picked + 1 >= c.cap))
+          FROM fold f JOIN cost c ON c.query_id = f.query_id AND c.source_kind = f.source_kind AND c.rank = f.rank + 1,
+          LATERAL (SELECT NOT f.done AND f.total + c.n <= c.budget AS ok)),
+        chosen AS (SELECT s.query_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.source_kind, s.rank) AS ord, s.source_kind, s.path, s.text, s.retrieval_score, s.doc_id
+          FROM side s SEMI JOIN (SELECT * FROM fold WHERE taken) f ON s.query_id = f.query_id AND s.source_kind = f.source_kind AND s.rank = f.rank),
+        {rerank("chosen", BENCH_Q, "query_id", "joint")}
+        SELECT query_id, rank, source_kind, doc_id, round(rerank_score, 6) AS rerank_score FROM joint""",
+)
