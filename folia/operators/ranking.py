@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -26,6 +26,7 @@ GRAM_SIZES = (2, 3, 4)
 # of one block stay near 50 MB in a worker.
 BLOCK_BYTES = 2 * 1024 * 1024
 TEXTS_PER_STEP = 256
+CACHED_ENTRIES = 4_000_000
 
 
 def gram_codes(text: str) -> np.ndarray:
@@ -62,7 +63,8 @@ class QuestionIndex:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.postings = np.array([q for c in self.vocabulary.tolist() for q in by_gram[c]], dtype=np.int64)
         self.gramless = [q for q, n in enumerate(counts) if n == 0 and norms[q]]
-        self.containing = lru_cache(maxsize=50_000)(self._containing)
+        self._found: dict[tuple[str, bool], np.ndarray] = {}
+        self._held = 0
 
     def _known(self, codes: np.ndarray) -> np.ndarray:
         """Vocabulary positions of the codes that occur in some question, each once."""
@@ -88,8 +90,33 @@ class QuestionIndex:
         complete = np.flatnonzero((shared > 0) & (shared == self.gram_counts)).tolist()
         return [q for q in (*complete, *self.gramless) if self.norms[q] in text]
 
+    def containing(self, keyword: str) -> np.ndarray:
+        """Questions whose normalised text contains a keyword."""
+        return self._cached(keyword, False)
+
+    def containing_raw(self, keyword: str) -> np.ndarray:
+        """Questions whose own text contains an alphanumeric keyword, case included."""
+        return self._cached(keyword, True)
+
+    def _cached(self, keyword: str, raw: bool) -> np.ndarray:
+        """Keywords repeat from text to text, so answers are kept up to a fixed number of entries."""
+        found = self._found.get((keyword, raw))
+        if found is None:
+            if raw:
+                texts = self.features["question"]
+                hits = [q for q in self.containing(keyword.lower()).tolist() if keyword in texts.iat[q]]
+            else:
+                hits = self._containing(keyword)
+            found = np.array(hits, dtype=np.int64)
+            if self._held > CACHED_ENTRIES:
+                self._found.clear()
+                self._held = 0
+            self._found[(keyword, raw)] = found
+            self._held += len(found) + 8
+        return found
+
     def _containing(self, keyword: str) -> list[int]:
-        """Questions that contain a keyword; its rarest gram narrows the candidates."""
+        """The rarest gram of the keyword narrows the candidates."""
         codes = np.unique(gram_codes(keyword))
         ids = self._known(codes)
         if len(ids) < len(codes):
@@ -154,6 +181,14 @@ def keep_best(texts: DataFrame, questions: DataFrame, blocks, prepare, scorer, t
     return reduce(DataFrame.unionByName, parts)
 
 
+def _kth_best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Per question the k-th best score of a batch; a row below it cannot be among the k best."""
+    n = len(scores)
+    if n <= k:
+        return np.full(scores.shape[1], -np.inf)
+    return np.partition(np.where(np.isnan(scores), -np.inf, scores), n - k, axis=0)[n - k]
+
+
 def _best_rows(shared, prepare, scorer: Scorer, ties, k: int):
     names = [c for c, _ in ties]
     order = ["q", "score", *names]
@@ -168,7 +203,7 @@ def _best_rows(shared, prepare, scorer: Scorer, ties, k: int):
             for at in range(0, len(batch), TEXTS_PER_STEP):
                 part = batch.iloc[at : at + TEXTS_PER_STEP]
                 scores = scorer(prepared, part)
-                row, q = np.nonzero(scores >= floor)
+                row, q = np.nonzero(scores >= np.maximum(floor, _kth_best(scores, k)))
                 if not len(row):
                     continue
                 new = part[names].iloc[row].reset_index(drop=True)

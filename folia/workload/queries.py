@@ -407,7 +407,7 @@ def summary_search(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _web_catalog(spark: SparkSession, root: str) -> DataFrame:
-    return C.catalog_table(C.build_documents(I.markdown(spark, root), P.WEB))
+    return stored(C.catalog_table(C.build_documents(I.markdown(spark, root), P.WEB)), "catalog")
 
 
 def title_ladder(spark: SparkSession, root: str) -> DataFrame:
