@@ -1,7 +1,8 @@
 """Intermediate results in the folder the cluster shares.
 
-The folder comes from ``spark.checkpoint.dir``.  A session without that setting, as in tests,
-gets a temporary folder of its own; a lost executor then never loses an intermediate result.
+The folder comes from ``spark.checkpoint.dir``.  A single-machine session without that setting, as in
+tests, gets one temporary folder of its own; on a cluster the setting is required, since executors would
+write to disks that the others cannot see.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    folder = configured or tempfile.mkdtemp(prefix="spark-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
