@@ -1,8 +1,8 @@
 """Quality rules: a linear-chain conditional random field marks the lines of a text as content or boilerplate.
 
 The field has two labels, features of a line's characters and words, and transitions between neighbouring
-lines.  It is fitted on a bounded sample of documents with a quality label, whose lines take the label of their
-document; Viterbi decoding then labels the lines of every text.  A text is kept if it passes the base rules
+lines.  It is fitted on a bounded sample of documents that pass the base rules and have a quality label, whose
+lines take the label of their document; Viterbi decoding then labels the lines of every text.  A text is kept if it passes the base rules
 and at least half of its word characters lie in content lines.
 
 Base rules: a text fails with fewer than 50 words, or if more than half of its words lie in three-word windows
@@ -27,18 +27,22 @@ from folia.llm.words import parts, record
 SAMPLE_DOCS, SAMPLE_LINES = 3000, 2000
 FEATURES = ("bias", "words", "upper", "digit", "symbol", "shout", "stop", "mark", "wide", "short", "copy", "word_length")
 #: Weights for content where no label is known: symbols, shouting and copies speak against it.
-DEFAULT_WEIGHTS = np.array([1.0, 0.5, -4.0, -3.0, -20.0, -20.0, 0.0, -5.0, 0.0, -0.5, -2.0, 0.0])
+DEFAULT_WEIGHTS = np.array([2.0, 0.0, -2.0, -1.0, -4.0, -4.0, 0.0, -1.0, 0.0, -0.5, -1.0, 0.0])
 DEFAULT_MOVES = np.array([[0.5, -0.5], [-0.5, 0.5]])
 SHARE = 0.5
 
 
+#: Share of a line's characters at which a kind of character counts in full.
+FULL = {S.UP: 0.5, S.DIGIT: 0.3, S.SYMBOL: 0.05, S.SHOUT: 0.05, S.STOP: 0.05, S.MARK: 0.05, S.WIDE: 0.2}
+
+
 def line_features(s: S.Signals) -> np.ndarray:
     kinds = s.line_kinds.astype(np.float64)
     solid = np.maximum(kinds.sum(axis=1) - kinds[:, S.SPACE], 1)
     words = s.line_words.astype(np.float64)
-    columns = [np.ones(len(words)), np.log1p(words) / 4]
-    columns += [kinds[:, k] / solid for k in (S.UP, S.DIGIT, S.SYMBOL, S.SHOUT, S.STOP, S.MARK, S.WIDE)]
-    columns += [words < 3, s.line_copy, solid / np.maximum(words, 1) / 10]
+    columns = [np.ones(len(words)), np.minimum(np.log1p(words) / 4, 1.2)]
+    columns += [np.minimum(kinds[:, k] / solid / full, 1) for k, full in FULL.items()]
+    columns += [words < 3, s.line_copy, np.minimum(solid / np.maximum(words, 1) / 10, 2)]
     return np.stack(columns, axis=1)
 
 
@@ -58,7 +62,7 @@ def decode(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], dtype=bool)
 
 
-def fit(chains: list[np.ndarray], labels: list[int], *, steps: int = 120, rate: float = 0.15, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(chains: list[np.ndarray], labels: list[int], *, steps: int = 200, rate: float = 0.15, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions by gradient ascent on the log-likelihood of the chains, whose lines share a label."""
     width = len(FEATURES)
     rows = [(c[i : i + 32], y) for c, y in zip(chains, labels) for i in range(0, len(c), 32)]
@@ -71,14 +75,12 @@ def fit(chains: list[np.ndarray], labels: list[int], *, steps: int = 120, rate:
     for i, (c, _) in enumerate(rows):
         x[i, : len(c)] = c
     y = np.array([label for _, label in rows])
-    share = np.bincount(y, minlength=2)
-    weight = (len(y) / 2 / share[y]) / len(y)
     live = np.arange(length[0])[None, :] < length[:, None]
     w, moves = DEFAULT_WEIGHTS.copy(), DEFAULT_MOVES.copy()
     speed = [np.zeros(width), np.zeros((2, 2))]
     size = [np.full(width, 1e-8), np.full((2, 2), 1e-8)]
     for _ in range(steps):
-        gw, gm = _gradient(x, live, y, weight, w, moves)
+        gw, gm = _gradient(x, live, y, w, moves)
         for value, grad, v, s in ((w, gw - penalty * w, speed[0], size[0]), (moves, gm - penalty * moves, speed[1], size[1])):
             v[:] = 0.9 * v + 0.1 * grad
             s[:] = 0.98 * s + 0.02 * grad**2
@@ -86,7 +88,7 @@ def fit(chains: list[np.ndarray], labels: list[int], *, steps: int = 120, rate:
     return w, moves
 
 
-def _gradient(x, live, y, weight, w, moves) -> tuple[np.ndarray, np.ndarray]:
+def _gradient(x, live, y, w, moves) -> tuple[np.ndarray, np.ndarray]:
     """Observed minus expected features and transitions, by the forward and backward recursions."""
     n, longest, _ = x.shape
     unary = np.stack([np.zeros((n, longest)), x @ w], axis=2)
@@ -102,22 +104,28 @@ def _gradient(x, live, y, weight, w, moves) -> tuple[np.ndarray, np.ndarray]:
         backward[:, t] = np.where(live[:, t + 1, None], step, 0)
     total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
     marginal = np.exp(forward + backward - total[:, None, None])[:, :, 1] * live
-    gw = np.einsum("nt,ntf->f", (y[:, None] * live - marginal) * weight[:, None], x)
+    gw = np.einsum("nt,ntf->f", y[:, None] * live - marginal, x) / n
     gm = np.zeros((2, 2))
     pairs = live[:, 1:]
     for a in range(2):
         for b in range(2):
             expected = np.exp(forward[:, :-1, a] + moves[a, b] + unary[:, 1:, b] + backward[:, 1:, b] - total[:, None]) * pairs
             observed = pairs * ((y == a) & (y == b))[:, None]
-            gm[a, b] = ((observed - expected) * weight[:, None]).sum()
+            gm[a, b] = (observed - expected).sum() / n
     return gw, gm
 
 
+def base_failed(s: S.Signals) -> np.ndarray:
+    return (s.n_words < 50) | (100 * s.n_repeat_words > 50 * s.n_words)
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in parts(batches):
         s = S.Signals(texts)
         values = line_features(s)
-        flat = [values[a:b].ravel() if b - a <= SAMPLE_LINES else values[:0].ravel() for a, b in zip(s.line_first, s.line_first[1:])]
+        failed = base_failed(s)
+        used = [not f and b - a <= SAMPLE_LINES for f, a, b in zip(failed, s.line_first, s.line_first[1:])]
+        flat = [values[a:b].ravel() if u else values[:0].ravel() for u, a, b in zip(used, s.line_first, s.line_first[1:])]
         yield record({"label": rows.column("label"), "lines": pa.array(flat, pa.list_(pa.float64()))})
 
 
@@ -143,7 +151,7 @@ def _judge(model: tuple[np.ndarray, np.ndarray]):
                 if used.any():
                     content = decode(scores[a:b][used], moves)
                     share[i] = chars[used][content].sum() / chars[used].sum()
-            failed = (s.n_words < 50) | (100 * s.n_repeat_words > 50 * s.n_words)
+            failed = base_failed(s)
             yield record({
                 "doc_id": rows.column("doc_id"), "n_words": s.n_words.astype(np.int64), "word_chars": s.word_chars.astype(np.int64),
                 "n_symbols": s.n_symbols.astype(np.int64), "n_dup_lines": s.n_dup_lines.astype(np.int64),
