@@ -72,6 +72,8 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.hint, self.clamped = [-1], ["#page"], [0], [False]
+        self.region = [False]  # within an article or main element
+        self.closed = [False]  # within an element whose names speak against it
         self.chunks: list[tuple[int, int, str]] = []  # node, block, text
         self.block = 0
         self.stack = [0]
@@ -85,10 +87,15 @@ class Page:
                 hint = -1 if names & AGAINST else hint or (1 if names & TOWARDS else 0)
             if HIDDEN.search(attrs):
                 hint = -1
-        self.parent.append(self.stack[-1])
+        above = self.stack[-1]
+        self.region.append(self.region[above] or tag in REGION)
+        if tag == "header" and not self.region[above]:
+            hint = -1
+        self.parent.append(above)
         self.tag.append(tag)
         self.hint.append(hint)
-        self.clamped.append(self.clamped[self.stack[-1]] or tag in NEVER)
+        self.clamped.append(self.clamped[above] or tag in NEVER)
+        self.closed.append(self.closed[above] or (hint < 0 and tag not in REGION))
         return len(self.tag) - 1
 
     def _pop(self, tags: frozenset[str] | set[str], until: frozenset[str]) -> None:
@@ -190,16 +197,19 @@ def markup_labels(page: Page) -> list[int] | None:
 # --- potentials --------------------------------------------------------------------------------
 #: Log-odds for content that hold before any page is seen, by feature.
 PRIORS = {
-    "hint=-1": -5.0, "hint=1": 1.5, "tag=article": 3.0, "tag=main": 2.0, "tag=p": 0.5, "tag=h1": 0.5, "tag=header": -2.0,
+    "hint=-1": -5.0, "hint=1": 1.5, "tag=article": 3.0, "tag=main": 2.0, "tag=p": 0.5, "tag=h1": 0.5,
     "links=4": -1.5, "links=3": -0.7, "all=5": 0.8, "all=4": 0.4, "marks=1": 0.3, "marks=2": 0.3,
 }
-#: Parent and child labels (0 or 1) that agree, before any page is seen; containers bind their children less.
-AGREE, AGREE_CONTAINER = 2.5, 0.8
+#: How much parent and child labels agree, before any page is seen: containers bind their children less, and what
+#: lies inside an element whose names speak against it is bound most.
+AGREE = {"tight": 2.5, "loose": 0.8, "closed": 7.0}
 CONTAINERS = frozenset("#page html body div section table tbody tr td center".split())
 LIMIT = 2.5
 
 
 def _edge_kind(page: Page, i: int) -> str:
+    if page.closed[page.parent[i]]:
+        return "closed"
     return "loose" if page.tag[page.parent[i]] in CONTAINERS else "tight"
 
 
@@ -249,14 +259,11 @@ def marginals(page: Page, model: dict[str, float]) -> list[float]:
     """Probability of content for each node, exact for the tree."""
     n = len(page.tag)
     node = []
-    in_region = [False] * n
     for i, features in enumerate(node_features(page)):
-        in_region[i] = page.tag[i] in REGION or (i > 0 and in_region[page.parent[i]])
         if page.clamped[i] or i == 0:
             node.append(-60.0)
             continue
-        # the header of an article is part of it, and other hints in it are trusted as anywhere
-        odds = sum(PRIORS.get(f, 0.0) for f in features if not (f == "tag=header" and in_region[i]))
+        odds = sum(PRIORS.get(f, 0.0) for f in features)
         odds += 0.5 * sum(model.get(f, 0.0) for f in features)
         node.append(odds - (4.0 if page.hint[i] < 0 and page.tag[i] not in REGION else 0.0))
     # log-odds of a child under either label of its parent
@@ -266,7 +273,7 @@ def marginals(page: Page, model: dict[str, float]) -> list[float]:
             under.append((0.0, 0.0))
             continue
         kind = _edge_kind(page, i)
-        prior = AGREE if kind == "tight" else AGREE_CONTAINER
+        prior = AGREE[kind]
         low, high = model.get(f"edge {kind} 0", 0.0), model.get(f"edge {kind} 1", 0.0)
         under.append((max(-3.0, min(0.0, low)) - prior, max(0.0, min(3.0, high)) + prior))
     up = node[:]  # evidence of the subtree
