@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,25 +21,42 @@ def payload_candidates(value) -> Column:
     return F.filter(F.transform(F.concat(fenced, F.array(text)), strip), lambda c: c != "")
 
 
+#: A string (open at the end of the text or not) or a bracket; other characters never matter.
+_TOKEN = re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?\Z)|[{}\[\]]', re.S)
+_OPENER = re.compile(r"[{\[]")
+_OPENS = {"}": "{", "]": "["}
+
+
+def _brackets(text: str, start: int) -> tuple[dict[int, int], set[int]]:
+    """Read from ``start``: where each bracket of either kind closes, and all brackets that opened."""
+    waiting: dict[str, list[int]] = {"{": [], "[": []}
+    closed, opened = {}, set()
+    for token in _TOKEN.finditer(text, start):
+        sign = token[0]
+        if sign in waiting:
+            waiting[sign].append(token.start())
+            opened.add(token.start())
+        elif sign in _OPENS and waiting[_OPENS[sign]]:
+            closed[waiting[_OPENS[sign]].pop()] = token.end()
+    return closed, opened
+
+
 def _balanced(text: str) -> str | None:
-    """First substring that opens with a brace or bracket and closes at depth zero."""
-    pairs = {"{": "}", "[": "]"}
-    for start, opener in enumerate(text):
-        if opener not in pairs:
-            continue
-        depth, quoted, skip = 0, False, False
-        for end in range(start, len(text)):
-            c = text[end]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            else:
-                depth += (c == opener) - (c == pairs[opener])
-                if depth == 0:
-                    return text[start : end + 1]
+    """The first substring from a brace or bracket to where its own kind is balanced.
+
+    One reading settles every bracket that it sees outside strings; only a bracket inside what was read as a
+    string starts another reading.
+    """
+    ends: dict[int, int] = {}
+    settled: set[int] = set()
+    for opener in _OPENER.finditer(text):
+        at = opener.start()
+        if at not in settled:
+            closed, opened = _brackets(text, at)
+            ends |= {k: v for k, v in closed.items() if k not in settled}
+            settled |= opened
+        if at in ends:
+            return text[at : ends[at]]
     return None
 
 
