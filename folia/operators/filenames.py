@@ -95,9 +95,9 @@ def filename_hits(
     best = keep_best(paths, asked, blocks, _Block, _score, ties, max_paths)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first_seen", "path"))
     chosen = best.withColumn("path_rank", rank).filter(F.col("path_rank") <= max_paths).drop("first_seen")
-    # The first chunks of a path are the same for every question, so they are cut before the join.
+    # The first chunks of a path are the same for every question; only chosen paths are numbered.
     chunk = F.row_number().over(Window.partitionBy("path").orderBy(order))
-    opening = documents.withColumn("chunk_rank", chunk).filter(F.col("chunk_rank") <= chunks_per_path)
+    opening = documents.join(chosen.select("path").distinct(), "path", "left_semi").withColumn("chunk_rank", chunk).filter(F.col("chunk_rank") <= chunks_per_path)
     return (
         opening.join(chosen, "path")
         .withColumn("retrieval_score", F.lit(BASE_SCORE) + F.col("score") / F.lit(SCORE_SCALE))

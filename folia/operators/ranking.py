@@ -1,21 +1,22 @@
-"""Ranking a large table of texts for a block of questions.
-
-Each task holds one block of questions in an inverted n-gram index, streams its share of the
-texts past it and keeps the k best rows per question, so a task emits at most k rows per
-question however many texts it reads.  The questions are measured before they are broadcast:
-a question table over ``BLOCK_BYTES`` is cut by hash into blocks below that size, and every
-block makes its own pass over the texts.
+"""Ranking a large table of texts for a large table of questions.
+
+Spark packs the questions by hash into blocks of bounded bytes, one row per block, and the texts
+where they are scanned into chunks of bounded rows and bytes, one row per chunk.  Blocks meet
+chunks, not questions texts: a task holds one block at a time in an inverted n-gram index, streams
+its chunks past it and keeps the k best rows per question, so it emits at most k rows per question
+however many texts it reads.  No question goes through the driver, and one plan with one scan of
+the texts serves any number of questions.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import reduce
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ GRAM_SIZES = (2, 3, 4)
 # of one block stay near 50 MB in a worker.
 BLOCK_BYTES = 2 * 1024 * 1024
 TEXTS_PER_STEP = 256
+CHUNK_BYTES = 4 * 1024 * 1024
 CACHED_ENTRIES = 4_000_000
 
 
@@ -142,15 +144,45 @@ def make_index(block: pd.DataFrame) -> QuestionIndex:
     return QuestionIndex(block["q_norm"].tolist(), block)
 
 
-def question_blocks(questions: DataFrame, size: Column, limit: int = BLOCK_BYTES) -> list[pd.DataFrame]:
-    """Questions in blocks whose summed ``size`` has been checked."""
-    rows, total = measured_bytes(questions, size)
-    n = max(1, ceil(total / limit))
-    if n == 1:
-        return [questions.toPandas()] if rows else []
-    bucket = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    blocks = (questions.filter(bucket == i).toPandas() for i in range(n))
-    return [b for b in blocks if len(b)]
+def _packed(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(payload: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(payload).read_all().to_pandas()
+
+
+def question_blocks(questions: DataFrame, size: Column, limit: int = BLOCK_BYTES) -> DataFrame:
+    """``(block, questions)``: one row per block of questions whose summed ``size`` is about ``limit`` at most."""
+    _, total = measured_bytes(questions, size)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, ceil(total / limit)))).cast("int")
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], "questions": [_packed(frame.drop(columns="_block"))]})
+
+    return questions.withColumn("_block", block).groupBy("_block").applyInPandas(pack, "block int, questions binary")
+
+
+def text_chunks(texts: DataFrame) -> DataFrame:
+    """``texts`` as rows of packed texts, cut by rows and bytes; nothing moves."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                rows = TEXTS_PER_STEP
+                chunk = _packed(batch.iloc[at : at + rows])
+                while len(chunk) > CHUNK_BYTES and rows > 1:
+                    rows //= 2
+                    chunk = _packed(batch.iloc[at : at + rows])
+                yield pd.DataFrame({"texts": [chunk]})
+                at += rows
+
+    return texts.mapInPandas(pack, "texts binary")
 
 
 def stream_top_k(
@@ -170,15 +202,16 @@ def stream_top_k(
     return keep_best(texts, features, blocks, make_index, scorer, ties, k)
 
 
-def keep_best(texts: DataFrame, questions: DataFrame, blocks, prepare, scorer, ties, k: int) -> DataFrame:
-    """One pass over ``texts`` per block; ``prepare(block)`` builds what ``scorer`` reads."""
-    context = texts.sparkSession.sparkContext
+def keep_best(texts: DataFrame, questions: DataFrame, blocks: DataFrame, prepare, scorer, ties, k: int) -> DataFrame:
+    """The best rows of every task; ``prepare(block)`` builds what ``scorer`` reads.
+
+    The replicating join runs over the blocks outside and the chunks inside, so a task prepares each of its
+    blocks once.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in [*questions.schema, *texts.schema]}
     schema = f"query_id {kinds['query_id']}, score double, " + ", ".join(f"{c} {kinds[c]}" for c, _ in ties)
-    parts = [texts.mapInPandas(_best_rows(context.broadcast(b), prepare, scorer, ties, k), schema) for b in blocks]
-    if not parts:
-        return texts.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts)
+    met = blocks.hint("shuffle_replicate_nl").crossJoin(text_chunks(texts))
+    return met.mapInPandas(_best_rows(prepare, scorer, ties, k), schema)
 
 
 def _kth_best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -189,33 +222,49 @@ def _kth_best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(np.where(np.isnan(scores), -np.inf, scores), n - k, axis=0)[n - k]
 
 
-def _best_rows(shared, prepare, scorer: Scorer, ties, k: int):
+def _best_rows(prepare, scorer: Scorer, ties, k: int):
     names = [c for c, _ in ties]
     order = ["q", "score", *names]
     ascending = [True, False, *(up for _, up in ties)]
 
+    def trimmed(pool: pd.DataFrame) -> pd.DataFrame:
+        return pool.sort_values(order, ascending=ascending, kind="stable").groupby("q").head(k)
+
+    def finished(block: pd.DataFrame, pools: list[pd.DataFrame]) -> pd.DataFrame:
+        best = trimmed(pd.concat(pools, ignore_index=True))
+        out = best[["score", *names]].copy()
+        out.insert(0, "query_id", block["query_id"].to_numpy()[best["q"].to_numpy(dtype=np.int64)])
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = shared.value
-        prepared = prepare(block)
-        best = None
-        floor = np.full(len(block), -np.inf)
+        current = block = prepared = floor = None
+        pools: list[pd.DataFrame] = []
+        held = kept = 0
         for batch in batches:
-            for at in range(0, len(batch), TEXTS_PER_STEP):
-                part = batch.iloc[at : at + TEXTS_PER_STEP]
+            for number, questions, texts in zip(batch["block"], batch["questions"], batch["texts"]):
+                if number != current:
+                    if pools:
+                        yield finished(block, pools)
+                    current, block = number, _unpacked(questions)
+                    prepared, pools, held, kept = prepare(block), [], 0, 0
+                    floor = np.full(len(block), -np.inf)
+                part = _unpacked(texts)
                 scores = scorer(prepared, part)
                 row, q = np.nonzero(scores >= np.maximum(floor, _kth_best(scores, k)))
                 if not len(row):
                     continue
                 new = part[names].iloc[row].reset_index(drop=True)
                 new["q"], new["score"] = q, scores[row, q]
-                pool = new[order] if best is None else pd.concat([best, new[order]], ignore_index=True)
-                best = pool.sort_values(order, ascending=ascending, kind="stable").groupby("q").head(k)
-                filled = best.groupby("q")["score"].agg(["size", "min"])
-                filled = filled[filled["size"] == k]
-                floor[filled.index.to_numpy(dtype=np.int64)] = filled["min"].to_numpy(dtype=np.float64)
-        if best is not None:
-            out = best[["score", *names]].copy()
-            out.insert(0, "query_id", block["query_id"].to_numpy()[best["q"].to_numpy(dtype=np.int64)])
-            yield out
+                pools.append(new[order])
+                held += len(new)
+                # the pool is cut back when it has doubled; a row below a question's k-th best score is out for good
+                if held > 2 * kept + 4 * len(block):
+                    best = trimmed(pd.concat(pools, ignore_index=True))
+                    pools, held, kept = [best], len(best), len(best)
+                    filled = best.groupby("q")["score"].agg(["size", "min"])
+                    filled = filled[filled["size"] == k]
+                    floor[filled.index.to_numpy(dtype=np.int64)] = filled["min"].to_numpy(dtype=np.float64)
+        if pools:
+            yield finished(block, pools)
 
     return run

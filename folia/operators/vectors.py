@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from folia.operators.ranking import keep_best, question_blocks
 
-QUERY_BYTES = 64 * 1024 * 1024
+#: A chunk of texts times a block of queries of 64 dimensions is then about 64 MB.
+QUERY_BYTES = 8 * 1024 * 1024
 
 
 def squared_norm(vector: Column) -> Column:
@@ -45,23 +46,31 @@ def vector_top_k(
 ) -> DataFrame:
     """Best k vectors per query by cosine: (query_id, rank, key, score), ties by key.
 
-    ``queries(query_id, embedding)`` must be of one dimension; vectors of another dimension or
-    without a value give no hit.  Each task multiplies its vectors with a measured block of
-    queries and keeps k rows per query, so the shuffle carries k rows per query and task.
+    Queries and vectors are compared where their dimensions agree.  A query or vector without a value or
+    with a NULL element gives no hit; ``dimension_report`` counts them.  A task multiplies its vectors with
+    one block of queries at a time and keeps k rows per query, so the shuffle carries k rows per query and task.
     """
     asked = queries.select("query_id", F.col(embedding).alias("q_vec"))
+    whole = F.coalesce(F.size("q_vec") > 0, F.lit(False)) & ~F.exists("q_vec", lambda x: x.isNull())
+    asked = asked.filter(whole)
     blocks = question_blocks(asked, F.size("q_vec") * 8 + 16, QUERY_BYTES)
     low = -np.inf if threshold is None else threshold
 
-    def prepare(block: pd.DataFrame) -> np.ndarray:
-        return _matrix(block["q_vec"])
-
-    def score(q: np.ndarray, part: pd.DataFrame) -> np.ndarray:
-        fits = part["vec"].map(lambda v: v is not None and len(v) == q.shape[1]).to_numpy(dtype=bool)
-        out = np.full((len(part), len(q)), np.nan)
-        if fits.any():
-            cosine = _matrix(part["vec"][fits]) @ q.T
-            out[fits] = np.where(cosine >= low, cosine, np.nan)
+    def by_dimension(values: pd.Series) -> dict[int, np.ndarray]:
+        sizes = np.array([len(v) if v is not None else 0 for v in values])
+        return {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes) if n}
+
+    def prepare(block: pd.DataFrame) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        return len(block), {n: (at, _matrix(block["q_vec"].iloc[at])) for n, at in by_dimension(block["q_vec"]).items()}
+
+    def score(prepared, part: pd.DataFrame) -> np.ndarray:
+        count, matrices = prepared
+        out = np.full((len(part), count), np.nan)
+        for n, at in by_dimension(part["vec"]).items():
+            if n in matrices:
+                where, q = matrices[n]
+                cosine = _matrix(part["vec"].iloc[at]) @ q.T
+                out[np.ix_(at, where)] = np.where(cosine >= low, cosine, np.nan)
         return out
 
     scan = vectors.select(key, F.col(embedding).alias("vec"))
