@@ -186,9 +186,10 @@ def content_type(value, formula: Column, table: Column) -> Column:
     )
 
 
-def headings(value, cap: int = P.REGULATORY_ZH.heading_cap) -> Column:
+def headings(value, cap: int | None = P.REGULATORY_ZH.heading_cap) -> Column:
     found = F.transform(F.regexp_extract_all(col(value), F.lit(P.HEADING), F.lit(2)), collapse)
-    return F.slice(F.filter(found, lambda h: h != ""), 1, cap)
+    filled = F.filter(found, lambda h: h != "")
+    return filled if cap is None else F.slice(filled, 1, cap)
 
 
 def filename_hints(value) -> Column:
@@ -198,7 +199,7 @@ def filename_hints(value) -> Column:
 def focus_terms(title) -> Column:
     """Segments after the first colon of a title, two characters or longer."""
     segments = F.filter(F.transform(F.split(col(title), "[：:]"), strip), lambda s: s != "")
-    return F.filter(F.slice(segments, 2, 1_000_000), lambda s: F.length(s) >= 2)
+    return F.filter(segments, lambda s, i: (i > 0) & (F.length(s) >= 2))
 
 
 def distinct_by_norm(values: Column, norm_of: Callable[[Column], Column] = norm_text) -> Column:

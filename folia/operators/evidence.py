@@ -27,12 +27,12 @@ EVIDENCE_COLUMNS = (
 
 
 def evidence_scope(plans: DataFrame) -> DataFrame:
-    """(query_id, doc_id): the planned scope, else the first two titles."""
+    """(query_id, scope_ord, doc_id): the planned scope, else the first two titles, in their order."""
     titles = F.transform(F.slice(F.coalesce("title_hits", F.slice("title_hits", 1, 0)), 1, 2), lambda h: h["doc_id"])
     chosen = F.when(F.size("scoped_doc_ids") > 0, F.col("scoped_doc_ids")).otherwise(titles)
     return (
         plans.filter(F.col("question_type") != "catalog")
-        .select("query_id", F.explode(F.array_distinct(chosen)).alias("doc_id"))
+        .select("query_id", F.posexplode(F.array_distinct(chosen)).alias("scope_ord", "doc_id"))
     )
 
 
@@ -174,7 +174,7 @@ def verified_answers(
 # --- catalog answers ---------------------------------------------------------------------
 def numbered_rules(manifest: DataFrame) -> DataFrame:
     """One row: number of numbered rule files, lowest and highest number with their files."""
-    number = F.try_to_number(F.regexp_extract("title", P.RULE_NO, 1), F.lit("999999999")).cast("long")
+    number = F.regexp_extract("title", P.RULE_NO, 1).try_cast("decimal(38,0)")
     rules = manifest.filter((F.col("category") == "rules") & F.col("title").rlike(P.RULE_NO)).withColumn("no", number)
     return rules.agg(
         F.count("*").alias("n_rules"),

@@ -169,6 +169,28 @@ def trace_relations(
     return _first_edges(unique, limit, query)
 
 
+def trace_in_scope_order(
+    edges: DataFrame, scope: DataFrame, *, limit: int, leg: int = 10, query: str = "query_id"
+) -> DataFrame:
+    """First ``limit`` edges of each question in the order of its ``scope(query_id, doc_id, scope_ord)``.
+
+    A scoped document gives its outgoing edges and then its incoming ones, ``leg`` (or ``limit``, if larger) of
+    each in edge order; the list is cut after that.  An edge between two scoped documents is listed at its first place.
+    """
+    keep = max(leg, limit)
+    legs = []
+    for number, end in enumerate(("source", "target")):
+        found = edges.join(scope.select(query, F.col("doc_id").alias(end), "scope_ord"), end).withColumn("leg", F.lit(number))
+        order = Window.partitionBy(query, "scope_ord").orderBy("edge_ord", "source", "target", "relation")
+        legs.append(found.withColumn("leg_rank", F.row_number().over(order)).filter(F.col("leg_rank") <= keep))
+    place = F.struct("scope_ord", "leg", "leg_rank")
+    edge = [query, "source", "target", "relation", "evidence_section_id"]
+    listed = legs[0].unionByName(legs[1])
+    first = listed.withColumn("n", F.row_number().over(Window.partitionBy(*edge).orderBy(place))).filter("n = 1")
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(place))
+    return first.withColumn("edge_rank", rank).filter(F.col("edge_rank") <= limit).select(query, *edges.columns, "edge_rank")
+
+
 def trace_notices(
     edges: DataFrame, scope: DataFrame, catalog: DataFrame, *, limit: int | None = 20, query: str = "query_id"
 ) -> DataFrame:

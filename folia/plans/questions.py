@@ -55,8 +55,10 @@ def collect_evidence(plans: DataFrame, tables: dict[str, DataFrame], *, limit: i
     related = asked.filter(E.wants_relations()).select("query_id", "question")
     unscoped = related.join(scope.select("query_id").distinct(), "query_id", "left_anti")
     resolved = resolve_documents(unscoped, tables["doc_catalog"]).select("query_id", "doc_id")
-    wanted = scope.join(related.select("query_id"), "query_id", "left_semi").unionByName(resolved)
-    edges = G.trace_relations(tables["relation_edges"], wanted, limit=limit)
+    inside = scope.join(related.select("query_id"), "query_id", "left_semi")
+    edges = G.trace_in_scope_order(tables["relation_edges"], inside, limit=limit).unionByName(
+        G.trace_relations(tables["relation_edges"], resolved, limit=limit)
+    )
     return stored(evidence, "evidence"), stored(edges, "relations")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folia import profiles as P
 from folia.functions.frontmatter import drop_bom
@@ -51,9 +54,17 @@ def _derive(built: DataFrame, sections: DataFrame, formulas: DataFrame, profile:
 
 
 def load_ready_data(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """The artifact tables stored below ``root``."""
+    """The artifact tables stored below ``root``.
+
+    JSON files don't hold types, NULL columns or empty tables, so their schemas are read from the ones written beside them.
+    """
     names = (*COUNT_FIELDS, "relation_nodes")
-    return {name: spark.read.format(fmt).load(f"{root.rstrip('/')}/{name}") for name in names}
+    reader = spark.read.format(fmt)
+    if fmt == "parquet":
+        return {name: reader.load(f"{root.rstrip('/')}/{name}") for name in names}
+    listed = spark.read.text(f"{root.rstrip('/')}/_schemas").collect()  # one short row per artifact
+    schemas = dict(json.loads(row["value"]) for row in listed)
+    return {name: reader.schema(StructType.fromJson(schemas[name])).load(f"{root.rstrip('/')}/{name}") for name in names}
 
 
 def build_ready_data(
@@ -78,7 +89,11 @@ def build_ready_data(
     tables["doc_catalog"] = base.drop("focus_points", "alias_records", "sections")
     for name in ("doc_catalog", "title_aliases", "doc_summaries", "formula_cards"):
         write_artifact(tables[name], root, name, fmt=fmt)
-    write_artifact(G.document_nodes(tables["doc_catalog"]), root, "relation_nodes", fmt=fmt)
+    nodes = G.document_nodes(tables["doc_catalog"])
+    write_artifact(nodes, root, "relation_nodes", fmt=fmt)
+    if fmt != "parquet":
+        known = [(json.dumps([name, t.schema.jsonValue()]),) for name, t in (tables | {"relation_nodes": nodes}).items()]
+        spark.createDataFrame(known, "value string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/_schemas")
     saved = {
         name: spark.read.format(fmt).schema(table.schema).load(f"{root}/{name}") for name, table in tables.items()
     }

@@ -121,13 +121,17 @@ def scan_json_lines(spark: SparkSession, path: str, schema: str, *, strict: bool
 
 
 def scan_relation_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a graph file; both empty when it is missing or not an object."""
+    """(nodes, edges) of a graph file; both empty when it is missing or not an object.
+
+    ``edge_ord`` is an edge's place in the file, the order in which edges are traced.
+    """
     schema = f"nodes array<struct<{_fields(NODE_SCHEMA)}>>, edges array<struct<{_fields(EDGE_SCHEMA)}>>"
     try:
         graph = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("g")).select("g.*")
     except AnalysisException:
         graph = spark.createDataFrame([], schema)
-    return graph.select(F.inline("nodes")), graph.select(F.inline("edges"))
+    edges = graph.select(F.posexplode("edges").alias("edge_ord", "e")).select("e.*", "edge_ord")
+    return graph.select(F.inline("nodes")), edges
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -70,7 +70,7 @@ def normalized_markdown(raw: DataFrame, body: Column, category: Column) -> DataF
     """Target path and full text of the normalised corpus.
 
     ``raw(path, meta)`` with ``meta`` a struct of optional strings.  Files that would land on
-    the same target get ``-2``, ``-3`` and so on, in raw path order.
+    the same target get ``-2``, ``-3`` and so on, in raw path order, past targets that another file has.
     """
     name = F.substring_index("path", "/", -1)
     meta = {k: F.coalesce(F.col(f"meta.{k}"), F.lit("")) for k in P.FRONT_MATTER_KEYS if k != "category"}
@@ -83,15 +83,37 @@ def normalized_markdown(raw: DataFrame, body: Column, category: Column) -> DataF
     }
     target = F.concat_ws("/", category, name)
     turns = number_within(raw.select("path", target.alias("candidate")), "candidate", F.split("path", "/"))
-    suffixed = F.regexp_replace("candidate", r"(\.[^.]+)$", "")
-    extension = F.regexp_extract("candidate", r"(\.[^.]+)$", 1)
-    numbered = F.concat(suffixed, F.lit("-"), F.col("turn").cast("string"), extension)
-    placed = turns.select("path", F.when(F.col("turn") == 1, F.col("candidate")).otherwise(numbered).alias("target_path"))
+    placed = _free_targets(turns)
     return raw.select("path", render_front_matter(fields, body).alias("text")).join(placed, "path").select(
         "path", "target_path", "text"
     )
 
 
+def _free_targets(turns: DataFrame) -> DataFrame:
+    """``(path, target_path)`` with distinct targets, from ``turns(path, candidate, turn)``.
+
+    Where files of different candidates meet on a numbered target, the first in path order has it, and that number
+    is closed to the others' candidate from then on; their files move up by one.  Only names that already end in a
+    number can meet, so a few rounds settle a corpus, and each round closes at least one number.
+    """
+    stem, extension = F.regexp_replace("candidate", r"(\.[^.]+)$", ""), F.regexp_extract("candidate", r"(\.[^.]+)$", 1)
+    closed = turns.sparkSession.createDataFrame([], "candidate string, number bigint")
+    while True:
+        lists = closed.groupBy("candidate").agg(F.array_sort(F.collect_set("number")).alias("closed"))
+        none = F.array().cast("array<bigint>")
+        moved = F.aggregate(F.coalesce("closed", none), F.col("turn").cast("bigint"), lambda n, c: F.when(c <= n, n + 1).otherwise(n))
+        numbered = turns.join(lists, "candidate", "left").withColumn("number", moved)
+        target = F.when(F.col("number") == 1, F.col("candidate")).otherwise(F.concat(stem, F.lit("-"), F.col("number").cast("string"), extension))
+        placed = stored(numbered.select("path", "candidate", "number", target.alias("target_path")), "targets")
+        owners = placed.groupBy("target_path").agg(
+            F.count("*").alias("files"), F.min_by("candidate", F.struct(F.split("path", "/"), "path")).alias("owner")
+        ).filter("files > 1")
+        lost = placed.join(owners, "target_path").filter(F.col("candidate") != F.col("owner")).select("candidate", "number").distinct()
+        if lost.isEmpty():
+            return placed.select("path", "target_path")
+        closed = stored(closed.unionByName(lost), "closed")
+
+
 def number_within(rows: DataFrame, group: str, order: Column) -> DataFrame:
     """Add ``turn``: the position of a row in its group, without gathering a group in one task.
 

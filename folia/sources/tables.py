@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One table of a directory.
 
-    A cluster-sized table arrives in many splits and is left alone.  A table in a single
-    small file would run as one task, so it is spread over the cores.
+    A table of several splits is left alone.  A table of one split, which is at most
+    ``spark.sql.files.maxPartitionBytes`` large, would run as one task, so it is dealt over the cores.
     """
     return spread(spark.read.parquet(f"{root}/{name}.parquet"))
 
 
 def spread(scan: DataFrame) -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() == 1 else scan
 
 
 def measured_bytes(df: DataFrame, size: Column) -> tuple[int, int]:

@@ -50,9 +50,8 @@ def markdown(spark: SparkSession, root: str) -> DataFrame:
 
 
 def title_questions(spark: SparkSession, root: str) -> DataFrame:
-    """The first three words of every page title as a question."""
-    words = F.slice(F.split("title", " "), 1, 3)
-    return page_fields(spark, root).select(F.col("page_id").alias("query_id"), F.array_join(words, " ").alias("question"))
+    """Every page title as a question."""
+    return page_fields(spark, root).select(F.col("page_id").alias("query_id"), F.col("title").alias("question"))
 
 
 def user_turns(spark: SparkSession, root: str) -> DataFrame:

@@ -85,7 +85,7 @@ md AS (
   FROM pf)
 """
 MD = f"{PAGES}, {BODY}"
-TITLE_Q = "tq AS (SELECT page_id AS query_id, array_to_string(list_slice(string_split(title, ' '), 1, 3), ' ') AS question FROM pf)"
+TITLE_Q = "tq AS (SELECT page_id AS query_id, title AS question FROM pf)"
 
 HEADING_RE = rf"(?m)^#{{1,6}}[{WS}]+(.+?)[{WS}]*$"
 

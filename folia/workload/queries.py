@@ -85,7 +85,7 @@ def token_counts(spark: SparkSession, root: str) -> DataFrame:
 
 def embedding_texts(spark: SparkSession, root: str) -> DataFrame:
     docs = C.with_body(I.markdown(spark, root), P.WEB)
-    with_headings = docs.withColumn("headings", T.headings("body", 1_000))
+    with_headings = docs.withColumn("headings", T.headings("body", None))
     return with_headings.select("doc_id", F.md5(T.embedding_text("path", "title", F.col("headings"), "body", max_tokens=300)).alias("embed_md5"))
 
 
@@ -366,7 +366,7 @@ def scoped_search(spark: SparkSession, root: str) -> DataFrame:
 
 
 def keyword_search(spark: SparkSession, root: str) -> DataFrame:
-    """Page titles as texts with their words as keywords; title beginnings as questions."""
+    """Page titles as texts with their words as keywords; whole titles as questions."""
     corpus = I.page_fields(spark, root).select(
         F.col("page_id").alias("doc_id"), F.col("title").alias("haystack"), T.keyword_tokens([F.col("title")], 40).alias("keywords")
     )
@@ -385,7 +385,7 @@ def question_scope_search(spark: SparkSession, root: str) -> DataFrame:
 
 
 def section_search(spark: SparkSession, root: str) -> DataFrame:
-    """Title beginnings against the structured sections of all pages."""
+    """Whole titles against the structured sections of all pages."""
     cut = stored(sections.structured_sections(_sectioned(spark, root), P.WEB), "sections")
     found = L.search_sections(I.title_questions(spark, root), cut, limit=5)
     return found.select("query_id", _long("rank").alias("rank"), "section_id", "score", "reason")
@@ -398,7 +398,7 @@ def formula_search(spark: SparkSession, root: str) -> DataFrame:
 
 
 def summary_search(spark: SparkSession, root: str) -> DataFrame:
-    """Title beginnings against the summaries of all pages."""
+    """Whole titles against the summaries of all pages."""
     built = C.build_documents(I.markdown(spark, root), P.WEB)
     _, edges = _link_edges(spark, root)
     summaries = stored(C.summary_table(built, C.related_documents(edges)), "summaries")
@@ -436,7 +436,7 @@ def vector_dimensions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def filename_matches(spark: SparkSession, root: str) -> DataFrame:
-    """Questions that name files: page paths by title, title beginnings as questions."""
+    """Questions that name files: page paths by title, whole titles as questions."""
     docs = I.page_fields(spark, root).select(
         "page_id", F.concat_ws("/", "lang", F.concat(F.translate("title", "/", "_"), F.lit(".md"))).alias("path")
     )
@@ -530,8 +530,9 @@ def hybrid_retrieval(spark: SparkSession, root: str) -> DataFrame:
         F.array_join("paragraphs", "\n").alias("text"), F.lit(0).alias("token_count"), F.lit("section").alias("source_kind"),
         F.col("h1").alias("section_heading"),
     )
-    asked = I.questions(spark, root).join(table, F.col("query_id") == F.col("row_id")).drop("row_id")
-    found = retrieval.retrieve(asked, docs.join(table, "row_id"), pages.join(table, "row_id"))
+    # rows without a vector stay: a file name can still hit them
+    asked = I.questions(spark, root).join(table, F.col("query_id") == F.col("row_id"), "left").drop("row_id")
+    found = retrieval.retrieve(asked, docs.join(table, "row_id", "left"), pages.join(table, "row_id", "left"))
     return found.select("query_id", _long("rank").alias("rank"), "path", "source_kind", F.round("rerank_score", 6).alias("rerank_score"))
 
 
@@ -658,11 +659,10 @@ def index_metadata(spark: SparkSession, root: str) -> DataFrame:
 
 
 def eval_hit_rate(spark: SparkSession, root: str) -> DataFrame:
-    """Pass rate by language: is the page among the title hits of its own title beginning."""
+    """Pass rate by language: is the page among the title hits of its own title."""
     fields = I.page_fields(spark, root)
     doc_id = F.concat("lang", F.lit("/"), F.lpad(F.col("page_id").cast("string"), 8, "0"), F.lit(".md"))
-    words = F.array_join(F.slice(F.split("title", " "), 1, 3), " ")
-    cases = fields.select(F.col("page_id").alias("case_id"), words.alias("question"), doc_id.alias("expected_doc"), F.col("lang").alias("category"))
+    cases = fields.select(F.col("page_id").alias("case_id"), F.col("title").alias("question"), doc_id.alias("expected_doc"), F.col("lang").alias("category"))
     hits = titles.search_titles(cases.select(F.col("case_id").alias("query_id"), "question"), _web_catalog(spark, root), limit=5)
     results = quality.evaluate_retrieval(cases, hits.select(F.col("query_id").alias("case_id"), F.col("rank").alias("ord"), "doc_id"))
     rates = quality.pass_rate(results, "category")

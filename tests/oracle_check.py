@@ -1,6 +1,7 @@
 """Compare workload queries with their SQL equivalents: ``python tests/oracle_check.py DIR [name ...]``."""
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -61,6 +62,7 @@ def main():
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
