@@ -112,13 +112,13 @@ def title_snippets(plans: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def verified_answers(
-    questions: DataFrame, evidence: DataFrame, explanations: DataFrame, relations: DataFrame, catalog_text: DataFrame
+    questions: DataFrame, evidence: DataFrame, explanations: DataFrame, catalog_text: DataFrame
 ) -> DataFrame:
     """Extractive answer per question: catalog, else formula, else section, else summary, else none.
 
     ``explanations(formula_id, formula_text, variables, applicability_evidence)``;
-    ``relations(query_id)`` one row per question with relation edges;
-    ``catalog_text(catalog_text)`` a single row.
+    ``catalog_text(catalog_text)`` a single row.  ``citation`` is the source that the answer's ``[1]`` stands for: the
+    catalog, the first formula or section, or the first of all sources for a summary; NULL where there is no answer.
     """
     top = evidence.filter(F.col("rank") == 1)
 
@@ -137,7 +137,6 @@ def verified_answers(
         questions.join(formula, "query_id", "left")
         .join(only("section", "text", "title", "section_heading", "article_no"), "query_id", "left")
         .join(only("summary", "text", "title"), "query_id", "left")
-        .join(relations.select("query_id", F.lit(True).alias("has_relations")).distinct(), "query_id", "left")
     )
     names = F.coalesce(T.blank_to_null(F.array_join("variables", "、")), F.lit("未识别到稳定变量"))
     context = F.when(
@@ -159,7 +158,7 @@ def verified_answers(
     )
     is_catalog = F.col("question_type") == "catalog"
     # ``catalog_text`` is a single row by construction.
-    return joined.join(F.broadcast(catalog_text), F.lit(True)).select(
+    answered = joined.join(F.broadcast(catalog_text), F.lit(True)).select(
         "query_id", "question", F.lit("verified").alias("mode"),
         F.when(is_catalog, F.concat(F.lit("根据目录元数据，"), F.col("catalog_text"), F.lit(" [1]")))
         .otherwise(F.coalesce(from_formula, from_section, from_summary, F.lit(NO_EVIDENCE))).alias("answer"),
@@ -169,6 +168,19 @@ def verified_answers(
         .when(F.col("summary_text").isNotNull(), "summary")
         .otherwise("none").alias("answered_from"),
     )
+    source = F.struct("source_kind", "id", "path", "title", "section_heading", "article_no")
+    first = citations(evidence).groupBy("query_id", F.col("source_kind").alias("answered_from")).agg(
+        F.min_by(source, "citation").alias("cited")
+    )
+    nothing = F.lit(None).cast("string")
+    catalog = F.struct(
+        F.lit("catalog").alias("source_kind"), F.lit(CATALOG_DOC_ID).alias("id"), F.lit(CATALOG_PATH).alias("path"),
+        F.lit(CATALOG_TITLE).alias("title"), nothing.alias("section_heading"), nothing.alias("article_no"),
+    )
+    citation = F.when(F.col("answered_from") == "catalog", catalog).otherwise(F.col("cited")).alias("citation")
+    return answered.join(first, ["query_id", "answered_from"], "left").select(
+        "query_id", "question", "mode", "answer", "answered_from", citation
+    )
 
 
 # --- catalog answers ---------------------------------------------------------------------

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from folia import profiles as P
 from folia.functions import text as T
+from folia.sources.shared import stored
 
 # --- Fixed values: rerank weights --------------------------------------------------------
 LEXICAL_WEIGHT, PATH_WEIGHT, DOMAIN_WEIGHT, PHRASE_WEIGHT, SEMANTIC_WEIGHT = 0.35, 0.15, 0.20, 0.10, 0.10
 QUESTION_TERMS = 8
-SALTS = 16
 
 
 def merge_hits(hits: DataFrame, keys: tuple[str, ...] = ("query_id", "path", "text")) -> DataFrame:
@@ -53,7 +53,8 @@ def domain_context(questions: DataFrame) -> DataFrame:
 def rerank(hits: DataFrame, questions: DataFrame, top_k: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Add rerank_score, matched terms and rank; a question with one hit keeps a NULL score.
 
-    Min and max of the retrieval score are window aggregates over the hits of a question.
+    What compares words is reduced to numbers first; the windows over the hits of a question then carry no term
+    lists.  Min and max of the retrieval score are window aggregates.
     """
     asked = domain_context(questions.select("query_id", "question")).select(
         "query_id", F.lower("question").alias("q_lower"),
@@ -61,36 +62,37 @@ def rerank(hits: DataFrame, questions: DataFrame, top_k: int | None = None, by:
     )
     group = Window.partitionBy(*by)
     joined = F.concat_ws(" ", "path", "text")
-    rows = (
-        hits.join(asked, "query_id")
-        .withColumn("doc_terms", T.distinct_terms(joined))
-        .withColumn("path_terms", T.distinct_terms(F.replace("path", F.lit("/"), F.lit(" "))))
-        .withColumn("low", F.min("retrieval_score").over(group))
-        .withColumn("high", F.max("retrieval_score").over(group))
-        .withColumn("n_hits", F.count("*").over(group))
-    )
 
     def share(wanted: str, have: str) -> Column:
         found = F.size(F.array_intersect(F.col(wanted), F.col(have)))
         return found / F.greatest(F.lit(1), F.size(wanted))
 
     phrase = F.when(F.contains(F.lower(joined), F.col("q_lower")), 1.0).otherwise(0.0)
-    spread = (F.col("retrieval_score") - F.col("low")) / (F.col("high") - F.col("low"))
-    semantic = F.when(F.col("high") == F.col("low"), 1.0).otherwise(spread)
-    score = (
+    words = (
         F.col("retrieval_score")
         + LEXICAL_WEIGHT * share("q_terms", "doc_terms")
         + PATH_WEIGHT * share("q_terms", "path_terms")
         + DOMAIN_WEIGHT * share("priority_terms", "doc_terms")
         + PHRASE_WEIGHT * phrase
-        + SEMANTIC_WEIGHT * semantic
     )
+    rows = (
+        hits.join(asked, "query_id")
+        .withColumn("doc_terms", T.distinct_terms(joined))
+        .withColumn("path_terms", T.distinct_terms(F.replace("path", F.lit("/"), F.lit(" "))))
+        .withColumn("word_score", words)
+        .withColumn("matched", F.array_sort(F.array_intersect("priority_terms", "doc_terms")))
+        .drop("q_lower", "q_terms", "priority_terms", "doc_terms", "path_terms")
+        .withColumn("low", F.min("retrieval_score").over(group))
+        .withColumn("high", F.max("retrieval_score").over(group))
+        .withColumn("n_hits", F.count("*").over(group))
+    )
+    spread = (F.col("retrieval_score") - F.col("low")) / (F.col("high") - F.col("low"))
+    semantic = F.when(F.col("high") == F.col("low"), 1.0).otherwise(spread)
     many = F.col("n_hits") > 1
-    matched = F.array_sort(F.array_intersect("priority_terms", "doc_terms"))
     scored = (
-        rows.withColumn("rerank_score", F.when(many, score))
-        .withColumn("domain_terms_matched", F.when(many, matched))
-        .drop("q_lower", "q_terms", "priority_terms", "doc_terms", "path_terms", "low", "high", "n_hits")
+        rows.withColumn("rerank_score", F.when(many, F.col("word_score") + SEMANTIC_WEIGHT * semantic))
+        .withColumn("domain_terms_matched", F.when(many, F.col("matched")))
+        .drop("word_score", "matched", "low", "high", "n_hits")
     )
     order = group.orderBy(F.desc_nulls_last("rerank_score"), F.desc("retrieval_score"), F.asc("ord"))
     ranked = scored.withColumn("rank", F.row_number().over(order))
@@ -117,16 +119,13 @@ def within_budget(
     cap = F.lit(None) if max_hits is None else max_hits
     # Texts stay behind: only ranks and counts take part in the selection.
     slim = hits.select(
-        *by, rank, hit_tokens().cast("long").alias(size), budget.cast("long").alias("_budget"), cap.cast("int").alias("_cap")
+        *by, rank, hit_tokens().cast("long").alias(size), budget.cast("long").alias("_budget"),
+        F.coalesce(cap.cast("int"), F.lit(2**31 - 1)).alias("_cap"),
     )
     most = F.col("_budget") / F.greatest(F.col(size), F.lit(1)) + 1
 
-    def first_per_size(rows: DataFrame, *salt: Column) -> DataFrame:
-        turn = F.row_number().over(Window.partitionBy(*by, size, *salt).orderBy(rank))
-        return rows.withColumn("_turn", turn).filter(F.col("_turn") <= most)
-
-    # The salted pass spreads one question with very many hits of a size over several tasks.
-    possible = first_per_size(first_per_size(slim, F.pmod(F.hash(rank), F.lit(SALTS))))
+    turn = F.row_number().over(Window.partitionBy(*by, size).orderBy(rank))
+    possible = slim.withColumn("_turn", turn).filter(F.col("_turn") <= most)
     item = F.struct(F.col(rank).alias("rank"), F.col(size).alias("n"))
     listed = possible.groupBy(*by).agg(
         F.array_sort(F.collect_list(item)).alias("items"), F.first("_budget").alias("b"), F.first("_cap").alias("cap")
@@ -139,8 +138,7 @@ def within_budget(
         fits = ~state["done"] & ((F.size(state["picked"]) == 0) | (state["total"] + x["n"] <= F.col("b")))
         total = F.when(fits, state["total"] + x["n"]).otherwise(state["total"])
         picked = F.when(fits, F.concat(state["picked"], F.array(x["rank"]))).otherwise(state["picked"])
-        full = F.coalesce(F.size(picked) >= F.col("cap"), F.lit(False))
-        done = state["done"] | (fits & ((total >= F.col("b")) | full))
+        done = state["done"] | (fits & ((total >= F.col("b")) | (F.size(picked) >= F.col("cap"))))
         return F.struct(total.alias("total"), done.alias("done"), picked.alias("picked"))
 
     chosen = listed.select(*by, F.explode(F.aggregate("items", start, step)["picked"]).alias(rank))
@@ -163,7 +161,8 @@ def answer_hits(
     split = hits.withColumn("is_section", is_section)
     both = split.withColumn("mixed", F.size(F.collect_set("is_section").over(Window.partitionBy("query_id"))) > 1)
     side = ("query_id", "is_section")
-    ordered = rerank(both, questions, by=side).drop("domain_terms_matched")
+    # Stored, since the budget reads it twice: once slim for the choice, once for the chosen rows.
+    ordered = stored(rerank(both, questions, by=side).drop("domain_terms_matched"), "ordered")
     budget = F.when(F.col("is_section"), section_tokens).otherwise(doc_tokens)
     cap = F.when(F.col("mixed"), F.when(F.col("is_section"), 6).otherwise(3))
     kept = within_budget(ordered, budget, max_hits=cap, by=side)

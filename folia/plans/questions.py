@@ -63,13 +63,13 @@ def collect_evidence(plans: DataFrame, tables: dict[str, DataFrame], *, limit: i
 
 
 def answer(plans: DataFrame, tables: dict[str, DataFrame], manifest: DataFrame, *, limit: int = 5) -> DataFrame:
-    """Verified answer per planned question."""
-    evidence, relations = collect_evidence(plans, tables, limit=limit)
+    """Verified answer per planned question, with the source it cites."""
+    evidence, _ = collect_evidence(plans, tables, limit=limit)
     wanted = evidence.filter((F.col("kind") == "formula") & (F.col("rank") == 1)).select(F.col("id").alias("formula_id"))
     explained = G.explain_formulas(G.find_formula(tables["formula_cards"], wanted), tables["sections_structured"])
     facts = E.catalog_evidence(manifest).select(F.col("text").alias("catalog_text"))
     return E.verified_answers(
-        plans.select("query_id", "question", "question_type"), evidence, explained, relations, facts
+        plans.select("query_id", "question", "question_type"), evidence, explained, facts
     )
 
 

@@ -571,20 +571,22 @@ add(
 )
 TURN_HITS = f"""th AS (SELECT conv_id AS query_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank,
   'conv/' || turn || '.md' AS path, text, len({tokens("text")}) AS n FROM conversations WHERE role = 'assistant')"""
-add(
-    "context_budget",
-    f"""WITH RECURSIVE {TURN_HITS},
+TURN_FOLD = """
         fold AS (SELECT query_id, turn, rank, n AS total, 1 AS picked, TRUE AS taken, (n >= 400 OR 1 >= 3) AS done FROM th WHERE rank = 1
           UNION ALL
           SELECT t.query_id, t.turn, t.rank, CASE WHEN ok THEN f.total + t.n ELSE f.total END, CASE WHEN ok THEN f.picked + 1 ELSE f.picked END, ok,
             f.done OR (ok AND (f.total + t.n >= 400 OR f.picked + 1 >= 3))
           FROM fold f JOIN (SELECT * FROM th) t ON t.query_id = f.query_id AND t.rank = f.rank + 1,
-          LATERAL (SELECT NOT f.done AND f.total + t.n <= 400 AS ok))
-        SELECT query_id, turn, rank FROM fold WHERE taken""",
+          LATERAL (SELECT NOT f.done AND f.total + t.n <= 400 AS ok))"""
+add(
+    "context_budget",
+    f"""WITH RECURSIVE {TURN_HITS}, {TURN_FOLD} SELECT query_id, turn, rank FROM fold WHERE taken""",
 )
 add(
     "rendered_context",
-    f"""WITH {TURN_HITS} SELECT query_id, string_agg('[' || rank || '] ' || path || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM th GROUP BY 1""",
+    f"""WITH RECURSIVE {TURN_HITS}, {TURN_FOLD},
+        kept AS (SELECT th.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n_kept FROM th SEMI JOIN (SELECT * FROM fold WHERE taken) f USING (query_id, rank))
+        SELECT query_id, string_agg('[' || n_kept || '] ' || path || chr(10) || text, chr(10) || chr(10) ORDER BY n_kept) AS context FROM kept GROUP BY 1""",
 )
 add(
     "answer_sources",
@@ -849,8 +851,9 @@ add(
           SELECT r.query_id, r.rank AS ord, 'document' AS source_kind, d.source || '/' || CAST(d.doc_id AS VARCHAR) AS path, d.text, r.score / 100.0 AS retrieval_score, d.doc_id
           FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 8
           UNION ALL
-          SELECT r.query_id, r.rank + 100, 'section', d.source || '/' || CAST(d.doc_id AS VARCHAR), {truncate("d.text", 400)}, r.score / 100.0, d.doc_id
-          FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 8),
+          SELECT r.query_id, r.rank * 100000 + s - 1, 'section', d.source || '/' || CAST(d.doc_id AS VARCHAR), d.lines[s], r.score / 100.0, d.doc_id
+          FROM ranked r JOIN (SELECT *, string_split(text, chr(10)) AS lines FROM documents) d USING (doc_id), unnest(range(1, len(d.lines) + 1)) AS t(s)
+          WHERE rank <= 8 AND d.lines[s] <> ''),
         {rerank("both_sides", BENCH_Q, "query_id, source_kind", "side")},
         cost AS (SELECT query_id, source_kind, rank, {n_tokens("text")} AS n, CASE source_kind WHEN 'section' THEN 500 ELSE 3000 END AS budget,
                  CASE source_kind WHEN 'section' THEN 6 ELSE 3 END AS cap FROM side),

@@ -467,11 +467,10 @@ def domain_contexts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _turn_hits(spark: SparkSession, root: str) -> DataFrame:
-    """Assistant turns as hits of their conversation, ranked by turn."""
+    """Assistant turns as hits of their conversation, ranked by turn; a long conversation is numbered in ranges."""
     said = read_table(spark, root, "conversations").filter(F.col("role") == "assistant")
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    return said.select(
-        F.col("conv_id").alias("query_id"), F.row_number().over(order).alias("rank"), "turn",
+    return sinks.number_within(said, "conv_id", F.col("turn")).select(
+        F.col("conv_id").alias("query_id"), F.col("turn_no").cast("int").alias("rank"), "turn",
         F.concat(F.lit("conv/"), F.col("turn").cast("string"), F.lit(".md")).alias("path"), "text",
         F.lit(0).alias("token_count"), F.lit("document").alias("source_kind"), F.lit(None).cast("string").alias("section_heading"),
     )
@@ -483,16 +482,19 @@ def context_budget(spark: SparkSession, root: str) -> DataFrame:
 
 
 def answer_context(spark: SparkSession, root: str) -> DataFrame:
-    """Lexical hits as documents and their opening paragraphs as sections, cut to small budgets."""
-    hits = I.lexical_hits(spark, root, 8).withColumn("token_count", F.lit(0)).withColumn("section_heading", F.lit("opening"))
+    """Lexical hits as documents and their lines as sections, cut to small budgets."""
+    hits = I.lexical_hits(spark, root, 8).withColumn("token_count", F.lit(0)).withColumn("section_heading", F.lit("line"))
     docs = hits.withColumn("source_kind", F.lit("document"))
-    secs = hits.withColumn("source_kind", F.lit("section")).withColumn("text", T.truncate("text", 400)).withColumn("ord", F.col("ord") + 100)
+    lines = hits.select("*", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line") != "")
+    place = (F.col("ord") * 100_000 + F.col("line_no")).cast("int")
+    secs = lines.withColumn("source_kind", F.lit("section")).withColumn("text", F.col("line")).withColumn("ord", place).drop("line", "line_no")
     kept = fusion.answer_hits(docs.unionByName(secs), I.questions(spark, root), doc_tokens=3000, section_tokens=500)
     return kept.select("query_id", _long("rank").alias("rank"), "source_kind", "doc_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 def rendered_context(spark: SparkSession, root: str) -> DataFrame:
-    return fusion.render_context(_turn_hits(spark, root))
+    """The turns that fit a budget, as one text per conversation."""
+    return fusion.render_context(fusion.within_budget(_turn_hits(spark, root), F.lit(400), max_hits=F.lit(3)))
 
 
 def answer_sources(spark: SparkSession, root: str) -> DataFrame:
@@ -591,7 +593,8 @@ def verified_answers(spark: SparkSession, root: str) -> DataFrame:
     tables = _web_tables(spark, root)
     record = plans.plan(I.title_questions(spark, root), tables)
     manifest = sinks.corpus_manifest(I.markdown(spark, root))
-    return plans.answer(record, tables, manifest).select("query_id", "answered_from", "answer")
+    cited = (F.col("citation.id").alias("cited_id"), F.col("citation.path").alias("cited_path"))
+    return plans.answer(record, tables, manifest).select("query_id", "answered_from", "answer", *cited)
 
 
 def citation_audit(spark: SparkSession, root: str) -> DataFrame:

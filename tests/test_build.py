@@ -170,6 +170,8 @@ def test_plan_and_answers(spark, stored):
     assert answers[1]["answered_from"] == "formula" and "MC、x_1" in answers[1]["answer"]
     assert answers[2]["answer"] == "根据目录元数据，manifest 共收录 1 份 rules 类文件，可用于回答监管规则数量问题。 [1]"
     assert answers[4]["answered_from"] == "section"
+    cited = {i: answers[i]["citation"]["source_kind"] for i in (1, 2, 4)}
+    assert cited == {1: "formula", 2: "catalog", 4: "section"} and answers[2]["citation"]["id"] == "manifest.json"
     evidence, relations = plans.collect_evidence(plan, tables)
     assert {r["query_id"] for r in relations.collect()} >= {3}
     cases = asked.select(
