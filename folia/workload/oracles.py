@@ -616,6 +616,36 @@ add(
         {any_of("text", P.COUNT_QUERY_MARKERS)} AND {any_of("text", P.COUNT_SCOPE_MARKERS)} AS is_count, {followup("text")} AS needs_history
         FROM conversations WHERE role = 'user')""",
 )
+ROUTED = """['规则第{}号和规则第2号的区别', '监管规则一共有多少号规定？', '最低资本的计算公式是什么', '优化监管标准的通知修订了什么',
+  '保险公司是否需要报送', '规则第{}号的主要内容', '附件{}在哪里', 'why is it so', '那它的定义呢', '偿付能力充足率的定义']"""
+CONTENTS = """['第三条 资本为 $$x_{}$$ 。', '第四条 见表' || chr(10) || '| a | b |' || chr(10) || '| 1 | {} |', '第五条 保险公司的职责。',
+  '其中' || chr(10) || '$$' || chr(10) || 'y_{}' || chr(10) || '$$', '| a | {} |' || chr(10) || '| c | d |',
+  '比例上限为 {}%', '公司应当提交报告', '一般说明', '（一）本款说明 {}', '第{}条']"""
+
+
+def form(forms: str) -> str:
+    return f"replace(({forms})[p_partkey % 10 + 1], '{{}}', CAST(p_size AS VARCHAR))"
+
+
+add(
+    "routing_branches",
+    f"""SELECT p_partkey, question_type, strategy, is_count, needs_history, {plan_case("question_type")} AS plan_strategy, {steps_case("question_type")} AS steps
+        FROM (SELECT p_partkey, {type_case("said")} AS question_type, {strategy_case("said")} AS strategy,
+        {any_of("said", P.COUNT_QUERY_MARKERS)} AND {any_of("said", P.COUNT_SCOPE_MARKERS)} AS is_count, {followup("said")} AS needs_history
+        FROM (SELECT p_partkey, {form(ROUTED)} AS said FROM part))""",
+)
+add(
+    "content_branches",
+    f"""WITH f AS (SELECT p_partkey, body, regexp_matches(body, '{FORMULA_RE}') AS has_formula,
+          regexp_matches(body, '(?m)^[{WS}]*\\|.+\\|[{WS}]*$') AS has_table FROM (SELECT p_partkey, {form(CONTENTS)} AS body FROM part))
+        SELECT p_partkey, has_formula, has_table, CASE WHEN regexp_matches({strip("body")}, '{P.ARTICLE_AT_START}')
+            THEN CASE WHEN has_formula THEN 'article_formula' WHEN has_table THEN 'article_table' ELSE 'article' END
+          WHEN has_formula THEN 'formula' WHEN has_table THEN 'table'
+          WHEN {any_of("body", P.THRESHOLD_MARKERS)} AND regexp_matches(body, '\\d') THEN 'threshold'
+          WHEN {any_of("body", P.OBLIGATION_MARKERS)} THEN 'obligation' ELSE 'semantic' END AS content_type,
+          nullif(regexp_extract({strip("body")}, '{P.ARTICLE_AT_START}'), '') AS article_no,
+          nullif(regexp_extract({strip("body")}, '{P.CLAUSE_AT_START}'), '') AS clause_no FROM f""",
+)
 add(
     "filename_hints",
     f"""SELECT p_partkey, '规则第' || p_size || '号,附件' || p_partkey || '-1' AS hints, {type_case("said")} AS question_type,

@@ -558,6 +558,45 @@ def filename_hints(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+#: One form for every branch of the routing rules; ``{}`` stands for the part's number.  Fixed values of the test input.
+ROUTED = (
+    "规则第{}号和规则第2号的区别", "监管规则一共有多少号规定？", "最低资本的计算公式是什么", "优化监管标准的通知修订了什么",
+    "保险公司是否需要报送", "规则第{}号的主要内容", "附件{}在哪里", "why is it so", "那它的定义呢", "偿付能力充足率的定义",
+)
+#: One form for every kind of content and numbering.  Fixed values of the test input.
+CONTENTS = (
+    "第三条 资本为 $$x_{}$$ 。", "第四条 见表\n| a | b |\n| 1 | {} |", "第五条 保险公司的职责。", "其中\n$$\ny_{}\n$$", "| a | {} |\n| c | d |",
+    "比例上限为 {}%", "公司应当提交报告", "一般说明", "（一）本款说明 {}", "第{}条",
+)
+
+
+def _form(forms: tuple[str, ...]) -> Column:
+    """The form of a part, by its key, with its number filled in."""
+    chosen = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("p_partkey") % len(forms) + 1).cast("int"))
+    return F.replace(chosen, F.lit("{}"), F.col("p_size").cast("string"))
+
+
+def routing_branches(spark: SparkSession, root: str) -> DataFrame:
+    """Every routing decision for questions of all kinds, one per part."""
+    said = read_table(spark, root, "part").select("p_partkey", _form(ROUTED).alias("said"))
+    kind = routing.question_type("said")
+    return said.select(
+        "p_partkey", kind.alias("question_type"), routing.retrieval_strategy("said").alias("strategy"),
+        routing.is_catalog_count("said").alias("is_count"), routing.needs_history("said").alias("needs_history"),
+        routing.plan_strategy(kind).alias("plan_strategy"), F.array_join(routing.evidence_steps(kind), ",").alias("steps"),
+    )
+
+
+def content_branches(spark: SparkSession, root: str) -> DataFrame:
+    """Flags, type, article and clause of contents of all kinds, one per part."""
+    text = read_table(spark, root, "part").select("p_partkey", _form(CONTENTS).alias("body"))
+    flagged = text.withColumn("has_formula", T.has_formula("body")).withColumn("has_table", T.has_table("body"))
+    return flagged.select(
+        "p_partkey", "has_formula", "has_table", T.content_type("body", F.col("has_formula"), F.col("has_table")).alias("content_type"),
+        T.article_no("body").alias("article_no"), T.clause_no("body").alias("clause_no"),
+    )
+
+
 def history_window(spark: SparkSession, root: str) -> DataFrame:
     accepted, _ = conversation.question_and_history(read_table(spark, root, "conversations"))
     return accepted
@@ -689,7 +728,7 @@ QUERIES = {
         html_main_text, asset_references, dangling_assets, source_jobs, intro_paragraphs, catalog_build, title_aliases,
         catalog_fallback, line_blocks, structured_sections, formula_cards, section_embedding_inputs, mention_edges, related_ids,
         enriched_edges, relations_in_out, notice_traces, adjustment_traces, formula_explanations, formula_section_match,
-        question_routing, filename_hints, history_window, rejected_conversations, scope_resolution, routing_record,
+        question_routing, routing_branches, content_branches, filename_hints, history_window, rejected_conversations, scope_resolution, routing_record,
         verified_answers, citation_audit, linked_citations, catalog_count, catalog_evidence, artifact_counts, field_validation,
         index_metadata, eval_hit_rate, hit_previews,
     )

@@ -29,3 +29,24 @@ def test_query_equals_sql(spark, db, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+BRANCHES = {
+    "routing_branches": {
+        "question_type": {"comparison", "catalog", "formula", "version", "compliance", "summary", "locate", "analysis"},
+        "strategy": {"document", "section", "hybrid"},
+        "is_count": {True, False},
+        "needs_history": {True, False},
+    },
+    "content_branches": {
+        "content_type": {"article_formula", "article_table", "article", "formula", "table", "threshold", "obligation", "semantic"},
+        "clause_no": {None, "（一）"},
+    },
+}
+
+
+@pytest.mark.parametrize("name", BRANCHES)
+def test_every_branch_occurs_and_equals_sql(spark, db, name):
+    assert compare(spark, db, ROOT, QUERIES[name], ORACLES[name]) is None
+    for column, values in BRANCHES[name].items():
+        assert {r[0] for r in db.execute(f"SELECT DISTINCT {column} FROM ({ORACLES[name]})").fetchall()} == values
