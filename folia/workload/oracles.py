@@ -608,6 +608,24 @@ add(
         SELECT s.question_id, s.query_ord, s.query, count(doc_id) AS new_hits, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank), '') AS paths
         FROM subs s LEFT JOIN first_ f ON s.question_id = f.question_id AND s.query_ord = f.query_ord GROUP BY 1, 2, 3""",
 )
+add(
+    "multi_query_hits",
+    f"""WITH {SUBS}, {lexical(f"SELECT question_id * 10 + query_ord AS query_id, {norm('query')} AS q_norm FROM subs", DOC_H, 90.0, 4)},
+        hit AS (SELECT query_id // 10 AS question_id, query_id % 10 AS query_ord, rank, r.doc_id, d.text, r.score / 100.0 AS retrieval_score
+                FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 4),
+        first_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id, text ORDER BY query_ord, rank) AS f FROM hit) WHERE f = 1),
+        pool AS (SELECT question_id AS query_id, row_number() OVER (PARTITION BY question_id ORDER BY query_ord, rank) AS ord,
+                 CAST(doc_id AS VARCHAR) AS path, text, retrieval_score FROM first_),
+        {rerank("pool", BENCH_Q, "query_id", "rr")}
+        SELECT query_id, rank, path, round(rerank_score, 6) AS rerank_score FROM rr WHERE rank <= 8""",
+)
+add("json_lines_scan", "SELECT conv_id, turn, role, text FROM conversations")
+add(
+    "stored_vectors",
+    """SELECT vec_id, len(embedding) AS dimension, CASE WHEN norm > 0 THEN 1.0 ELSE 0.0 END AS norm,
+        round(CAST(list_max(embedding) AS DOUBLE) / CASE WHEN norm > 0 THEN norm ELSE 1.0 END, 4) AS largest
+        FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm FROM embeddings)""",
+)
 # --- routing and conversations -----------------------------------------------------------
 add(
     "question_routing",

@@ -23,7 +23,7 @@ from folia.plans import questions as plans
 from folia.plans import ready_data as builds
 from folia.plans import retrieval
 from folia.sources import sinks
-from folia.sources.files import source_inventory
+from folia.sources.files import scan_json_lines, source_inventory
 from folia.sources.shared import new_folder, stored
 from folia.sources.tables import read_table
 from folia.workload import inputs as I
@@ -502,8 +502,8 @@ def answer_sources(spark: SparkSession, root: str) -> DataFrame:
     return found.select("query_id", _long("index").alias("index"), "path", "url", "snippet", "heading")
 
 
-def multi_query(spark: SparkSession, root: str) -> DataFrame:
-    """Every passage and its first sentence as sub-queries: new hits per sub-query."""
+def _sub_query_hits(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(sub-queries, hits): every passage, its first sentence and its lower-case form, with four hits each."""
     asked = I.questions(spark, root)
     listed = fusion.normalize_queries(F.array("question", F.substring_index("question", ".", 1), F.lower("question")))
     subs = asked.select(F.col("query_id").alias("question_id"), F.posexplode(listed).alias("query_ord", "query"))
@@ -513,12 +513,43 @@ def multi_query(spark: SparkSession, root: str) -> DataFrame:
     hits = found.join(texts, "doc_id").select(
         F.split_part("query_id", F.lit(":"), F.lit(1)).cast("bigint").alias("question_id"),
         F.split_part("query_id", F.lit(":"), F.lit(2)).cast("int").alias("query_ord"),
-        "rank", F.col("doc_id").cast("string").alias("path"), "text",
+        "rank", F.col("doc_id").cast("string").alias("path"), "text", (F.col("score") / 100.0).alias("retrieval_score"),
     )
-    history = fusion.retrieval_history(subs, fusion.first_seen_hits(hits))
+    return subs, hits
+
+
+def multi_query(spark: SparkSession, root: str) -> DataFrame:
+    """New hits per sub-query."""
+    subs, hits = _sub_query_hits(spark, root)
+    history = fusion.retrieval_history(subs, fusion.first_seen_hits(hits.drop("retrieval_score")))
     return history.select("question_id", _long("query_ord").alias("query_ord"), "query", _long("new_hits").alias("new_hits"), F.array_join("paths", ",").alias("paths"))
 
 
+def multi_query_hits(spark: SparkSession, root: str) -> DataFrame:
+    """The hits that all sub-queries of a question end with: pooled, reranked and cut to the synthesis width."""
+    subs, hits = _sub_query_hits(spark, root)
+    final, _ = retrieval.multi_query(I.questions(spark, root), subs, stored(hits, "sub_hits"), top_k=4)
+    return final.select("query_id", _long("rank").alias("rank"), "path", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+def json_lines_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Conversations written as JSON lines and scanned back."""
+    folder = new_folder(spark, "json_lines")
+    table = read_table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    table.write.json(folder)
+    return scan_json_lines(spark, folder, "conv_id bigint, turn bigint, role string, text string")
+
+
+def stored_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """Vectors written at unit length and read back: dimension, length and largest component."""
+    folder = new_folder(spark, "vectors")
+    sinks.write_vectors(read_table(spark, root, "embeddings"), folder)
+    return spark.read.parquet(folder).select(
+        "vec_id", _long(F.size("embedding")).alias("dimension"), F.round(F.sqrt(vectors.squared_norm(F.col("embedding"))), 4).alias("norm"),
+        F.round(F.array_max("embedding").cast("double"), 4).alias("largest"),
+    )
+
+
 def hybrid_retrieval(spark: SparkSession, root: str) -> DataFrame:
     """Vector and file name hits over documents and page openings, by question strategy."""
     table = read_table(spark, root, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
@@ -721,7 +752,8 @@ QUERIES = {
     for f in (
         lexical_topk, scoped_search, keyword_search, question_scope_search, summary_search, section_search, formula_search,
         title_ladder, alias_resolution, vector_topk, unit_vectors, vector_dimensions, filename_matches, merge_hits,
-        reranked_hits, domain_contexts, context_budget, answer_context, rendered_context, answer_sources, multi_query, hybrid_retrieval,
+        reranked_hits, domain_contexts, context_budget, answer_context, rendered_context, answer_sources, multi_query, multi_query_hits, hybrid_retrieval, json_lines_scan,
+        stored_vectors,
         validity_report, validity_counts, normalized_text, text_snippets, char_gram_counts, content_terms, keywords_first40,
         token_counts, token_windows, embedding_texts, content_types, source_urls, canonical_ids, json_recovery, message_texts,
         heading_dedupe, leading_title, corpus_manifest, normalized_corpus, math_markdown, latex_repair, html_title,
