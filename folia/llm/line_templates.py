@@ -31,6 +31,8 @@ LEAD, LEAST_TOKENS = 3, 5
 LEAST_DOCS, LEAST_SHARE = 5, 0.2
 #: Recurring leaves that go to the tasks as one sorted array at most (eight bytes each); beyond, lines are joined.
 SENT_LEAVES = 1 << 20
+#: Bytes of templates that go to the tasks at most.
+SENT_BYTES = 32 << 20
 WILD = "<*>"
 VARIABLE = re.compile(r"[0-9]|://|@")
 
@@ -90,14 +92,15 @@ def _recurring(marked: DataFrame) -> DataFrame:
     return counted.filter((F.col("marks") >= LEAST_DOCS) & (F.col("marks") >= LEAST_SHARE * F.col("docs"))).select("leaf")
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, hash, drop)``: the numbers of the lines to drop, for the rows that have any.
+def _keyed(docs: DataFrame) -> DataFrame:
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    return keyed.withColumn("hash", F.xxhash64("text"))
 
-    ``hash`` is that of the text; a NULL text never has a line to drop.
-    """
+
+def templates(docs: DataFrame) -> DataFrame:
+    """``(leaf, fixed, first_id)``: recurring templates, the tokens they fix by place, and the least id that has them."""
     kind = dict(docs.dtypes)["doc_id"]
-    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    keyed = keyed.withColumn("hash", F.xxhash64("text"))
+    keyed = _keyed(docs)
     leaves = stored(_recurring(keyed.select("text").mapInArrow(_leaves, "leaf bigint, mark bigint")), "leaves")
     schema = f"doc_id {kind}, hash bigint, line int, leaf bigint, mark bigint, tokens array<string>"
     if leaves.count() <= SENT_LEAVES:
@@ -105,50 +108,94 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         lines = keyed.mapInArrow(_tokens(only), schema)
     else:
         lines = keyed.mapInArrow(_tokens(None), schema).join(leaves, "leaf", "left_semi")
-    lines = stored(lines, "lines")
+    lines = stored(lines.select("doc_id", "hash", "leaf", "mark", "tokens"), "lines")
 
     # tokens that a majority has at their position, by leaf; a leaf's lines have one length
     places = lines.select("leaf", F.posexplode("tokens").alias("place", "token"))
     support = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     totals = lines.groupBy("leaf").agg(F.count("*").alias("total"))
-    fixed = support.join(totals, "leaf").filter(F.col("n") * 2 > F.col("total"))
-    templates = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))
+    common = support.join(totals, "leaf").filter(F.col("n") * 2 > F.col("total"))
+    found = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))
     # a template must fix most of its positions, and a line must have what it fixes
     agrees = F.expr("forall(map_keys(fixed), p -> element_at(tokens, p + 1) = fixed[p])")
-    matching = lines.join(templates, "leaf").filter(F.size("fixed") * 2 > F.size("tokens")).filter(agrees)
-    matching = stored(matching.select("doc_id", "hash", "line", "leaf", "mark"), "matching")
-    again = _recurring(matching.select("doc_id", "hash", "leaf", "mark").distinct().select("leaf", "mark"))
+    matching = lines.join(found, "leaf").filter(F.size("fixed") * 2 > F.size("tokens")).filter(agrees)
+    matching = stored(matching.select("doc_id", "hash", "leaf", "mark").distinct(), "matching")
+    again = _recurring(matching.select("leaf", "mark"))
     firsts = matching.groupBy("leaf").agg(F.min("doc_id").alias("first_id"))
-    # once more by line: a document may repeat its line
-    dropped = matching.join(again.join(firsts, "leaf"), "leaf")
-    earliest = Window.partitionBy("leaf", "doc_id").orderBy("line")
-    own = dropped.filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    own = own.withColumn("n", F.row_number().over(earliest)).filter("n > 1")
-    others = dropped.filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-    gone = others.select("doc_id", "hash", "line").unionByName(own.select("doc_id", "hash", "line"))
-    return gone.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("line")).alias("drop"))
-
-
-def with_lines_dropped(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` shortened, and ``__lines`` and ``__dropped`` counts added."""
-    gone = stored(recurring_lines(docs), "gone")
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("hash").alias("__gone_hash"), F.col("drop").alias("__drop"))
+    return stored(found.join(again, "leaf", "left_semi").join(firsts, "leaf"), "templates")
+
+
+class Matcher:
+    """Line numbers to drop from a text, given the recurring templates."""
+
+    def __init__(self, rows: list[tuple[int, dict[int, str], object]]) -> None:
+        self.known = {leaf: (sorted(fixed.items()), first) for leaf, fixed, first in rows}
+
+    def __call__(self, doc_id: object, text: str | None) -> list[int]:
+        dropped, own = [], set()
+        for number, leaf, tokens in _lines(text):
+            if leaf in self.known:
+                fixed, first = self.known[leaf]
+                if all(tokens[place] == token for place, token in fixed):
+                    if doc_id == first and leaf not in own:
+                        own.add(leaf)
+                    else:
+                        dropped.append(number)
+        return dropped
+
+
+def _dropping(matcher: Matcher):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in parts(batches, "__text"):
+            drop = [matcher(i, t) for i, t in zip(rows.column("__id").to_pylist(), texts)]
+            drops = pa.array([d or None for d in drop], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, drops], [*rows.schema.names, "__drop"])
+
+    return scan
+
+
+def _joined_drops(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``(__gone_id, __gone_hash, __drop)`` where the templates are too many to send: lines meet them by leaf."""
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, hash bigint, line int, leaf bigint, mark bigint, tokens array<string>"
+    lines = _keyed(docs).mapInArrow(_tokens(None), schema).distinct().join(found, "leaf")
+    lines = lines.filter(F.expr("forall(map_keys(fixed), p -> element_at(tokens, p + 1) = fixed[p])"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "hash", "leaf").orderBy("line"))
+    gone = lines.withColumn("n", place).filter((F.col("n") > 1) | ~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    gone = gone.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("line")).alias("__drop"))
+    return stored(gone, "gone").select(F.col("doc_id").alias("__gone_id"), F.col("hash").alias("__gone_hash"), "__drop")
+
+
+def with_lines_dropped(docs: DataFrame, *, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """``docs`` with ``text`` shortened, and ``__lines``, ``__dropped`` and ``__numbers`` added.
+
+    Templates of up to ``sent_bytes`` go to the tasks, and no text is shuffled; beyond, lines join them by leaf.
+    """
+    found = templates(docs)
+    size = found.agg(F.coalesce(F.sum(F.octet_length(F.array_join(F.map_values("fixed"), " ")) + 8 * F.size("fixed") + 64), F.lit(0))).first()[0]
     text = F.col("text").cast("string")
-    same = docs["doc_id"].eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_hash"))
-    joined = docs.join(gone, same, "left")
+    if size <= sent_bytes:
+        rows = [(r["leaf"], r["fixed"], r["first_id"]) for r in found.toLocalIterator()]
+        keyed = docs.withColumns({"__id": F.col("doc_id"), "__text": text})
+        schema = ", ".join([*(f"`{c}` {t}" for c, t in keyed.dtypes), "__drop array<int>"])
+        joined = keyed.mapInArrow(_dropping(Matcher(rows)), schema)
+    else:
+        gone = _joined_drops(docs, found)
+        same = docs["doc_id"].eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_hash"))
+        joined = docs.join(gone, same, "left")
     lines = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
     return joined.select(
-        *(F.when(F.col("__drop").isNull(), text).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns),
+        *(F.when(F.col("__drop").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("__lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("bigint").alias("__dropped"),
         F.coalesce(F.array_join(F.col("__drop").cast("array<string>"), ","), F.lit("")).alias("__numbers"),
     )
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``docs`` without recurring lines; ``n_chars``, where there is one, follows the text."""
-    found = with_lines_dropped(docs)
+    found = with_lines_dropped(docs, sent_bytes=sent_bytes)
     columns = []
     for c, t in docs.dtypes:
         changed = F.when(F.col("__dropped") > 0, F.length("text").cast(t)).otherwise(F.col(c))
@@ -158,7 +205,7 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
 
 def line_counts(docs: DataFrame) -> DataFrame:
     """Per row: lines, dropped lines, their numbers, and a digest of the text that stays."""
-    found = with_lines_dropped(docs)
+    found = with_lines_dropped(docs.select("doc_id", "text"))
     return found.select(
         "doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.col("__numbers").alias("dropped_lines"),
         F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"),

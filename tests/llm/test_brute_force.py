@@ -351,7 +351,8 @@ def test_weak_labels_agree_with_given_ones(spark, labels):
 
 
 # --- line dedup --------------------------------------------------------------------------------
-def test_recurring_templates_are_dropped_but_for_the_first(spark):
+@pytest.mark.parametrize("sent_bytes", [1 << 20, 0])
+def test_recurring_templates_are_dropped_but_for_the_first(spark, sent_bytes):
     rng = random.Random(11)
     rows = []
     for i in range(40):
@@ -364,7 +365,7 @@ def test_recurring_templates_are_dropped_but_for_the_first(spark):
     copied = "\n".join(" ".join(prose(rng, 12)) for _ in range(8))
     rows += [(100 + i, copied) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    kept = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs).collect()}
+    kept = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs, sent_bytes=sent_bytes).collect()}
     for i, text in rows:
         lines = text.split("\n")
         if i < 100:
