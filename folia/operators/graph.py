@@ -218,8 +218,8 @@ def formula_sections(formulas: DataFrame, sections: DataFrame) -> DataFrame:
     """Best section per formula: same article, else same heading with math, else text, else first.
 
     The first two rules and the last are equi-joins against one row per key, so a document with
-    very many sections does not multiply its formulas; only formulas that both rules miss are
-    compared with the section texts of their document.
+    very many sections does not multiply its formulas; formulas that both rules miss meet the
+    sections of their document by the first characters of their text.
     """
     spot = F.min(F.struct("section_idx", "section_id"))
     by_article = sections.filter(F.col("article_no") != "").groupBy("doc_id", "article_no").agg(spot.alias("a"))
@@ -236,12 +236,7 @@ def formula_sections(formulas: DataFrame, sections: DataFrame) -> DataFrame:
     )
     head = F.left(T.norm_text("formula_text"), F.lit(80))
     missed = keyed.filter(F.col("spot").isNull() & (head != "")).select("formula_id", "doc_id", head.alias("head"))
-    by_text = (
-        missed.join(sections.select("doc_id", "section_idx", "section_id", "text"), "doc_id")
-        .filter(F.contains(T.norm_text("text"), F.col("head")))
-        .groupBy("formula_id")
-        .agg(spot.alias("t"))
-    )
+    by_text = _sections_with_head(missed, sections).groupBy("formula_id").agg(spot.alias("t"))
     first = sections.groupBy("doc_id").agg(spot.alias("f"))
     return (
         keyed.select("formula_id", "doc_id", "spot")
@@ -251,6 +246,27 @@ def formula_sections(formulas: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
+#: Beginnings of formulas of this many characters meet sections by equality; shorter ones are compared directly.
+HEAD_GRAM = 12
+
+
+def _sections_with_head(missed: DataFrame, sections: DataFrame) -> DataFrame:
+    """Rows of ``missed(formula_id, doc_id, head)`` with the sections of their document that contain the head.
+
+    A section's text is normalised once and gives its distinct runs of twelve characters; a head meets only the
+    sections that have its first run, and containment is checked after.
+    """
+    wanted = sections.join(missed.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = wanted.select("doc_id", "section_idx", "section_id", T.norm_text("text").alias("norm"))
+    last = F.length("norm") - HEAD_GRAM + 1
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col("norm"), i, F.lit(HEAD_GRAM)))
+    keyed = texts.filter(last >= 1).withColumn("run", F.explode(F.array_distinct(runs)))
+    long = missed.filter(F.length("head") >= HEAD_GRAM).withColumn("run", F.left("head", F.lit(HEAD_GRAM)))
+    short = missed.filter(F.length("head") < HEAD_GRAM).join(texts, "doc_id")
+    met = long.join(keyed, ["doc_id", "run"]).select(short.columns).unionByName(short)
+    return met.filter(F.contains("norm", "head"))
+
+
 def explain_formulas(formulas: DataFrame, sections: DataFrame, *, lines_per_variable: int = 2) -> DataFrame:
     """Variables of each formula with the lines of its section that name them."""
     chosen = formula_sections(formulas, sections)
