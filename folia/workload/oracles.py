@@ -664,6 +664,25 @@ add(
           nullif(regexp_extract({strip("body")}, '{P.ARTICLE_AT_START}'), '') AS article_no,
           nullif(regexp_extract({strip("body")}, '{P.CLAUSE_AT_START}'), '') AS clause_no FROM f""",
 )
+REPAIRED = r"""['a &lt; {}', 'x $$a < {}$$', '\[ a > {} \]', '$$' || chr(10) || 'x_{\text{市场}_1} + y^{\text{信用}} + {}' || chr(10) || '$$', '$$0.148\%$$ {}',
+  '$$x = -1.5$$ {}', '```math' || chr(10) || 'f=\begin{cases}' || chr(10) || '1 & a \\' || chr(10) || '{} & b' || chr(10) || '\end{cases}' || chr(10) || '```',
+  '用 `ρ_ij` 表示 {}', '用 `k_1 = 0.5` 表示 {}', '用 $\frac{a}{b}$ 表示 {}']"""
+add("math_branches", f"SELECT p_partkey, {form(REPAIRED)} AS text FROM part")
+
+
+def header(values: dict[str, str]) -> str:
+    """Header lines in their fixed order; a value with a sign of its own meaning is quoted."""
+    def scalar(x: str) -> str:
+        return f"CASE WHEN regexp_matches({x}, '[:#\\n\"]') OR starts_with({x}, ' ') OR ends_with({x}, ' ') THEN CAST(to_json({x}) AS VARCHAR) ELSE {x} END"
+
+    return " || chr(10) || ".join(f"'{key}: ' || {scalar(values.get(key, chr(39) * 2))}" for key in P.FRONT_MATTER_KEYS)
+
+
+add(
+    "front_matter_render",
+    f"""WITH {PAGES} SELECT page_id, md5('---' || chr(10) || {header({"title": "title", "category": "lang", "source_url": "url"})} || chr(10) || '---' || chr(10)
+        || chr(10) || {strip("array_to_string(paragraphs, chr(10) || chr(10))")} || chr(10)) AS text_md5 FROM pf""",
+)
 add(
     "filename_hints",
     f"""SELECT p_partkey, '规则第' || p_size || '号,附件' || p_partkey || '-1' AS hints, {type_case("said")} AS question_type,

@@ -601,6 +601,14 @@ CONTENTS = (
 )
 
 
+#: One form for every repair of math and for what must stay.  Fixed values of the test input.
+MATHS = (
+    "a &lt; {}", "x $$a &amp;amp;lt; {}$$", "\\[ a & gt; {} \\]", "$$\nx_{ \\市场 _1 } + y^{\\信用} + {}\n$$", "$$0. 1 4 8 \\%$$ {}",
+    "$$x = − 1 . 5$$ {}", "$$f=\\left\\{\\begin{array}{l l} 1 & a \\\\ {} & b\\end{array}\\right.$$", "用 $\\rho_{ij}$ 表示 {}",
+    "用 $k_{1} = 0.5$ 表示 {}", "用 $\\frac{a}{b}$ 表示 {}",
+)
+
+
 def _form(forms: tuple[str, ...]) -> Column:
     """The form of a part, by its key, with its number filled in."""
     chosen = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("p_partkey") % len(forms) + 1).cast("int"))
@@ -628,6 +636,18 @@ def content_branches(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def math_branches(spark: SparkSession, root: str) -> DataFrame:
+    """Math repair of forms of all kinds, one per part."""
+    return read_table(spark, root, "part").select("p_partkey", normalize_math_markdown(_form(MATHS)).alias("text"))
+
+
+def front_matter_render(spark: SparkSession, root: str) -> DataFrame:
+    """Pages rendered with their header."""
+    fields = {"title": F.col("title"), "category": F.col("lang"), "source_url": F.col("url")}
+    body = F.array_join("paragraphs", "\n\n")
+    return I.page_fields(spark, root).select("page_id", F.md5(FM.render_front_matter(fields, body)).alias("text_md5"))
+
+
 def history_window(spark: SparkSession, root: str) -> DataFrame:
     accepted, _ = conversation.question_and_history(read_table(spark, root, "conversations"))
     return accepted
@@ -760,7 +780,7 @@ QUERIES = {
         html_main_text, asset_references, dangling_assets, source_jobs, intro_paragraphs, catalog_build, title_aliases,
         catalog_fallback, line_blocks, structured_sections, formula_cards, section_embedding_inputs, mention_edges, related_ids,
         enriched_edges, relations_in_out, notice_traces, adjustment_traces, formula_explanations, formula_section_match,
-        question_routing, routing_branches, content_branches, filename_hints, history_window, rejected_conversations, scope_resolution, routing_record,
+        question_routing, routing_branches, content_branches, math_branches, front_matter_render, filename_hints, history_window, rejected_conversations, scope_resolution, routing_record,
         verified_answers, citation_audit, linked_citations, catalog_count, catalog_evidence, artifact_counts, field_validation,
         index_metadata, eval_hit_rate, hit_previews,
     )
