@@ -90,7 +90,7 @@ def normalized_markdown(raw: DataFrame, body: Column, category: Column) -> DataF
 
 
 def _free_targets(turns: DataFrame) -> DataFrame:
-    """``(path, target_path)`` with distinct targets, from ``turns(path, candidate, turn_no)``.
+    """``(path, target_path)`` with distinct targets, from ``turns(path, candidate, turn)``.
 
     Where files of different candidates meet on a numbered target, the first in path order has it, and that number
     is closed to the others' candidate from then on; their files move up by one.  Only names that already end in a
@@ -101,7 +101,7 @@ def _free_targets(turns: DataFrame) -> DataFrame:
     while True:
         lists = closed.groupBy("candidate").agg(F.array_sort(F.collect_set("number")).alias("closed"))
         none = F.array().cast("array<bigint>")
-        moved = F.aggregate(F.coalesce("closed", none), F.col("turn_no").cast("bigint"), lambda n, c: F.when(c <= n, n + 1).otherwise(n))
+        moved = F.aggregate(F.coalesce("closed", none), F.col("turn").cast("bigint"), lambda n, c: F.when(c <= n, n + 1).otherwise(n))
         numbered = turns.join(lists, "candidate", "left").withColumn("number", moved)
         target = F.when(F.col("number") == 1, F.col("candidate")).otherwise(F.concat(stem, F.lit("-"), F.col("number").cast("string"), extension))
         placed = stored(numbered.select("path", "candidate", "number", target.alias("target_path")), "targets")
@@ -114,7 +114,7 @@ def _free_targets(turns: DataFrame) -> DataFrame:
         closed = stored(closed.unionByName(lost), "closed")
 
 
-def number_within(rows: DataFrame, group: str, order: Column, name: str = "turn_no") -> DataFrame:
+def number_within(rows: DataFrame, group: str, order: Column, name: str = "turn") -> DataFrame:
     """Add ``name``: the position of a row in its group, without gathering a group in one task.
 
     Rows are range-partitioned by (group, order), so a group of any size is spread over several

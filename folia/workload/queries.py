@@ -469,7 +469,7 @@ def domain_contexts(spark: SparkSession, root: str) -> DataFrame:
 def _turn_hits(spark: SparkSession, root: str) -> DataFrame:
     """Assistant turns as hits of their conversation, ranked by turn; a long conversation is numbered in ranges."""
     said = read_table(spark, root, "conversations").filter(F.col("role") == "assistant")
-    return sinks.number_within(said, "conv_id", F.col("turn")).select(
+    return sinks.number_within(said, "conv_id", F.col("turn"), "turn_no").select(
         F.col("conv_id").alias("query_id"), F.col("turn_no").cast("int").alias("rank"), "turn",
         F.concat(F.lit("conv/"), F.col("turn").cast("string"), F.lit(".md")).alias("path"), "text",
         F.lit(0).alias("token_count"), F.lit("document").alias("source_kind"), F.lit(None).cast("string").alias("section_heading"),
