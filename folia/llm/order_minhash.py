@@ -2,15 +2,17 @@
 
 Words are lower-cased runs of ASCII letters, digits and characters beyond ASCII.  A text's k-mers are its
 runs of five words (the whole text, if shorter), each labelled with its occurrence number.  A sketch takes
-the five labelled k-mers of least hash under one random order and keeps them in text order; forty sketches
-are taken.  Texts that share a sketch are candidates.  Two texts are linked if their sets of five-word runs
-have a Jaccard similarity of 0.8 or more and a banded alignment of their words needs edits for at most a
-fifth of the longer text.  A class is a connected component of the links.
-
-At similarity 0.8 a sketch agrees with probability 0.8^5 and all forty differ with about 1.2e-7; no
-cap drops a candidate.  Within a group that shares a sketch, members are compared with a leader first;
-only groups that are not yet one class get more leaders, four times as many in every round, until each
-pair of members has met or is in one class.
+the labelled k-mers of least hash under one random order and keeps them in text order.  Two texts are
+linked if their sets of five-word runs have a Jaccard similarity of 0.8 or more and a banded alignment of
+their words needs edits for at most a fifth of the longer text.  A class is a connected component of links.
+
+Sketches are taken twice.  Forty coarse ones of five k-mers find the texts that share one with any other;
+only these get fine ones (up to 150 of ten k-mers), whose agreement makes a pair a candidate.  Short texts have
+sketches of fewer k-mers; the ranges of length overlap so that two texts of similarity 0.8 always have a kind in
+common.  At that similarity all sketches of a kind differ with a probability of about 1e-6 or less;
+no cap drops a candidate.  Within a group that shares a sketch, members are compared with a leader first; only
+groups that are not yet one class get more leaders, four times as many in every round, until each pair of members
+has met or is in one class.
 
 Defined results: equal texts, also empty ones, are one class; a NULL text is a class of its own; texts
 without words are near no other; repeated rows stay one row each; other columns are not read.
@@ -19,6 +21,8 @@ without words are near no other; repeated rows stay one row each; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,26 @@ from folia.llm.components import components
 from folia.llm.words import PLAIN, Words, mixed, parts, record, run_hashes
 from folia.sources.shared import stored
 
-RUN, SKETCHES, KEPT = 5, 40, 5
-SIMILAR = 0.8
+RUN, SIMILAR = 5, 0.8
+
+
+@dataclass(frozen=True)
+class Kind:
+    """``count`` sketches of ``kept`` k-mers, for texts with ``low`` to ``high`` k-mers (exclusive)."""
+
+    low: int
+    high: float
+    kept: int
+    count: int
+
+
+#: Texts of similarity 0.8 have numbers of k-mers within a fifth.  Where one kind begins at ``low``, the one before
+#: it ends at 1.25 ``low`` or later, so both texts always have a kind in common.
+COARSE = (Kind(1, 30, 2, 40), Kind(20, inf, 5, 40))
+FINE = (Kind(1, 10, 2, 40), Kind(8, 20, 4, 60), Kind(16, 40, 6, 80), Kind(32, 75, 8, 100), Kind(60, inf, 10, 150))
 #: k-mers hashed under all orders at a time.
 COLUMNS = 1 << 13
-_ORDERS = np.random.default_rng(20240517).integers(1, 2**63, size=(SKETCHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SALTS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64))
+_ORDERS = np.random.default_rng(20240517).integers(1, 2**63, size=(150, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def labelled(runs: np.ndarray) -> np.ndarray:
@@ -49,21 +67,29 @@ def labelled(runs: np.ndarray) -> np.ndarray:
     return mixed(runs + seen * np.uint64(0x9FB21C651E98DF25))
 
 
-def sketches(words: np.ndarray) -> np.ndarray:
-    """Forty sketch keys of a text with these word hashes, or none if it has no words."""
+def sketches(words: np.ndarray, kinds: tuple[Kind, ...]) -> np.ndarray:
+    """Sketch keys of a text with these word hashes, or none if it has no words."""
     if not len(words):
         return np.empty(0, dtype=np.int64)
     kmers = labelled(run_hashes(words, min(RUN, len(words))))
-    least, places = np.empty((SKETCHES, 0), np.uint32), np.empty((SKETCHES, 0), np.int64)
+    return np.concatenate([_sketches(kmers, k) for k in kinds if k.low <= len(kmers) < k.high])
+
+
+def _sketches(kmers: np.ndarray, kind: Kind) -> np.ndarray:
+    orders = _ORDERS[: kind.count]
+    least, places = np.empty((kind.count, 0), np.uint32), np.empty((kind.count, 0), np.int32)
     for at in range(0, len(kmers), COLUMNS):
-        part = ((kmers[at : at + COLUMNS] * _ORDERS) >> np.uint64(32)).astype(np.uint32)
-        least = np.concatenate([least, part], axis=1)
-        places = np.concatenate([places, np.broadcast_to(np.arange(at, at + part.shape[1]), part.shape)], axis=1)
-        if least.shape[1] > KEPT:
-            few = np.argpartition(least, KEPT - 1, axis=1)[:, :KEPT]
-            least, places = np.take_along_axis(least, few, 1), np.take_along_axis(places, few, 1)
+        part = ((kmers[at : at + COLUMNS] * orders) >> np.uint64(32)).astype(np.uint32)
+        number = np.broadcast_to(np.arange(at, at + part.shape[1], dtype=np.int32), part.shape)
+        if part.shape[1] > kind.kept:
+            few = np.argpartition(part, kind.kept - 1, axis=1)[:, : kind.kept]
+            part, number = np.take_along_axis(part, few, 1), few.astype(np.int32) + np.int32(at)
+        least, places = np.concatenate([least, part], axis=1), np.concatenate([places, number], axis=1)
+    if least.shape[1] > kind.kept:
+        few = np.argpartition(least, kind.kept - 1, axis=1)[:, : kind.kept]
+        places = np.take_along_axis(places, few, 1)
     in_order = kmers[np.sort(places, axis=1)]
-    key = _SALTS.copy()
+    key = mixed(np.arange(1, kind.count + 1, dtype=np.uint64) + np.uint64(kind.kept << 32))
     for j in range(in_order.shape[1]):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + in_order[:, j])
     return key.astype(np.int64)
@@ -115,10 +141,17 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in parts(batches):
         words = Words(texts, PLAIN, lower=True)
-        keys = [sketches(words.hashes[a:b]) if t is not None else None for t, a, b in zip(texts, words.first, words.first[1:])]
+        keys = [sketches(words.hashes[a:b], COARSE) if t is not None else None for t, a, b in zip(texts, words.first, words.first[1:])]
         yield record({**{c: rows.column(c) for c in ("doc_id", "h1", "h2")}, "keys": pa.array(keys, pa.list_(pa.int64()))})
 
 
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, texts in parts(batches):
+        words = Words(texts, PLAIN, lower=True)
+        keys = [sketches(words.hashes[a:b], FINE) for a, b in zip(words.first, words.first[1:])]
+        yield record({"node": rows.column("node"), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in parts(batches, "text_a"):
         one, other = Words(texts, PLAIN, lower=True), Words(rows.column("text_b").to_pylist(), PLAIN, lower=True)
@@ -151,21 +184,24 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one row of each text stands for its copies
     keyed = signed.join(texts.select(F.col("node").alias("row")), "row", "left_semi")
     keyed = keyed.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    wanted = stored(keyed.join(groups, "key", "left_semi").select("node").distinct(), "wanted")
+    read = stored(_read(wanted, hashed, texts), "read")
+    keyed = read.mapInArrow(_refined, "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key"))
     groups = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
     shared = stored(keyed.join(groups, "key").select("key", "node", "leader", "size"), "shared")
 
     pairs = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    checked = stored(_compared(pairs, hashed, texts), "checked")
-    classes = stored(components(checked.filter("ok")), "classes")
-    tried, leaders = checked, 1
+    tried = stored(_compared(pairs, read), "checked")
+    classes = stored(components(tried.filter("ok")), "classes")
+    leaders = 1
     while True:
         pairs, largest = _unmet(shared, classes, tried, leaders)
         if largest <= leaders:
             break
-        more = stored(_compared(pairs, hashed, texts), "checked")
+        more = stored(_compared(pairs, read), "checked")
         tried = tried.unionByName(more)
-        if not more.filter("ok").isEmpty():
-            classes = stored(components(tried.filter("ok")), "classes")
+        classes = stored(components(tried.filter("ok")), "classes")
         leaders *= 4
 
     links = tried.filter("ok").distinct()
@@ -195,32 +231,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _unmet(shared: DataFrame, classes: DataFrame, tried: DataFrame, leaders: int) -> tuple[DataFrame, int]:
     """Pairs to compare in the next round, and the size of the largest group that is not one class yet.
 
-    Members are numbered within their group in the order of a hash; the first ``4 * leaders`` meet every member
-    of another class, except where the pair has been compared already.
+    Members of a group are ordered by a hash.  The next ``3 * leaders`` of them (the first four, to begin with) meet the
+    members after them that are of another class; whoever comes before them has met them already.  So over all rounds
+    a group gives each of its pairs once at most, and none within a class.
     """
     placed = shared.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    split = stored(placed.join(split.select("key"), "key", "left_semi"), "split")
+    split = placed.join(split.select("key"), "key", "left_semi").withColumn("place", F.xxhash64("node"))
+    split = stored(split.select("key", "node", "component", "size", "place"), "split")
     largest = split.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
-    first = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+    first = Window.partitionBy("key").orderBy("place", "node")
     front = split.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= 4 * leaders)
-    front = front.select("key", F.col("node").alias("l"), F.col("component").alias("lc"))
-    met = split.join(front, "key").filter("component <> lc").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
+    front = front.filter((F.col("rank") > leaders) | F.lit(leaders == 1))
+    front = front.select("key", F.col("node").alias("l"), F.col("component").alias("lc"), F.col("place").alias("lp"))
+    after = (F.col("place") > F.col("lp")) | ((F.col("place") == F.col("lp")) & (F.col("node") > F.col("l")))
+    met = split.join(front, "key").filter((F.col("component") != F.col("lc")) & after)
+    met = met.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
     old = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return met.distinct().join(old, ["a", "b"], "left_anti"), int(largest)
+    return met.join(old, ["a", "b"], "left_anti"), int(largest)
 
 
-def _compared(pairs: DataFrame, hashed: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with the verdict; only the texts of the pairs' nodes are read."""
-    pairs = stored(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = texts.join(needed, "node", "left_semi").select("h1", "h2", "node", F.col("rep").alias("doc_id"))
+def _read(nodes: DataFrame, hashed: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, text)`` of the given nodes."""
+    wanted = texts.join(nodes, "node", "left_semi").select("h1", "h2", "node", F.col("rep").alias("doc_id"))
     # of a text's copies only rows with the least id come through
     same_id = hashed["doc_id"].eqNullSafe(wanted["doc_id"])
     found = hashed.join(wanted, (hashed["h1"] == wanted["h1"]) & (hashed["h2"] == wanted["h2"]) & same_id)
-    found = stored(found.select(wanted["node"], "text").dropDuplicates(["node"]), "compared")
-    with_a = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return found.select(wanted["node"], "text").dropDuplicates(["node"])
+
+
+def _compared(pairs: DataFrame, read: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with the verdict."""
+    with_a = pairs.join(read.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    with_both = with_a.join(read.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return with_both.mapInArrow(_verified, "a bigint, b bigint, ok boolean")
 
 
