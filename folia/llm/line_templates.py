@@ -6,8 +6,9 @@ position, or a wildcard where none has a majority.  A template recurs if at leas
 surroundings have a matching line.  A recurring line is dropped everywhere but in the document with the least id.
 
 Copies of one document must not make its own lines recur, since near-dedup decides about them.  So documents
-count by a signature, the least leaf hash of their lines, and signatures must make up a fifth of the documents:
-copies share most lines and so the signature, while documents that share only some passage have their own.
+count by signatures, the least hash of their other lines in each of several orders of the hashes, and in one order
+signatures must make up a fifth of the documents: copies share most lines and so the signatures, while documents
+that share only some passage have their own.  Documents without another line count as one.
 
 Defined results: lines of fewer than five tokens are never dropped; NULL and empty texts have no lines; a NULL
 id counts as the largest; equal rows share one decision; other columns pass through untouched.
@@ -29,6 +30,8 @@ from folia.sources.shared import stored
 
 LEAD, LEAST_TOKENS = 3, 5
 LEAST_DOCS, LEAST_SHARE = 5, 0.2
+#: Each order of the leaf hashes is their order after an exclusive or; the upper bits differ, so that a hash is least in one at most.
+ORDERS = (0, 0x53A91C6E7F20D84B, 0xA6174BD2E9358C1F - (1 << 64), 0xF8C26D0B4179E3A5 - (1 << 64))
 #: Recurring leaves that go to the tasks as one sorted array at most (eight bytes each); beyond, lines are joined.
 SENT_LEAVES = 1 << 20
 #: Bytes of templates that go to the tasks at most.
@@ -50,17 +53,25 @@ def _lines(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
             yield i, leaf_of(tokens), tokens
 
 
+def _marks(leaves: set[int], wanted: set[int]) -> dict[int, list[int] | None]:
+    """The signatures of a document for each wanted leaf, from its other leaves; none where it has no other."""
+    if len(leaves) < 2:
+        return dict.fromkeys(wanted)
+    least = [sorted(leaf ^ order for leaf in leaves)[:2] for order in ORDERS]
+    return {leaf: [b if leaf ^ order == a else a for order, (a, b) in zip(ORDERS, least)] for leaf in wanted}
+
+
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The leaves of each document, once each, with the document's signature."""
+    """The leaves of each document, once each, with a hash of them all."""
     for _, texts in parts(batches):
         out: list[int] = []
-        marks: list[int] = []
+        contents: list[int] = []
         for text in texts:
-            leaves = {leaf for _, leaf, _ in _lines(text)}
+            leaves = sorted({leaf for _, leaf, _ in _lines(text)})
             if leaves:
                 out += leaves
-                marks += [min(leaves)] * len(leaves)
-        yield record({"leaf": pa.array(out, pa.int64()), "mark": pa.array(marks, pa.int64())})
+                contents += [xxhash.xxh3_64_intdigest(repr(leaves)) - (1 << 63)] * len(leaves)
+        yield record({"leaf": pa.array(out, pa.int64()), "content": pa.array(contents, pa.int64())})
 
 
 def _tokens(only: frozenset[int] | None):
@@ -72,23 +83,30 @@ def _tokens(only: frozenset[int] | None):
             out = []
             for text, doc_id, h in zip(texts, ids, hashes):
                 lines = list(_lines(text))
-                if lines:
-                    mark = min(leaf for _, leaf, _ in lines)
-                    out += [(doc_id, h, i, leaf, mark, t) for i, leaf, t in lines if only is None or leaf in only]
+                leaves = {leaf for _, leaf, _ in lines}
+                marks = _marks(leaves, leaves if only is None else leaves & only)
+                out += [(doc_id, h, i, leaf, marks[leaf], t) for i, leaf, t in lines if leaf in marks]
             if out:
                 a, b, c, d, e, f = zip(*out)
                 yield record({
                     "doc_id": pa.array(a, rows.schema.field("doc_id").type), "hash": pa.array(b, pa.int64()), "line": pa.array(c, pa.int32()),
-                    "leaf": pa.array(d, pa.int64()), "mark": pa.array(e, pa.int64()), "tokens": pa.array(f, pa.list_(pa.string())),
+                    "leaf": pa.array(d, pa.int64()), "marks": pa.array(e, pa.list_(pa.int64())), "tokens": pa.array(f, pa.list_(pa.string())),
                 })
 
     return scan
 
 
+def _shared(leaves: DataFrame) -> DataFrame:
+    """Leaves that enough documents of different content have; no other can recur."""
+    return leaves.distinct().groupBy("leaf").agg(F.count("*").alias("contents")).filter(F.col("contents") >= LEAST_DOCS).select("leaf")
+
+
 def _recurring(marked: DataFrame) -> DataFrame:
     """Leaves whose documents have enough signatures of their own; counted by signature first, so no leaf is hot."""
-    by_mark = marked.groupBy("leaf", "mark").agg(F.count("*").alias("n"))
-    counted = by_mark.groupBy("leaf").agg(F.count("*").alias("marks"), F.sum("n").alias("docs"))
+    by_mark = marked.select("leaf", F.posexplode_outer("marks").alias("order", "mark")).groupBy("leaf", "order", "mark").agg(F.count("*").alias("n"))
+    by_order = by_mark.groupBy("leaf", "order").agg(F.count("mark").alias("marks"), F.sum(F.when(F.col("mark").isNotNull(), F.col("n"))).alias("docs"))
+    alone = F.max(F.col("order").isNull().cast("int"))
+    counted = by_order.groupBy("leaf").agg((F.max("marks") + alone).alias("marks"), (F.coalesce(F.max("docs"), F.lit(0)) + alone).alias("docs"))
     return counted.filter((F.col("marks") >= LEAST_DOCS) & (F.col("marks") >= LEAST_SHARE * F.col("docs"))).select("leaf")
 
 
@@ -101,14 +119,14 @@ def templates(docs: DataFrame) -> DataFrame:
     """``(leaf, fixed, first_id)``: recurring templates, the tokens they fix by place, and the least id that has them."""
     kind = dict(docs.dtypes)["doc_id"]
     keyed = _keyed(docs)
-    leaves = stored(_recurring(keyed.select("text").mapInArrow(_leaves, "leaf bigint, mark bigint")), "leaves")
-    schema = f"doc_id {kind}, hash bigint, line int, leaf bigint, mark bigint, tokens array<string>"
+    leaves = stored(_shared(keyed.select("text").mapInArrow(_leaves, "leaf bigint, content bigint")), "leaves")
+    schema = f"doc_id {kind}, hash bigint, line int, leaf bigint, marks array<bigint>, tokens array<string>"
     if leaves.count() <= SENT_LEAVES:
         only = frozenset(r["leaf"] for r in leaves.toLocalIterator())
         lines = keyed.mapInArrow(_tokens(only), schema)
     else:
         lines = keyed.mapInArrow(_tokens(None), schema).join(leaves, "leaf", "left_semi")
-    lines = stored(lines.select("doc_id", "hash", "leaf", "mark", "tokens"), "lines")
+    lines = stored(lines.select("doc_id", "hash", "leaf", "marks", "tokens"), "lines")
 
     # tokens that a majority has at their position, by leaf; a leaf's lines have one length
     places = lines.select("leaf", F.posexplode("tokens").alias("place", "token"))
@@ -119,8 +137,8 @@ def templates(docs: DataFrame) -> DataFrame:
     # a template must fix most of its positions, and a line must have what it fixes
     agrees = F.expr("forall(map_keys(fixed), p -> element_at(tokens, p + 1) = fixed[p])")
     matching = lines.join(found, "leaf").filter(F.size("fixed") * 2 > F.size("tokens")).filter(agrees)
-    matching = stored(matching.select("doc_id", "hash", "leaf", "mark").distinct(), "matching")
-    again = _recurring(matching.select("leaf", "mark"))
+    matching = stored(matching.select("doc_id", "hash", "leaf", "marks").distinct(), "matching")
+    again = _recurring(matching.select("leaf", "marks"))
     firsts = matching.groupBy("leaf").agg(F.min("doc_id").alias("first_id"))
     return stored(found.join(again, "leaf", "left_semi").join(firsts, "leaf"), "templates")
 
@@ -157,7 +175,7 @@ def _dropping(matcher: Matcher):
 def _joined_drops(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``(__gone_id, __gone_hash, __drop)`` where the templates are too many to send: lines meet them by leaf."""
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, hash bigint, line int, leaf bigint, mark bigint, tokens array<string>"
+    schema = f"doc_id {kind}, hash bigint, line int, leaf bigint, marks array<bigint>, tokens array<string>"
     lines = _keyed(docs).mapInArrow(_tokens(None), schema).distinct().join(found, "leaf")
     lines = lines.filter(F.expr("forall(map_keys(fixed), p -> element_at(tokens, p + 1) = fixed[p])"))
     place = F.row_number().over(Window.partitionBy("doc_id", "hash", "leaf").orderBy("line"))

@@ -373,6 +373,20 @@ def test_recurring_templates_are_dropped_but_for_the_first(spark, sent_bytes):
         assert kept[i] == "\n".join(lines)
 
 
+def test_recurring_lines_of_any_hash_are_dropped(spark):
+    rng = random.Random(12)
+    shared = [" ".join(prose(rng, 9)) for _ in range(40)]
+    rows = []
+    for i, line in enumerate(shared):
+        rows += [(100 * i + j, "\n".join([line, *(" ".join(prose(rng, 12)) for _ in range(3))])) for j in range(12)]
+        rows.append((100 * i + 12, line))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"]: r["text"].split("\n") for r in line_templates.drop_recurring_lines(docs).collect()}
+    for doc_id, text in rows:
+        line = shared[doc_id // 100]
+        assert kept[doc_id] == [x for x in text.split("\n") if x != line or doc_id % 100 == 0] or (text == line and kept[doc_id] == [""])
+
+
 def test_leaf_masks_variable_fields():
     assert line_templates.leaf_of("on 2024-01-02 we met here".split()) == line_templates.leaf_of("on 17 we sat down".split())
     assert line_templates.leaf_of("a b c d e".split()) != line_templates.leaf_of("a b c d e f".split())
