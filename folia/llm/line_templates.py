@@ -1,9 +1,13 @@
 """Line dedup by a log-template tree.
 
 A line's path in the tree is its number of tokens and its first three tokens, with variable fields (tokens with
-a digit, addresses) as wildcards.  The lines at a leaf give its template: the token that most of them have at a
-position, or a wildcard where none has a majority.  A template recurs if at least five documents with different
-surroundings have a matching line.  A recurring line is dropped everywhere but in the document with the least id.
+a digit, addresses) as wildcards.  The lines at a leaf are split into groups until each agrees: the token that most
+of a group have at a position, or a wildcard where none has a majority, is its template where it fixes more than half
+of the positions, and the lines that do not match go on as a group of their own.  A group that does not agree is split
+by its tokens at the position that tokens of five lines or more cover best, the rarer tokens together.  So a line that
+five documents have ends in a template, whatever else shares its leaf.  A template recurs if at least five documents
+with different surroundings have a matching line.  A line belongs to the recurring template that fixes most of it, and
+is dropped everywhere but in the document with the template's least id.
 
 Copies of one document must not make its own lines recur, since near-dedup decides about them.  So documents
 count by signatures, the least hash of their other lines in each of several orders of the hashes, and in one order
@@ -17,6 +21,7 @@ id counts as the largest; equal rows share one decision; other columns pass thro
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +39,8 @@ LEAST_DOCS, LEAST_SHARE = 5, 0.2
 ORDERS = (0, 0x53A91C6E7F20D84B, 0xA6174BD2E9358C1F - (1 << 64), 0xF8C26D0B4179E3A5 - (1 << 64))
 #: Recurring leaves that go to the tasks as one sorted array at most (eight bytes each); beyond, lines are joined.
 SENT_LEAVES = 1 << 20
+#: Different lines of a group that one task splits at most; larger groups are split by aggregates.
+TASK_LINES = 1024
 #: Bytes of templates that go to the tasks at most.
 SENT_BYTES = 32 << 20
 WILD = "<*>"
@@ -102,12 +109,107 @@ def _shared(leaves: DataFrame) -> DataFrame:
 
 
 def _recurring(marked: DataFrame) -> DataFrame:
-    """Leaves whose documents have enough signatures of their own; counted by signature first, so no leaf is hot."""
-    by_mark = marked.select("leaf", F.posexplode_outer("marks").alias("order", "mark")).groupBy("leaf", "order", "mark").agg(F.count("*").alias("n"))
-    by_order = by_mark.groupBy("leaf", "order").agg(F.count("mark").alias("marks"), F.sum(F.when(F.col("mark").isNotNull(), F.col("n"))).alias("docs"))
+    """Templates whose documents have enough signatures of their own; counted by signature first, so no template is hot."""
+    by_mark = marked.select("template", F.posexplode_outer("marks").alias("order", "mark")).groupBy("template", "order", "mark").agg(F.count("*").alias("n"))
+    by_order = by_mark.groupBy("template", "order").agg(F.count("mark").alias("marks"), F.sum(F.when(F.col("mark").isNotNull(), F.col("n"))).alias("docs"))
     alone = F.max(F.col("order").isNull().cast("int"))
-    counted = by_order.groupBy("leaf").agg((F.max("marks") + alone).alias("marks"), (F.coalesce(F.max("docs"), F.lit(0)) + alone).alias("docs"))
-    return counted.filter((F.col("marks") >= LEAST_DOCS) & (F.col("marks") >= LEAST_SHARE * F.col("docs"))).select("leaf")
+    counted = by_order.groupBy("template").agg((F.max("marks") + alone).alias("marks"), (F.coalesce(F.max("docs"), F.lit(0)) + alone).alias("docs"))
+    return counted.filter((F.col("marks") >= LEAST_DOCS) & (F.col("marks") >= LEAST_SHARE * F.col("docs"))).select("template")
+
+
+def _split(group: list[tuple[tuple[str, ...], int]]) -> Iterator[dict[int, str]]:
+    """The tokens by place that the templates of a group of lines fix; a line has its count."""
+    waiting = [(group, 0)]
+    while waiting:
+        lines, before = waiting.pop()
+        total = sum(n for _, n in lines)
+        if total < LEAST_DOCS:
+            continue
+        columns = [Counter() for _ in lines[0][0]]
+        for tokens, n in lines:
+            for column, token in zip(columns, tokens):
+                column[token] += n
+        fixed: dict[int, str] = {}
+        decisive = (0, 0)
+        for place, column in enumerate(columns):
+            top, token = max((n, t) for t, n in column.items())
+            if top >= LEAST_DOCS and top * 2 > total:
+                fixed[place] = token
+            if top < total:
+                decisive = max(decisive, (sum(n for n in column.values() if n >= LEAST_DOCS), -place))
+        if len(fixed) * 2 > len(columns) and total != before:
+            yield fixed
+            waiting.append(([x for x in lines if any(x[0][p] != t for p, t in fixed.items())], total))
+        elif decisive[0]:
+            place, parted = -decisive[1], {}
+            for x in lines:
+                parted.setdefault(x[0][place] if columns[place][x[0][place]] >= LEAST_DOCS else None, []).append(x)
+            waiting += [(x, 0) for x in parted.values()]
+
+
+def _split_small(rows: pa.Table) -> pa.Table:
+    group = sorted((tuple(t), n) for t, n in zip(rows.column("tokens").to_pylist(), rows.column("n").to_pylist()))
+    found = [sorted(fixed.items()) for fixed in _split(group)]
+    return pa.table({
+        "leaf": pa.array(rows.column("leaf").to_pylist()[:1] * len(found), pa.int64()),
+        "places": pa.array([[p for p, _ in f] for f in found], pa.list_(pa.int32())), "fixed": pa.array([[t for _, t in f] for f in found], pa.list_(pa.string())),
+    })
+
+
+def _split_once(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Templates of the groups that agree, and the groups that remain; the step of ``_split`` as aggregates."""
+    support = groups.select("leaf", "group", "before", "n", F.posexplode("tokens").alias("place", "token"))
+    support = stored(support.groupBy("leaf", "group", "before", "place", "token").agg(F.sum("n").alias("n")), "support")
+    often = F.col("n") >= LEAST_DOCS
+    at = support.groupBy("leaf", "group", "before", "place").agg(
+        F.sum("n").alias("total"), F.max(F.struct("n", "token")).alias("top"), F.coalesce(F.sum(F.when(often, F.col("n"))), F.lit(0)).alias("covered")
+    )
+    major = (F.col("top.n") >= LEAST_DOCS) & (F.col("top.n") * 2 > F.col("total"))
+    parting = (F.col("covered") > 0) & (F.col("top.n") < F.col("total"))
+    state = at.groupBy("leaf", "group", "before").agg(
+        F.max("total").alias("total"), F.count("*").alias("width"),
+        F.array_sort(F.collect_list(F.when(major, F.struct("place", F.col("top.token").alias("token"))))).alias("major"),
+        (-F.max(F.when(parting, F.struct("covered", (-F.col("place")).alias("back"))))["back"]).alias("decisive"),
+    )
+    agrees = (F.size("major") * 2 > F.col("width")) & (F.col("total") != F.col("before"))
+    state = stored(state.filter(F.col("total") >= LEAST_DOCS).withColumn("agrees", agrees).drop("before", "leaf"), "state")
+    places, fixed = F.col("major.place").alias("places"), F.col("major.token").alias("fixed")
+    leaves = groups.select("group", "leaf").distinct()
+    found = state.filter("agrees").join(leaves, "group").select("leaf", places, fixed)
+    known = support.filter(often).select("group", F.col("place").alias("decisive"), F.col("token").alias("at"))
+    parted = groups.join(state, "group").filter("NOT agrees AND decisive IS NOT NULL").withColumn("at", F.expr("element_at(tokens, decisive + 1)"))
+    parted = parted.join(known.withColumn("often", F.lit(True)), ["group", "decisive", "at"], "left")
+    parted = parted.withColumn("group", F.xxhash64("group", "decisive", F.coalesce("often", F.lit(False)), F.when(F.col("often"), F.col("at"))))
+    unlike = F.expr("exists(major, m -> element_at(tokens, m.place + 1) != m.token)")
+    rest = groups.drop("before").join(state.filter("agrees"), "group").filter(unlike)
+    rest = rest.withColumn("group", F.xxhash64("group", F.lit("rest")))
+    parted = parted.select("leaf", "group", F.lit(0).cast("bigint").alias("before"), "tokens", "n")
+    return found, parted.unionByName(rest.select("leaf", "group", F.col("total").alias("before"), "tokens", "n"))
+
+
+def _all_templates(lines: DataFrame, task_lines: int) -> DataFrame:
+    """``(template, leaf, places, fixed)`` of all leaves of ``lines(leaf, tokens)``."""
+    groups = lines.groupBy("leaf", "tokens").agg(F.count("*").alias("n"))
+    groups = groups.select("leaf", F.col("leaf").alias("group"), F.lit(0).cast("bigint").alias("before"), "tokens", "n")
+    every = None
+    while True:
+        groups = stored(groups, "groups")
+        sizes = groups.groupBy("group").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter(F.col("total") >= LEAST_DOCS)
+        sizes = stored(sizes, "sizes")
+        small = groups.join(sizes.filter(F.col("kinds") <= task_lines), "group", "left_semi")
+        small = small.groupBy("group").applyInArrow(_split_small, "leaf bigint, places array<int>, fixed array<string>")
+        every = small if every is None else every.unionByName(small)
+        large = sizes.filter(F.col("kinds") > task_lines)
+        if large.isEmpty():
+            return every.distinct().select(F.xxhash64("leaf", "places", "fixed").alias("template"), "leaf", "places", "fixed")
+        found, groups = _split_once(groups.join(large, "group", "left_semi"))
+        every = every.unionByName(found)
+
+
+def _matched(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Lines with each template that they match, met by the tokens at its places."""
+    at = F.expr("transform(places, p -> element_at(tokens, p + 1))")
+    return lines.join(found.select("leaf", "places").distinct(), "leaf").withColumn("fixed", at).join(found, ["leaf", "places", "fixed"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -115,8 +217,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return keyed.withColumn("hash", F.xxhash64("text"))
 
 
-def templates(docs: DataFrame) -> DataFrame:
-    """``(leaf, fixed, first_id)``: recurring templates, the tokens they fix by place, and the least id that has them."""
+def templates(docs: DataFrame, *, task_lines: int = TASK_LINES) -> DataFrame:
+    """``(template, leaf, places, fixed, first_id)``: recurring templates, the tokens they fix, and the least id that has them."""
     kind = dict(docs.dtypes)["doc_id"]
     keyed = _keyed(docs)
     leaves = stored(_shared(keyed.select("text").mapInArrow(_leaves, "leaf bigint, content bigint")), "leaves")
@@ -128,37 +230,40 @@ def templates(docs: DataFrame) -> DataFrame:
         lines = keyed.mapInArrow(_tokens(None), schema).join(leaves, "leaf", "left_semi")
     lines = stored(lines.select("doc_id", "hash", "leaf", "marks", "tokens"), "lines")
 
-    # tokens that a majority has at their position, by leaf; a leaf's lines have one length
-    places = lines.select("leaf", F.posexplode("tokens").alias("place", "token"))
-    support = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
-    totals = lines.groupBy("leaf").agg(F.count("*").alias("total"))
-    common = support.join(totals, "leaf").filter(F.col("n") * 2 > F.col("total"))
-    found = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))
-    # a template must fix most of its positions, and a line must have what it fixes
-    agrees = F.expr("forall(map_keys(fixed), p -> element_at(tokens, p + 1) = fixed[p])")
-    matching = lines.join(found, "leaf").filter(F.size("fixed") * 2 > F.size("tokens")).filter(agrees)
-    matching = stored(matching.select("doc_id", "hash", "leaf", "marks").distinct(), "matching")
-    again = _recurring(matching.select("leaf", "marks"))
-    firsts = matching.groupBy("leaf").agg(F.min("doc_id").alias("first_id"))
-    return stored(found.join(again, "leaf", "left_semi").join(firsts, "leaf"), "templates")
+    found = stored(_all_templates(lines, task_lines), "found")
+    kind = F.xxhash64("tokens").alias("kind")
+    matching = _matched(lines, found).select("doc_id", "hash", "leaf", kind, "marks", "template", F.size("places").alias("n_fixed"))
+    matching = stored(matching.distinct(), "matching")
+    again = _recurring(matching.select("doc_id", "hash", "marks", "template").distinct())
+    # each kind of line belongs to one template
+    firsts = matching.groupBy("leaf", "kind", "n_fixed", "template").agg(F.min("doc_id").alias("first_id")).join(again, "template", "left_semi")
+    firsts = firsts.groupBy("leaf", "kind").agg(F.max_by(F.struct("template", "first_id"), F.struct("n_fixed", "template")).alias("best"))
+    firsts = firsts.groupBy("best.template").agg(F.min("best.first_id").alias("first_id"))
+    return stored(found.join(firsts, "template"), "templates")
 
 
 class Matcher:
     """Line numbers to drop from a text, given the recurring templates."""
 
-    def __init__(self, rows: list[tuple[int, dict[int, str], object]]) -> None:
-        self.known = {leaf: (sorted(fixed.items()), first) for leaf, fixed, first in rows}
+    def __init__(self, rows: list[tuple[int, int, list[int], list[str], object]]) -> None:
+        self.known: dict[int, dict[tuple[int, ...], dict[tuple[str, ...], tuple[int, object]]]] = {}
+        for template, leaf, places, fixed, first in rows:
+            self.known.setdefault(leaf, {}).setdefault(tuple(places), {})[tuple(fixed)] = template, first
 
     def __call__(self, doc_id: object, text: str | None) -> list[int]:
         dropped, own = [], set()
         for number, leaf, tokens in _lines(text):
-            if leaf in self.known:
-                fixed, first = self.known[leaf]
-                if all(tokens[place] == token for place, token in fixed):
-                    if doc_id == first and leaf not in own:
-                        own.add(leaf)
-                    else:
-                        dropped.append(number)
+            found = []
+            for places, known in self.known.get(leaf, {}).items():
+                match = known.get(tuple([tokens[p] for p in places]))
+                if match:
+                    found.append((len(places), *match))
+            if found:
+                _, template, first = max(found, key=lambda x: x[:2])
+                if doc_id == first and template not in own:
+                    own.add(template)
+                else:
+                    dropped.append(number)
         return dropped
 
 
@@ -173,12 +278,13 @@ def _dropping(matcher: Matcher):
 
 
 def _joined_drops(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``(__gone_id, __gone_hash, __drop)`` where the templates are too many to send: lines meet them by leaf."""
+    """``(__gone_id, __gone_hash, __drop)`` where the templates are too many to send: lines meet them by leaf and tokens."""
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, hash bigint, line int, leaf bigint, marks array<bigint>, tokens array<string>"
-    lines = _keyed(docs).mapInArrow(_tokens(None), schema).distinct().join(found, "leaf")
-    lines = lines.filter(F.expr("forall(map_keys(fixed), p -> element_at(tokens, p + 1) = fixed[p])"))
-    place = F.row_number().over(Window.partitionBy("doc_id", "hash", "leaf").orderBy("line"))
+    lines = _matched(_keyed(docs).mapInArrow(_tokens(None), schema).distinct(), found)
+    best = F.max_by(F.struct("template", "first_id"), F.struct(F.size("places"), "template")).alias("best")
+    lines = lines.groupBy("doc_id", "hash", "line").agg(best).select("doc_id", "hash", "line", "best.*")
+    place = F.row_number().over(Window.partitionBy("doc_id", "hash", "template").orderBy("line"))
     gone = lines.withColumn("n", place).filter((F.col("n") > 1) | ~F.col("doc_id").eqNullSafe(F.col("first_id")))
     gone = gone.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("line")).alias("__drop"))
     return stored(gone, "gone").select(F.col("doc_id").alias("__gone_id"), F.col("hash").alias("__gone_hash"), "__drop")
@@ -190,10 +296,10 @@ def with_lines_dropped(docs: DataFrame, *, sent_bytes: int = SENT_BYTES) -> Data
     Templates of up to ``sent_bytes`` go to the tasks, and no text is shuffled; beyond, lines join them by leaf.
     """
     found = templates(docs)
-    size = found.agg(F.coalesce(F.sum(F.octet_length(F.array_join(F.map_values("fixed"), " ")) + 8 * F.size("fixed") + 64), F.lit(0))).first()[0]
+    size = found.agg(F.coalesce(F.sum(F.octet_length(F.array_join("fixed", " ")) + 16 * F.size("fixed") + 96), F.lit(0))).first()[0]
     text = F.col("text").cast("string")
     if size <= sent_bytes:
-        rows = [(r["leaf"], r["fixed"], r["first_id"]) for r in found.toLocalIterator()]
+        rows = [(r["template"], r["leaf"], r["places"], r["fixed"], r["first_id"]) for r in found.toLocalIterator()]
         keyed = docs.withColumns({"__id": F.col("doc_id"), "__text": text})
         schema = ", ".join([*(f"`{c}` {t}" for c, t in keyed.dtypes), "__drop array<int>"])
         joined = keyed.mapInArrow(_dropping(Matcher(rows)), schema)

@@ -387,6 +387,27 @@ def test_recurring_lines_of_any_hash_are_dropped(spark):
         assert kept[doc_id] == [x for x in text.split("\n") if x != line or doc_id % 100 == 0] or (text == line and kept[doc_id] == [""])
 
 
+@pytest.mark.parametrize("task_lines", [1024, 0])
+def test_lines_of_one_leaf_do_not_hide_each_other(spark, task_lines):
+    rng = random.Random(13)
+
+    def opening(n):
+        return "This is a " + " ".join(prose(rng, n)[:n])
+
+    shared, rows = [opening(6) for _ in range(4)], []
+    for i in range(160):
+        lines = [" ".join(prose(rng, 12)) for _ in range(3)] + [opening(6) for _ in range(4)]
+        if i < 48:
+            lines.append(shared[i % 4])
+        rows.append((i, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = line_templates.templates(docs, task_lines=task_lines).collect()
+    assert sorted((" ".join(r["fixed"]), r["first_id"]) for r in found) == sorted((x, i) for i, x in enumerate(shared))
+    kept = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs).collect()}
+    for i, text in rows:
+        assert kept[i] == "\n".join(x for x in text.split("\n") if x not in shared or i < 4)
+
+
 def test_leaf_masks_variable_fields():
     assert line_templates.leaf_of("on 2024-01-02 we met here".split()) == line_templates.leaf_of("on 17 we sat down".split())
     assert line_templates.leaf_of("a b c d e".split()) != line_templates.leaf_of("a b c d e f".split())
