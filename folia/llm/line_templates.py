@@ -40,7 +40,7 @@ ORDERS = (0, 0x53A91C6E7F20D84B, 0xA6174BD2E9358C1F - (1 << 64), 0xF8C26D0B4179E
 #: Recurring leaves that go to the tasks as one sorted array at most (eight bytes each); beyond, lines are joined.
 SENT_LEAVES = 1 << 20
 #: Different lines of a group that one task splits at most; larger groups are split by aggregates.
-TASK_LINES = 1024
+TASK_LINES = 1 << 14
 #: Bytes of templates that go to the tasks at most.
 SENT_BYTES = 32 << 20
 WILD = "<*>"
