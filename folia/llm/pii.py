@@ -29,7 +29,18 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+SHORTEST_IBAN, LONGEST_IBAN = 15, 34
+#: Length of an account number by country; other countries may have any length.
+LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 LOCAL_PHONE = re.compile(r"(?<![0-9+)(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 #: Words that make a doubtful number likely, by kind; fixed values.
 CONTEXT = {
@@ -51,6 +62,22 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
 
 
+def accounts(text: str) -> list[tuple[int, int]]:
+    """Account numbers, leftmost first: of the ends at a token border, with the country's length, the last that the remainder confirms."""
+    found, floor = [], 0
+    while m := IBAN.search(text, floor):
+        floor = m.start() + 1
+        for end in range(m.end(), m.start() + SHORTEST_IBAN - 1, -1):
+            if text[end - 1] == " " or text[end : end + 1].isascii() and text[end : end + 1].isalnum():
+                continue
+            account = text[m.start() : end].replace(" ", "")
+            if SHORTEST_IBAN <= len(account) <= LONGEST_IBAN and LENGTHS.get(account[:2], len(account)) == len(account) and mod97(account):
+                found.append((m.start(), end))
+                floor = end
+                break
+    return found
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Grown to the left from each at sign, so a long run without one costs nothing."""
     found, floor, at = [], 0, text.find("@")
@@ -98,10 +125,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         return not ((taken[:, 0] < b) & (taken[:, 1] > a)).any()
 
     found = []
-    for m in IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account) and free(*m.span()):
-            found.append((ADDED, *m.span()))
+    found += [(ADDED, a, b) for a, b in accounts(text) if free(a, b)]
     for m in CARD.finditer(text):
         if m.end() - m.start() < 13 or not 13 <= len(d := digits_of(m[0])) <= 15 or not luhn(d):
             continue

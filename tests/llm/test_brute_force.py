@@ -173,6 +173,13 @@ def test_near_copies_have_one_class(spark):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     assert found == {i: root(i) for i in sets}
 
+def test_account_numbers_end_at_their_length():
+    long, plain = "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"
+    for account, after in ((long, " BIC NWBKGB2L"), (plain, " EUR 100"), ("DE89 3704 0044 0532 0130 00", " 2024"), (plain, ""), (plain, " now")):
+        assert pii.added_spans(f"to {account}{after}", []) == [("iban", 3, 3 + len(account))]
+    assert pii.added_spans(f"{plain} {plain}", []) == [("iban", 0, 22), ("iban", 23, 45)]
+    assert pii.added_spans(f"to {plain}X", []) == []
+
 
 # --- toxicity ----------------------------------------------------------------------------------
 def test_automaton_accepts_one_edit_of_long_terms():
