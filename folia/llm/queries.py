@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folia.llm import (
-    html_marginals, line_crf, line_templates, order_minhash, packing, pii, sharding, toxicity, weak_quality, winnowing,
+    html_marginals, line_crf, line_templates, order_minhash, packing, pii, sharding, spelling, super_kmers, toxicity, weak_quality,
+    winnowing, witnesses,
 )
 from folia.llm.oracles import ORACLES
 
@@ -60,11 +61,24 @@ def op10_html_extraction(spark: SparkSession, root: str) -> DataFrame:
     return html_marginals.extract(pages, html_marginals.train(pages))
 
 
+def op11_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    return witnesses.manifest(_table(spark, root, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    kept = super_kmers.drop_repeated(_table(spark, root, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", super_kmers.digest(kept["kept_text"]).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, root: str) -> DataFrame:
+    return spelling.variants(_table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_pii, op3_quality_classifier, op4_near_dedup, op5_toxicity, op6_packing, op7_quality_rules, op8_line_dedup,
-        op9_decontamination, op10_html_extraction,
+        op9_decontamination, op10_html_extraction, op11_merkle_manifest, op12_substring_dedup, op13_spelling_variants,
     )
 }
 

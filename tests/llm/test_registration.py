@@ -17,7 +17,7 @@ ROOT = "/root/testdata/sf0.001"
 def test_one_query_for_each_operator():
     names = set(entry.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
 
 
