@@ -34,9 +34,9 @@ from folia.sources.shared import stored
 WINDOW, RUN = 13, 3
 SPAN = WINDOW - RUN + 1
 #: Bytes of text that a task packs at a time; equal strings in it travel once.
-PACKED_BYTES = 16 << 20
+PACKED_BYTES = 8 << 20
 #: Bytes of strings and places that one bucket is meant to hold, and bytes counted for a place.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 PLACE_BYTES = 12
 #: Packed strings hold about three times the bytes of their texts.
 GROWTH = 3
@@ -311,7 +311,7 @@ def repeated_runs(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, slot_bytes:
     total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total * GROWTH // bucket_bytes))
     slots = min(max(4 * buckets, LEAST_SLOTS), MOST_SLOTS)
-    heavy = heavy_slots(usable, slots, bucket_bytes // 2 if slot_bytes is None else slot_bytes)
+    heavy = heavy_slots(usable, slots, bucket_bytes if slot_bytes is None else slot_bytes)
     packed = _packed(usable, buckets, slots, heavy, kind)
     found = packed.groupBy("bucket").applyInArrow(meet, f"doc_id {kind}, mark bigint, at int, n int")
     if len(heavy):
