@@ -1,14 +1,16 @@
-"""Direct hits: questions that name a file."""
+"""Direct hits: questions that name a file.
+
+Stems and questions meet on the four-character runs that they share; runs that continue each other lie on one
+diagonal, so the longest common run follows from the places of the shared ones.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions import text as T
-from folia.operators.ranking import gram_codes, keep_best, make_index, nonzero, question_blocks
+from folia.operators.containment import contained_pairs, overlapping
 
 # --- Fixed values: weights of a file name match ------------------------------------------
 HINT_WEIGHT = 50.0
@@ -17,64 +19,65 @@ BASE_SCORE = 1.5
 SCORE_SCALE = 100.0
 
 
-class _Block:
-    """Question index plus the positions of every 4-gram in the questions laid end to end."""
-
-    def __init__(self, block: pd.DataFrame) -> None:
-        self.index = make_index(block)
-        gap = np.zeros(1, dtype=np.uint64)
-        pieces = [x for norm in self.index.norms for x in (run_codes(norm), gap)]
-        codes = np.concatenate(pieces) if pieces else gap
-        self.owner = np.repeat(np.arange(self.index.size), [len(run_codes(n)) + 1 for n in self.index.norms])
-        self.order = np.argsort(codes, kind="stable")
-        self.codes = codes[self.order]
-
-    def common_runs(self, text: str) -> np.ndarray:
-        """Length of the longest substring each question shares with the text, zero below four.
-
-        Two matching 4-grams at neighbouring places of both texts continue one shared run, so
-        the runs follow from the gram positions without comparing any pair of texts.
-        """
-        wanted = run_codes(text)
-        low, high = np.searchsorted(self.codes, wanted), np.searchsorted(self.codes, wanted, side="right")
-        longest = np.zeros(self.index.size, dtype=np.int64)
-        run, touched = np.zeros(len(self.codes) + 1, dtype=np.int64), np.empty(0, dtype=np.int64)
-        for start, end in zip(low.tolist(), high.tolist()):
-            here = self.order[start:end]
-            grown = run[here - 1] + 1
-            run[touched] = 0
-            run[here] = grown
-            touched = here
-            np.maximum.at(longest, self.owner[here], grown)
-        return np.where(longest > 0, longest + MIN_COMMON_RUN - 1, 0)
-
-
-def run_codes(text: str) -> np.ndarray:
-    """Codes of the 4-grams of a normalised text in order."""
-    n = len(text) - MIN_COMMON_RUN + 1
-    return gram_codes(text)[-n:] if n > 0 else np.empty(0, dtype=np.uint64)
-
-
-def _score(block: _Block, part: pd.DataFrame) -> np.ndarray:
-    index = block.index
-    out = np.zeros((len(part), index.size))
-    hints = [list(h) for h in index.features["q_hints"]]
-    hinted = [q for q, h in enumerate(hints) if h]
-    for i, r in enumerate(part.itertuples(index=False)):
-        if not r.s_norm:
-            continue
-        best = out[i]
-        best[:] = block.common_runs(r.s_norm)
-        around = index.containing(r.s_norm)
-        best[around] = len(r.s_norm)
-        for q in index.contained_in(r.s_norm):
-            best[q] = len(index.norms[q])
-        for q in hinted:
-            found = sum(h in r.stem for h in hints[q])
-            if not found and len(r.stem_hints):
-                best[q] = 0.0
-            best[q] += HINT_WEIGHT * found
-    return nonzero(out)
+def _longest_chain(places: Column) -> Column:
+    """Length of the longest run of neighbouring numbers in a sorted array."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(state: Column, place: Column) -> Column:
+        run = F.when(place == state["last"] + 1, state["run"] + 1).otherwise(F.lit(1))
+        return F.struct(place.alias("last"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    return F.aggregate(places, start, step, lambda state: state["best"])
+
+
+def common_runs(stems: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(path, query_id, length)``: the longest string that ``s_norm`` and ``q_norm`` share, where it has four characters."""
+    ours = stems.select("path", F.posexplode(overlapping(F.col("s_norm"), MIN_COMMON_RUN)).alias("i", "run"))
+    theirs = asked.select("query_id", F.posexplode(overlapping(F.col("q_norm"), MIN_COMMON_RUN)).alias("j", "run"))
+    seeds = ours.join(theirs, "run").select("path", "query_id", "i", (F.col("i") - F.col("j")).alias("diagonal"))
+    chains = seeds.groupBy("path", "query_id", "diagonal").agg(F.sort_array(F.collect_list("i")).alias("places"))
+    longest = chains.groupBy("path", "query_id").agg(F.max(_longest_chain(F.col("places"))).alias("run"))
+    return longest.select("path", "query_id", (F.col("run") + MIN_COMMON_RUN - 1).alias("length"))
+
+
+def _short_runs(stems: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(path, query_id, length)`` where the stem or the question is shorter than a run and inside the other."""
+
+    def short(column: str) -> Column:
+        return F.char_length(column) < MIN_COMMON_RUN
+
+    in_question = contained_pairs(
+        stems.filter(short("s_norm")).select(F.col("s_norm").alias("needle")), asked.select(F.col("query_id").alias("key"), F.col("q_norm").alias("hay"))
+    ).select(F.col("needle").alias("s_norm"), F.col("key").alias("query_id"), F.char_length("needle").alias("length"))
+    in_stem = contained_pairs(
+        asked.filter(short("q_norm")).select(F.col("q_norm").alias("needle")), stems.select(F.col("path").alias("key"), F.col("s_norm").alias("hay"))
+    ).select(F.col("needle").alias("q_norm"), F.col("key").alias("path"), F.char_length("needle").alias("length"))
+    return in_question.join(stems.select("path", "s_norm"), "s_norm").select("path", "query_id", "length").unionByName(
+        in_stem.join(asked.select("query_id", "q_norm"), "q_norm").select("path", "query_id", "length")
+    )
+
+
+def _hint_counts(stems: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(path, query_id, hints)``: how many of the question's hints the stem has."""
+    hints = asked.select("query_id", F.explode("q_hints").alias("hint"))
+    met = contained_pairs(hints.select(F.col("hint").alias("needle")), stems.select(F.col("path").alias("key"), F.col("stem").alias("hay")))
+    met = met.select(F.col("key").alias("path"), F.col("needle").alias("hint"))
+    return met.join(hints, "hint").groupBy("path", "query_id").agg(F.count("*").alias("hints"))
+
+
+def _scored(stems: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(path, query_id, score, first_seen)`` of every pair with a score.
+
+    A question with hints takes no run from a stem that has other hints only.
+    """
+    runs = common_runs(stems, asked).unionByName(_short_runs(stems, asked)).withColumn("hints", F.lit(0).cast("bigint"))
+    every = runs.unionByName(_hint_counts(stems, asked).withColumn("length", F.lit(0)))
+    pairs = every.groupBy("path", "query_id").agg(F.max("length").alias("length"), F.max("hints").alias("hints"))
+    about = stems.select("path", "first_seen", (F.size("stem_hints") > 0).alias("hinted"))
+    pairs = pairs.join(about, "path").join(asked.select("query_id", (F.size("q_hints") > 0).alias("asks")), "query_id")
+    foreign = F.col("asks") & (F.col("hints") == 0) & F.col("hinted")
+    score = F.when(foreign, 0.0).otherwise(F.col("length").cast("double")) + HINT_WEIGHT * F.col("hints")
+    return pairs.select("path", "query_id", score.alias("score"), "first_seen").filter("score <> 0")
 
 
 def filename_hits(
@@ -90,9 +93,7 @@ def filename_hits(
     paths = documents.groupBy("path").agg(F.min(order).alias("first_seen")).select(
         "first_seen", "path", stem.alias("stem"), T.norm_text(stem).alias("s_norm"), T.filename_hints(stem).alias("stem_hints")
     )
-    ties = (("first_seen", True), ("path", True))
-    blocks = question_blocks(asked.select("query_id", "q_norm", "q_hints"), F.octet_length("q_norm") + 64)
-    best = keep_best(paths, asked, blocks, _Block, _score, ties, max_paths)
+    best = _scored(paths.filter("s_norm <> ''"), asked)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first_seen", "path"))
     chosen = best.withColumn("path_rank", rank).filter(F.col("path_rank") <= max_paths).drop("first_seen")
     # The first chunks of a path are the same for every question; only chosen paths are numbered.

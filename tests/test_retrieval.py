@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from folia.operators import fusion, vectors
 from folia.operators.filenames import filename_hits
-from folia.operators.lexical import SECTION_SPEC, SearchSpec, search, search_in_scope, search_sections
+from folia.operators.containment import contained_pairs
+from folia.operators.lexical import SECTION_SPEC, Bonus, SearchSpec, search, search_in_scope, search_sections
 from folia.operators.titles import resolve_documents, search_titles
 from folia.plans.retrieval import retrieve
 
@@ -38,11 +39,15 @@ def brute_score(query, text, keywords, boost):
     return score + min(40.0, 8.0 * len(hits))
 
 
-def test_search_matches_brute_force_across_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("sent, hot", [(1_000_000, 200_000), (0, 200_000), (0, 3)])
+def test_search_matches_brute_force(spark, monkeypatch, sent, hot):
+    """With the questions sent to the texts, met on the token, and met on tokens that are dealt over parts."""
     import random
 
-    from folia.operators import ranking
+    from folia.operators import containment
 
+    monkeypatch.setattr(containment, "SENT_TOKENS", sent)
+    monkeypatch.setattr(containment, "HOT_TEXTS", hot)
     rng = random.Random(7)
     words = ["资本", "规则", "risk", "a", "附件1", "最低", "x y", "model"]
     texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 6))), rng.sample(words, 3)) for i in range(60)]
@@ -54,12 +59,46 @@ def test_search_matches_brute_force_across_blocks(spark, monkeypatch):
     for qid, text in asked:
         scored = sorted(((-round(brute_score(text, h, k, 90.0), 4), d) for d, h, k in texts))
         want[qid] = [(d, -s) for s, d in scored if s][:4]
-    for block in (ranking.BLOCK_BYTES, 200):
-        monkeypatch.setattr(ranking.question_blocks, "__defaults__", (block,))
+    got = {}
+    for r in search(q, corpus, spec, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_bonuses_alone_bring_texts(spark):
+    """Texts that share no gram with the question rank by their bonuses, ties by key, and never more than k."""
+    spec = SearchSpec(
+        ties=(("doc_id", True),), exact_boost=90.0,
+        bonuses=(Bonus("kind", "q_kind", 30.0, "kind"), Bonus("number", "q_number", 20.0, "number")),
+    )
+    rows = [(i, "zzz" if i % 5 else "abcdef", i % 3 == 0 or None, str(i % 4), []) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "doc_id int, haystack string, kind boolean, number string, keywords array<string>")
+    asked = spark.createDataFrame(
+        [(1, "abcdefg", True, "1"), (2, "qqqq", True, None), (3, "qqqq", None, "2"), (4, "qqqq", None, None), (5, "", True, "3")],
+        "query_id int, question string, q_kind boolean, q_number string",
+    )
+    for k in (2, 7, 100):
         got = {}
-        for r in search(q, corpus, spec, 4).orderBy("query_id", "rank").collect():
+        for r in search(asked, corpus, spec, k).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
-        assert got == {k: v for k, v in want.items() if v}
+        want = {}
+        for q in asked.collect():
+            scored = []
+            for d, text, kind, number, _ in rows:
+                score = brute_score(q["question"], text, [], 90.0) + 30.0 * bool(kind and q["q_kind"]) + 20.0 * (number == q["q_number"])
+                scored.append((-round(score, 4), d))
+            if found := [(d, -s) for s, d in sorted(scored) if s][:k]:
+                want[q["query_id"]] = found
+        assert got == want
+
+
+def test_contained_pairs(spark):
+    needles = ["a", "ab", "abc", "abcd", "bcdef", "资本规则", "", "zz", "abcabcabc", "😀x"]
+    hays = ["", "abcdef", "xxabcabcabcx", "最低资本规则", "z", "y😀xy", "a" * 300]
+    found = contained_pairs(
+        spark.createDataFrame([(n,) for n in needles * 2], "needle string"), spark.createDataFrame(list(enumerate(hays)), "key int, hay string")
+    )
+    assert sorted(map(tuple, found.collect())) == sorted((n, i) for n in needles if n for i, h in enumerate(hays) if n in h)
 
 
 SECTIONS = [
