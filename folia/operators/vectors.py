@@ -1,16 +1,34 @@
-"""Exact vector search over a table of embeddings."""
+"""Exact vector search over a table of embeddings.
+
+Vectors are dealt to the nearest of some centres, which are a bounded sample of them.  A query is compared with the
+cells nearest to it first; its k-th best cosine then rules out every other cell whose vectors the triangle inequality
+of angles keeps farther away.  A cell of many vectors or queries is compared in blocks, so no task holds more than one
+block of each, and every query emits at most k rows per block.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import isqrt
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.operators.ranking import keep_best, question_blocks
+from folia.sources.shared import stored
 
-#: A chunk of texts times a block of queries of 64 dimensions is then about 64 MB.
-QUERY_BYTES = 8 * 1024 * 1024
+#: At most so many vectors become centres, whatever the table's size; fewer for small tables.
+MOST_CENTRES = 1024
+#: Cells that a query is compared with before any is ruled out.
+PROBED_CELLS = 2
+#: Vectors and queries of one block, and queries multiplied at a time.
+BLOCK_ROWS, SLICE_ROWS = 4096, 512
+#: Cosines are rounded, so that equal vectors tie whatever block they are in; bounds give way by more than that.
+DIGITS, SLACK = 12, 1e-9
+#: The cell of vectors whose dimension no centre has.
+NO_CENTRE = -1
 
 
 def squared_norm(vector: Column) -> Column:
@@ -29,12 +47,152 @@ def search_width(k: int) -> int:
     return max(4 * k, 12)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), dtype=np.float64)
+def _usable(table: DataFrame, name: str, embedding: str) -> DataFrame:
+    """``(name, vec, dim)`` of the vectors with values only."""
+    whole = F.coalesce(F.size(embedding) > 0, F.lit(False)) & ~F.exists(embedding, lambda x: x.isNull())
+    rows = table.filter(whole).select(F.col(name), F.transform(embedding, lambda x: x.cast("double")).alias("vec"))
+    return rows.withColumn("dim", F.size("vec"))
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one dimension as rows of length one."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = flat.reshape(len(vectors), -1)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norms > 0, norms, 1.0)
 
 
+def _angles(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ centres.T, -1.0, 1.0))
+
+
+def _centres(rows: DataFrame, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per dimension the numbers and the unit vectors of the centres."""
+    wanted = min(MOST_CENTRES, max(1, isqrt(rows.count())))
+    chosen = rows.orderBy(F.xxhash64(F.lit(7), name), name).limit(wanted).select("dim", "vec").collect()
+    out = {}
+    for dim in {r["dim"] for r in chosen}:
+        own = [i for i, r in enumerate(chosen) if r["dim"] == dim]
+        out[dim] = (np.array(own), _matrix(pa.array([chosen[i]["vec"] for i in own])))
+    return out
+
+
+def _by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        yield dim, batch.filter(pa.array(dims == dim))
+
+
+def _placed(rows: DataFrame, name: str, centres: dict) -> DataFrame:
+    """Every vector with its nearest centre and the angle to it."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, some in _by_dimension(batch):
+                cell, angle = np.full(some.num_rows, NO_CENTRE), np.zeros(some.num_rows)
+                if dim in centres:
+                    numbers, c = centres[dim]
+                    angles = _angles(_matrix(some.column("vec")), c)
+                    nearest = angles.argmin(axis=1)
+                    cell, angle = numbers[nearest], angles[np.arange(len(nearest)), nearest]
+                columns = [some.column(name), some.column("vec"), some.column("dim"), pa.array(cell, pa.int32()), pa.array(angle)]
+                yield pa.RecordBatch.from_arrays(columns, [name, "vec", "dim", "cell", "angle"])
+
+    kind = dict(rows.dtypes)[name]
+    return rows.mapInArrow(place, f"{name} {kind}, vec array<double>, dim int, cell int, angle double")
+
+
+def _visits(asked: DataFrame, centres: dict, reach: dict[int, tuple[float, float]], probe: bool) -> DataFrame:
+    """``(query_id, dim, cell)``: the cells next to each query, or the others that may hold a vector of at least ``floor``.
+
+    ``reach`` has the least and the largest angle between each cell's centre and its vectors.
+    """
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, some in _by_dimension(batch):
+                if dim not in centres:
+                    row, cell = (np.arange(some.num_rows), np.full(some.num_rows, NO_CENTRE)) if probe else (np.empty(0, int), np.empty(0, int))
+                else:
+                    numbers, c = centres[dim]
+                    filled = np.array([n in reach for n in numbers])
+                    numbers, c = numbers[filled], c[filled]
+                    angles = _angles(_matrix(some.column("vec")), c)
+                    order = angles.argsort(axis=1, kind="stable")
+                    wanted = np.zeros(angles.shape, dtype=bool)
+                    np.put_along_axis(wanted, order[:, :PROBED_CELLS], True, axis=1)
+                    if not probe:
+                        least, most = (np.array([reach[n][i] for n in numbers]) for i in (0, 1))
+                        nearest = np.maximum(0.0, np.maximum(angles - most, least - angles))
+                        floor = some.column("floor").to_numpy(zero_copy_only=False)
+                        wanted = ~wanted & (np.cos(np.minimum(nearest, np.pi)) >= floor[:, None] - SLACK)
+                    row, at = np.nonzero(wanted)
+                    cell = numbers[at]
+                columns = [some.column("query_id").take(pa.array(row)), some.column("dim").take(pa.array(row)), pa.array(cell, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "dim", "cell"])
+
+    kind = dict(asked.dtypes)["query_id"]
+    return asked.mapInArrow(visit, f"query_id {kind}, dim int, cell int")
+
+
+def _compared(asked: DataFrame, placed: DataFrame, visits: DataFrame, key: str, k: int, low: float) -> DataFrame:
+    """The best ``k`` of every block for each visiting query: (query_id, key, score)."""
+    cells = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    visitors = visits.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("turns"))
+    grid = cells.join(visitors, ["dim", "cell"])
+
+    def dealt(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """A row's own part by hash, once for each part of the other side."""
+        number = F.pmod(F.xxhash64(F.lit(3), name), F.col(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return rows.join(grid, ["dim", "cell"]).withColumn(f"{own}_no", number).withColumn(f"{other}_no", every)
+
+    block = ["dim", "cell", "parts_no", "turns_no"]
+    left = dealt(visits.join(asked.select("query_id", "vec"), "query_id"), "query_id", "turns", "parts").select("query_id", "vec", *block)
+    right = dealt(placed.select(key, "vec", "dim", "cell"), key, "parts", "turns").select(key, "vec", *block)
+
+    def best(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids, keys = queries.column("query_id").combine_chunks(), vectors.column(key).combine_chunks()
+        rows, scores, found = [], [], []
+        if len(ids) and len(keys):
+            order = np.array(pc.sort_indices(keys))
+            m = _matrix(vectors.column("vec").combine_chunks())[order]
+            q = _matrix(queries.column("vec").combine_chunks())
+            for at in range(0, len(q), SLICE_ROWS):
+                cosine = np.round(q[at : at + SLICE_ROWS] @ m.T, DIGITS)
+                # vectors stand in key order, so a stable sort breaks ties by key
+                top = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if cosine.shape[1] > k else np.tile(np.arange(cosine.shape[1]), (len(cosine), 1))
+                score = np.take_along_axis(cosine, top, axis=1)
+                row, place = np.nonzero(score >= low)
+                rows.append(row + at)
+                scores.append(score[row, place])
+                found.append(order[top[row, place]])
+        row, score, vector = (np.concatenate(x) if x else np.empty(0) for x in (rows, scores, found))
+        return pa.table({"query_id": ids.take(pa.array(row, pa.int64())), key: keys.take(pa.array(vector, pa.int64())), "score": pa.array(score, pa.float64())})
+
+    kinds = dict(asked.dtypes) | dict(placed.dtypes)
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(best, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
+
+
+def _search(queries: DataFrame, vectors: DataFrame, key: str, k: int, threshold: float | None, embedding: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The compared pairs that may be among the best, the visits, and the placed vectors."""
+    asked = stored(_usable(queries, "query_id", embedding), "queries")
+    rows = stored(_usable(vectors, key, embedding), "vectors")
+    centres = _centres(rows, key)
+    placed = stored(_placed(rows, key, centres), "placed")
+    spread = placed.filter(F.col("cell") != NO_CENTRE).groupBy("cell").agg(F.min("angle").alias("least"), F.max("angle").alias("most")).collect()
+    reach = {r["cell"]: (r["least"] - SLACK, r["most"] + SLACK) for r in spread}
+    low = -np.inf if threshold is None else threshold
+
+    near = stored(_visits(asked, centres, reach, probe=True), "visits")
+    first = stored(_compared(asked, placed, near, key, k, low), "compared")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    floors = first.withColumn("place", place).filter(F.col("place") == k).select("query_id", F.col("score").alias("floor"))
+    bounded = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(max(low, -2.0))))
+    far = stored(_visits(bounded, centres, reach, probe=False), "visits")
+    return first.unionByName(_compared(asked, placed, far, key, k, low)), near.unionByName(far), placed
+
+
 def vector_top_k(
     queries: DataFrame,
     vectors: DataFrame,
@@ -47,38 +205,24 @@ def vector_top_k(
     """Best k vectors per query by cosine: (query_id, rank, key, score), ties by key.
 
     Queries and vectors are compared where their dimensions agree.  A query or vector without a value or
-    with a NULL element gives no hit; ``dimension_report`` counts them.  A task multiplies its vectors with
-    one block of queries at a time and keeps k rows per query, so the shuffle carries k rows per query and task.
+    with a NULL element gives no hit; ``dimension_report`` counts them.  Query ids and keys are unique.
     """
-    asked = queries.select("query_id", F.col(embedding).alias("q_vec"))
-    whole = F.coalesce(F.size("q_vec") > 0, F.lit(False)) & ~F.exists("q_vec", lambda x: x.isNull())
-    asked = asked.filter(whole)
-    blocks = question_blocks(asked, F.size("q_vec") * 8 + 16, QUERY_BYTES)
-    low = -np.inf if threshold is None else threshold
-
-    def by_dimension(values: pd.Series) -> dict[int, np.ndarray]:
-        sizes = np.array([len(v) if v is not None else 0 for v in values])
-        return {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes) if n}
-
-    def prepare(block: pd.DataFrame) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
-        return len(block), {n: (at, _matrix(block["q_vec"].iloc[at])) for n, at in by_dimension(block["q_vec"]).items()}
-
-    def score(prepared, part: pd.DataFrame) -> np.ndarray:
-        count, matrices = prepared
-        out = np.full((len(part), count), np.nan)
-        for n, at in by_dimension(part["vec"]).items():
-            if n in matrices:
-                where, q = matrices[n]
-                cosine = _matrix(part["vec"].iloc[at]) @ q.T
-                out[np.ix_(at, where)] = np.where(cosine >= low, cosine, np.nan)
-        return out
-
-    scan = vectors.select(key, F.col(embedding).alias("vec"))
-    best = keep_best(scan, asked, blocks, prepare, score, ((key, True),), k)
+    best, _, _ = _search(queries, vectors, key, k, threshold, embedding)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key)))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def comparison_report(queries: DataFrame, vectors: DataFrame, *, key: str, k: int, threshold: float | None = None, embedding: str = "embedding") -> DataFrame:
+    """One row: the pairs that a search compares, and all pairs of one dimension."""
+    _, visits, placed = _search(queries, vectors, key, k, threshold, embedding)
+    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("vectors"))
+    compared = visits.join(sizes, ["dim", "cell"]).select("vectors", F.lit(0).alias("all_pairs"))
+    asked = _usable(queries, "query_id", embedding).groupBy("dim").agg(F.count("*").alias("queries"))
+    every = asked.join(placed.groupBy("dim").agg(F.count("*").alias("vectors")), "dim")
+    both = compared.unionByName(every.select(F.lit(0).alias("vectors"), (F.col("queries") * F.col("vectors")).alias("all_pairs")))
+    return both.agg(*(F.coalesce(F.sum(a), F.lit(0)).alias(b) for a, b in (("vectors", "compared"), ("all_pairs", "all_pairs"))))
+
+
 def dimension_report(vectors: DataFrame, dimension: int, embedding: str = "embedding") -> DataFrame:
     """How many vectors a search of ``dimension`` can and cannot use."""
     usable = F.coalesce(F.size(embedding) == dimension, F.lit(False))

@@ -10,7 +10,6 @@ from folia.functions.payload import _balanced
 from folia.functions.text import focus_terms, headings
 from folia.operators import evidence as E
 from folia.operators import graph, vectors
-from folia.operators.ranking import question_blocks, text_chunks
 from folia.plans import ready_data as builds
 from folia.sources import files, shared, sinks
 
@@ -101,12 +100,29 @@ def test_ragged_and_null_vectors(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in found) == [(1, 1), (2, 2), (3, 3)]
 
 
-def test_blocks_and_chunks_hold_everything(spark):
-    asked = spark.range(500).select(F.col("id").alias("query_id"), F.concat(F.lit("question "), "id").alias("q_norm"))
-    blocks = question_blocks(asked, F.octet_length("q_norm") + 64, 4000).collect()
-    assert len(blocks) > 5 and len({b["block"] for b in blocks}) == len(blocks)
-    chunks = text_chunks(spark.range(1000).withColumn("t", F.lit("x" * 100)))
-    assert 4 <= chunks.count() <= 12
+@pytest.mark.parametrize("block_rows", [4096, 16])
+def test_cells_rule_out_vectors_and_lose_none(spark, monkeypatch, block_rows):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(4)
+    heads = rng.normal(size=(12, 8))
+    points = np.vstack([h + 0.15 * rng.normal(size=(40, 8)) for h in heads] + [heads[:3], heads[:3], np.zeros((2, 8)), -heads[:2]])
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(900, [1.0, 2.0]), (901, [2.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    asked = table.withColumnRenamed("vec_id", "query_id")
+    unit = points / np.where(np.linalg.norm(points, axis=1) > 0, np.linalg.norm(points, axis=1), 1)[:, None]
+    cosine = np.round(unit @ unit.T, 12)
+    for threshold in (None, 0.9):
+        got = {}
+        for r in vectors.vector_top_k(asked, table, key="vec_id", k=4, threshold=threshold).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], pytest.approx(r["score"], abs=1e-11)))
+        for q in range(len(points)):
+            order = np.lexsort((np.arange(len(points)), -cosine[q]))[:4]
+            assert got.get(q, []) == [(int(v), cosine[q, v]) for v in order if threshold is None or cosine[q, v] >= threshold]
+        assert [v for v, _ in got[900]] == ([900, 901] if threshold is None else [900])
+    report = vectors.comparison_report(asked, table, key="vec_id", k=4).first()
+    assert report["all_pairs"] == len(points) ** 2 + 4 and report["compared"] < 0.6 * report["all_pairs"]
 
 
 def test_caps_are_gone(spark):

@@ -202,23 +202,20 @@ def test_vector_top_k(spark):
     assert report == {True: 4, False: 2}
 
 
-def test_common_runs_match_brute_force():
+def test_common_runs_match_brute_force(spark):
     import random
 
-    import pandas as pd
-
-    from folia.operators.filenames import _Block
+    from folia.operators.filenames import common_runs
 
     rng = random.Random(5)
     texts = ["".join(rng.choices("ab规", k=rng.randint(0, 14))) for _ in range(40)]
-    block = _Block(pd.DataFrame({"query_id": range(40), "q_norm": texts}))
+    stems = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "path string, s_norm string")
+    found = {(r["path"], r["query_id"]): r["length"] for r in common_runs(stems, spark.createDataFrame(list(enumerate(texts)), "query_id int, q_norm string")).collect()}
 
     def brute(a, b):
-        found = [j - i for i in range(len(a)) for j in range(i + 4, len(a) + 1) if a[i:j] in b]
-        return max(found, default=0)
+        return max((j - i for i in range(len(a)) for j in range(i + 4, len(a) + 1) if a[i:j] in b), default=0)
 
-    for text in texts:
-        assert block.common_runs(text).tolist() == [brute(text, q) for q in texts]
+    assert found == {(f"p{i}", q): n for i, a in enumerate(texts) for q, b in enumerate(texts) if (n := brute(a, b))}
 
 
 def test_filename_hits(spark):
