@@ -5,16 +5,18 @@ a digit, addresses) as wildcards.  The lines at a leaf are split into groups unt
 of a group have at a position, or a wildcard where none has a majority, is its template where it fixes more than half
 of the positions, and the lines that do not match go on as a group of their own.  A group that does not agree is split
 by its tokens at the position that tokens of five lines or more cover best, the rarer tokens together.  So a line that
-five documents have ends in a template, whatever else shares its leaf.  A template recurs if at least five documents
-with different surroundings have a matching line.  A line belongs to the recurring template that fixes most of it, and
-is dropped everywhere but in the document with the template's least id.
+five documents have ends in a template, whatever else shares its leaf.  A line of fewer than five tokens has a leaf of its
+own, without wildcards, and so is a template of its own.  The split tells the template of each different line, so a line
+meets one template only when documents are counted.  A template recurs if at least five documents with different
+surroundings have a line of it.  Where lines are dropped, a line belongs to the recurring template that fixes most of it,
+and goes everywhere but in the document with the least id that has such a line.
 
 Copies of one document must not make its own lines recur, since near-dedup decides about them.  So documents
 count by signatures, the least hash of their other lines in each of several orders of the hashes, and in one order
 signatures must make up a fifth of the documents: copies share most lines and so the signatures, while documents
 that share only some passage have their own.  Documents without another line count as one.
 
-Defined results: lines of fewer than five tokens are never dropped; NULL and empty texts have no lines; a NULL
+Defined results: lines without a token are kept; NULL and empty texts have no lines; a NULL
 id counts as the largest; equal rows share one decision; other columns pass through untouched.
 """
 
@@ -33,7 +35,8 @@ from pyspark.sql.window import Window
 from folia.llm.words import parts, record
 from folia.sources.shared import stored
 
-LEAD, LEAST_TOKENS = 3, 5
+#: Tokens that lead to a leaf; a line of fewer than ``SHORT`` tokens is led by all of them, as they stand.
+LEAD, SHORT = 3, 5
 LEAST_DOCS, LEAST_SHARE = 5, 0.2
 #: Each order of the leaf hashes is their order after an exclusive or; the upper bits differ, so that a hash is least in one at most.
 ORDERS = (0, 0x53A91C6E7F20D84B, 0xA6174BD2E9358C1F - (1 << 64), 0xF8C26D0B4179E3A5 - (1 << 64))
@@ -48,15 +51,15 @@ VARIABLE = re.compile(r"[0-9]|://|@")
 
 
 def leaf_of(tokens: list[str]) -> int:
-    lead = [WILD if VARIABLE.search(t) else t for t in tokens[:LEAD]]
+    lead = tokens if len(tokens) < SHORT else [WILD if VARIABLE.search(t) else t for t in tokens[:LEAD]]
     return xxhash.xxh3_64_intdigest("\x1f".join([str(len(tokens)), *lead]).encode("utf-8", "replace")) - (1 << 63)
 
 
 def _lines(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
-    """Number, leaf and tokens of each line that is long enough."""
+    """Number, leaf and tokens of each line that has a token."""
     for i, line in enumerate((text or "").split("\n")):
         tokens = line.split()
-        if len(tokens) >= LEAST_TOKENS:
+        if tokens:
             yield i, leaf_of(tokens), tokens
 
 
@@ -117,8 +120,8 @@ def _recurring(marked: DataFrame) -> DataFrame:
     return counted.filter((F.col("marks") >= LEAST_DOCS) & (F.col("marks") >= LEAST_SHARE * F.col("docs"))).select("template")
 
 
-def _split(group: list[tuple[tuple[str, ...], int]]) -> Iterator[dict[int, str]]:
-    """The tokens by place that the templates of a group of lines fix; a line has its count."""
+def _split(group: list[tuple[tuple[str, ...], int]]) -> Iterator[tuple[dict[int, str], list[tuple[str, ...]]]]:
+    """The tokens by place that each template of a group of lines fixes, and its lines; a line has its count."""
     waiting = [(group, 0)]
     while waiting:
         lines, before = waiting.pop()
@@ -138,8 +141,9 @@ def _split(group: list[tuple[tuple[str, ...], int]]) -> Iterator[dict[int, str]]
             if top < total:
                 decisive = max(decisive, (sum(n for n in column.values() if n >= LEAST_DOCS), -place))
         if len(fixed) * 2 > len(columns) and total != before:
-            yield fixed
-            waiting.append(([x for x in lines if any(x[0][p] != t for p, t in fixed.items())], total))
+            unlike = [any(t[p] != token for p, token in fixed.items()) for t, _ in lines]
+            yield fixed, [t for (t, _), other in zip(lines, unlike) if not other]
+            waiting.append(([x for x, other in zip(lines, unlike) if other], total))
         elif decisive[0]:
             place, parted = -decisive[1], {}
             for x in lines:
@@ -147,17 +151,21 @@ def _split(group: list[tuple[tuple[str, ...], int]]) -> Iterator[dict[int, str]]
             waiting += [(x, 0) for x in parted.values()]
 
 
+ASSIGNED = "leaf bigint, kind bigint, places array<int>, fixed array<string>"
+
+
 def _split_small(rows: pa.Table) -> pa.Table:
+    kinds = {tuple(t): k for t, k in zip(rows.column("tokens").to_pylist(), rows.column("kind").to_pylist())}
     group = sorted((tuple(t), n) for t, n in zip(rows.column("tokens").to_pylist(), rows.column("n").to_pylist()))
-    found = [sorted(fixed.items()) for fixed in _split(group)]
+    found = [(kinds[t], sorted(fixed.items())) for fixed, own in _split(group) for t in own]
     return pa.table({
-        "leaf": pa.array(rows.column("leaf").to_pylist()[:1] * len(found), pa.int64()),
-        "places": pa.array([[p for p, _ in f] for f in found], pa.list_(pa.int32())), "fixed": pa.array([[t for _, t in f] for f in found], pa.list_(pa.string())),
+        "leaf": pa.array(rows.column("leaf").to_pylist()[:1] * len(found), pa.int64()), "kind": pa.array([k for k, _ in found], pa.int64()),
+        "places": pa.array([[p for p, _ in f] for _, f in found], pa.list_(pa.int32())), "fixed": pa.array([[t for _, t in f] for _, f in found], pa.list_(pa.string())),
     })
 
 
 def _split_once(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Templates of the groups that agree, and the groups that remain; the step of ``_split`` as aggregates."""
+    """Lines of the groups that agree with their templates, and the groups that remain; the step of ``_split`` as aggregates."""
     support = groups.select("leaf", "group", "before", "n", F.posexplode("tokens").alias("place", "token"))
     support = stored(support.groupBy("leaf", "group", "before", "place", "token").agg(F.sum("n").alias("n")), "support")
     often = F.col("n") >= LEAST_DOCS
@@ -174,34 +182,34 @@ def _split_once(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     agrees = (F.size("major") * 2 > F.col("width")) & (F.col("total") != F.col("before"))
     state = stored(state.filter(F.col("total") >= LEAST_DOCS).withColumn("agrees", agrees).drop("before", "leaf"), "state")
     places, fixed = F.col("major.place").alias("places"), F.col("major.token").alias("fixed")
-    leaves = groups.select("group", "leaf").distinct()
-    found = state.filter("agrees").join(leaves, "group").select("leaf", places, fixed)
     known = support.filter(often).select("group", F.col("place").alias("decisive"), F.col("token").alias("at"))
     parted = groups.join(state, "group").filter("NOT agrees AND decisive IS NOT NULL").withColumn("at", F.expr("element_at(tokens, decisive + 1)"))
     parted = parted.join(known.withColumn("often", F.lit(True)), ["group", "decisive", "at"], "left")
     parted = parted.withColumn("group", F.xxhash64("group", "decisive", F.coalesce("often", F.lit(False)), F.when(F.col("often"), F.col("at"))))
     unlike = F.expr("exists(major, m -> element_at(tokens, m.place + 1) != m.token)")
-    rest = groups.drop("before").join(state.filter("agrees"), "group").filter(unlike)
+    agreeing = groups.drop("before").join(state.filter("agrees"), "group")
+    found = agreeing.filter(~unlike).select("leaf", "kind", places, fixed)
+    rest = agreeing.filter(unlike)
     rest = rest.withColumn("group", F.xxhash64("group", F.lit("rest")))
-    parted = parted.select("leaf", "group", F.lit(0).cast("bigint").alias("before"), "tokens", "n")
-    return found, parted.unionByName(rest.select("leaf", "group", F.col("total").alias("before"), "tokens", "n"))
+    parted = parted.select("leaf", "group", F.lit(0).cast("bigint").alias("before"), "kind", "tokens", "n")
+    return found, parted.unionByName(rest.select("leaf", "group", F.col("total").alias("before"), "kind", "tokens", "n"))
 
 
 def _all_templates(lines: DataFrame, task_lines: int) -> DataFrame:
-    """``(template, leaf, places, fixed)`` of all leaves of ``lines(leaf, tokens)``."""
-    groups = lines.groupBy("leaf", "tokens").agg(F.count("*").alias("n"))
-    groups = groups.select("leaf", F.col("leaf").alias("group"), F.lit(0).cast("bigint").alias("before"), "tokens", "n")
+    """``(template, leaf, kind, places, fixed)``: each different line of ``lines(leaf, kind, tokens)`` with its one template."""
+    groups = lines.groupBy("leaf", "kind").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    groups = groups.select("leaf", F.col("leaf").alias("group"), F.lit(0).cast("bigint").alias("before"), "kind", "tokens", "n")
     every = None
     while True:
         groups = stored(groups, "groups")
         sizes = groups.groupBy("group").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter(F.col("total") >= LEAST_DOCS)
         sizes = stored(sizes, "sizes")
         small = groups.join(sizes.filter(F.col("kinds") <= task_lines), "group", "left_semi")
-        small = small.groupBy("group").applyInArrow(_split_small, "leaf bigint, places array<int>, fixed array<string>")
+        small = small.groupBy("group").applyInArrow(_split_small, ASSIGNED)
         every = small if every is None else every.unionByName(small)
         large = sizes.filter(F.col("kinds") > task_lines)
         if large.isEmpty():
-            return every.distinct().select(F.xxhash64("leaf", "places", "fixed").alias("template"), "leaf", "places", "fixed")
+            return every.select(F.xxhash64("leaf", "places", "fixed").alias("template"), "leaf", "kind", "places", "fixed")
         found, groups = _split_once(groups.join(large, "group", "left_semi"))
         every = every.unionByName(found)
 
@@ -217,7 +225,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return keyed.withColumn("hash", F.xxhash64("text"))
 
 
-def templates(docs: DataFrame, *, task_lines: int = TASK_LINES) -> DataFrame:
+def templates(docs: DataFrame, *, task_lines: int = TASK_LINES, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``(template, leaf, places, fixed, first_id)``: recurring templates, the tokens they fix, and the least id that has them."""
     kind = dict(docs.dtypes)["doc_id"]
     keyed = _keyed(docs)
@@ -228,18 +236,41 @@ def templates(docs: DataFrame, *, task_lines: int = TASK_LINES) -> DataFrame:
         lines = keyed.mapInArrow(_tokens(only), schema)
     else:
         lines = keyed.mapInArrow(_tokens(None), schema).join(leaves, "leaf", "left_semi")
-    lines = stored(lines.select("doc_id", "hash", "leaf", "marks", "tokens"), "lines")
+    lines = stored(lines.select("doc_id", "hash", "leaf", "marks", F.xxhash64("tokens").alias("kind"), "tokens"), "lines")
 
-    found = stored(_all_templates(lines, task_lines), "found")
-    kind = F.xxhash64("tokens").alias("kind")
-    matching = _matched(lines, found).select("doc_id", "hash", "leaf", kind, "marks", "template", F.size("places").alias("n_fixed"))
-    matching = stored(matching.distinct(), "matching")
+    assigned = stored(_all_templates(lines, task_lines), "assigned")
+    matching = lines.select("doc_id", "hash", "marks", "leaf", "kind").join(assigned.select("leaf", "kind", "template"), ["leaf", "kind"])
     again = _recurring(matching.select("doc_id", "hash", "marks", "template").distinct())
-    # each kind of line belongs to one template
-    firsts = matching.groupBy("leaf", "kind", "n_fixed", "template").agg(F.min("doc_id").alias("first_id")).join(again, "template", "left_semi")
-    firsts = firsts.groupBy("leaf", "kind").agg(F.max_by(F.struct("template", "first_id"), F.struct("n_fixed", "template")).alias("best"))
-    firsts = firsts.groupBy("best.template").agg(F.min("best.first_id").alias("first_id"))
-    return stored(found.join(firsts, "template"), "templates")
+    found = assigned.select("template", "leaf", "places", "fixed").distinct().join(again, "template", "left_semi")
+    found = stored(found, "found")
+    return stored(found.join(_firsts(docs, found, sent_bytes), "template"), "templates")
+
+
+def _sent(found: DataFrame, sent_bytes: int) -> list | None:
+    """The templates for the tasks, or None where they are too large to send."""
+    size = found.agg(F.coalesce(F.sum(F.octet_length(F.array_join("fixed", " ")) + 16 * F.size("fixed") + 96), F.lit(0))).first()[0]
+    return list(found.toLocalIterator()) if size <= sent_bytes else None
+
+
+def _firsts(docs: DataFrame, found: DataFrame, sent_bytes: int) -> DataFrame:
+    """``(template, first_id)`` over all lines that belong to each template; the least id of a batch first."""
+    rows = _sent(found, sent_bytes)
+    if rows is None:
+        lines = _best_lines(docs, found)
+    else:
+        matcher = Matcher([(r["template"], r["leaf"], r["places"], r["fixed"], None) for r in rows])
+
+        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in parts(batches):
+                known: dict[int, object] = {}
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
+                    for _, template, _ in matcher.lines(text):
+                        old = known.get(template)
+                        known[template] = doc_id if old is None or (doc_id is not None and doc_id < old) else old
+                yield record({"template": pa.array(known, pa.int64()), "doc_id": pa.array(known.values(), batch.schema.field("doc_id").type)})
+
+        lines = _keyed(docs).select("doc_id", "text").mapInArrow(least, f"template bigint, doc_id {dict(docs.dtypes)['doc_id']}")
+    return lines.groupBy("template").agg(F.min("doc_id").alias("first_id"))
 
 
 class Matcher:
@@ -250,8 +281,8 @@ class Matcher:
         for template, leaf, places, fixed, first in rows:
             self.known.setdefault(leaf, {}).setdefault(tuple(places), {})[tuple(fixed)] = template, first
 
-    def __call__(self, doc_id: object, text: str | None) -> list[int]:
-        dropped, own = [], set()
+    def lines(self, text: str | None) -> Iterator[tuple[int, int, object]]:
+        """Number, template and first id of each line that belongs to a template."""
         for number, leaf, tokens in _lines(text):
             found = []
             for places, known in self.known.get(leaf, {}).items():
@@ -259,11 +290,15 @@ class Matcher:
                 if match:
                     found.append((len(places), *match))
             if found:
-                _, template, first = max(found, key=lambda x: x[:2])
-                if doc_id == first and template not in own:
-                    own.add(template)
-                else:
-                    dropped.append(number)
+                yield number, *max(found, key=lambda x: x[:2])[1:]
+
+    def __call__(self, doc_id: object, text: str | None) -> list[int]:
+        dropped, own = [], set()
+        for number, template, first in self.lines(text):
+            if doc_id == first and template not in own:
+                own.add(template)
+            else:
+                dropped.append(number)
         return dropped
 
 
@@ -277,13 +312,18 @@ def _dropping(matcher: Matcher):
     return scan
 
 
-def _joined_drops(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``(__gone_id, __gone_hash, __drop)`` where the templates are too many to send: lines meet them by leaf and tokens."""
+def _best_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``(doc_id, hash, line, template)`` of the lines that belong to a template, met by leaf and tokens."""
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, hash bigint, line int, leaf bigint, marks array<bigint>, tokens array<string>"
     lines = _matched(_keyed(docs).mapInArrow(_tokens(None), schema).distinct(), found)
-    best = F.max_by(F.struct("template", "first_id"), F.struct(F.size("places"), "template")).alias("best")
-    lines = lines.groupBy("doc_id", "hash", "line").agg(best).select("doc_id", "hash", "line", "best.*")
+    best = F.max_by("template", F.struct(F.size("places"), "template")).alias("template")
+    return lines.groupBy("doc_id", "hash", "line").agg(best)
+
+
+def _joined_drops(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``(__gone_id, __gone_hash, __drop)`` where the templates are too many to send: lines meet them by leaf and tokens."""
+    lines = _best_lines(docs, found).join(found.select("template", "first_id"), "template")
     place = F.row_number().over(Window.partitionBy("doc_id", "hash", "template").orderBy("line"))
     gone = lines.withColumn("n", place).filter((F.col("n") > 1) | ~F.col("doc_id").eqNullSafe(F.col("first_id")))
     gone = gone.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("line")).alias("__drop"))
@@ -295,11 +335,11 @@ def with_lines_dropped(docs: DataFrame, *, sent_bytes: int = SENT_BYTES) -> Data
 
     Templates of up to ``sent_bytes`` go to the tasks, and no text is shuffled; beyond, lines join them by leaf.
     """
-    found = templates(docs)
-    size = found.agg(F.coalesce(F.sum(F.octet_length(F.array_join("fixed", " ")) + 16 * F.size("fixed") + 96), F.lit(0))).first()[0]
+    found = templates(docs, sent_bytes=sent_bytes)
+    rows = _sent(found, sent_bytes)
     text = F.col("text").cast("string")
-    if size <= sent_bytes:
-        rows = [(r["template"], r["leaf"], r["places"], r["fixed"], r["first_id"]) for r in found.toLocalIterator()]
+    if rows is not None:
+        rows = [(r["template"], r["leaf"], r["places"], r["fixed"], r["first_id"]) for r in rows]
         keyed = docs.withColumns({"__id": F.col("doc_id"), "__text": text})
         schema = ", ".join([*(f"`{c}` {t}" for c, t in keyed.dtypes), "__drop array<int>"])
         joined = keyed.mapInArrow(_dropping(Matcher(rows)), schema)

@@ -415,6 +415,29 @@ def test_lines_of_one_leaf_do_not_hide_each_other(spark, task_lines):
         assert kept[i] == "\n".join(x for x in text.split("\n") if x not in shared or i < 4)
 
 
+@pytest.mark.parametrize("sent_bytes", [1 << 20, 0])
+def test_every_line_of_enough_documents_is_dropped_short_ones_too(spark, sent_bytes):
+    """Against a count of the documents with different other lines."""
+    rng = random.Random(14)
+    common = ["Home", "All rights reserved.", "Read more", "1 2", "Terms of use apply", *(" ".join(prose(rng, n)) for n in (6, 8, 11, 30))]
+    rows = []
+    for i in range(120):
+        lines = [" ".join(prose(rng, 14)) for _ in range(4)]
+        lines += [x for j, x in enumerate(common) if i % 11 == j]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(["", *lines])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    where = defaultdict(list)
+    for i, text in rows:
+        for line in set(text.split("\n")) - {""}:
+            where[line].append(i)
+    again = {x: min(ids) for x, ids in where.items() if len(ids) >= 5}
+    assert set(again) == set(common)
+    kept = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs, sent_bytes=sent_bytes).collect()}
+    for i, text in rows:
+        assert kept[i] == "\n".join(x for x in text.split("\n") if again.get(x, i) == i)
+
+
 def test_leaf_masks_variable_fields():
     assert line_templates.leaf_of("on 2024-01-02 we met here".split()) == line_templates.leaf_of("on 17 we sat down".split())
     assert line_templates.leaf_of("a b c d e".split()) != line_templates.leaf_of("a b c d e f".split())
