@@ -50,23 +50,24 @@ def contained_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     return candidates.join(hays.select("key", "hay"), "key").filter(F.contains("hay", "needle")).select("needle", "key")
 
 
-def shared_tokens(texts: DataFrame, asked: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    """``(query_id, key, *measures)`` of each pair of ``texts(key, tokens)`` and ``asked(query_id, token, ...)`` that shares a token.
+def shared_tokens(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(q, t, shared, hits)`` of each pair of ``texts(t, tokens)`` and ``asked(q, token, is_keyword)`` that shares a token.
 
-    ``measures`` are aggregates over the shared tokens.  Few questions go to the texts, which are dealt by key first, so that
-    a pair is counted where its text is and no pair moves.  Many questions meet the texts on the token; a token of very many
-    texts is dealt over as many parts as it needs, with its questions repeated in each.
+    ``shared`` counts grams and ``hits`` keywords.  Few questions go to the texts, which are dealt by number first, so that
+    a pair is counted where its text is and no pair moves.  Many questions meet the texts on the token; a token of very
+    many texts is dealt over as many parts as it needs, with its questions repeated in each.
     """
     asked = stored(asked, "tokens")
-    aggregates = [c.alias(name) for name, c in measures.items()]
+    counts = F.sum(1 - F.col("is_keyword")).alias("shared"), F.sum("is_keyword").alias("hits")
     if asked.count() <= SENT_TOKENS:
-        exploded = texts.repartition("key").select("key", F.explode("tokens").alias("token"))
-        return exploded.join(F.broadcast(asked), "token").groupBy("query_id", "key").agg(*aggregates)
-    exploded = texts.select("key", F.explode("tokens").alias("token"))
+        exploded = texts.repartition("t").select("t", F.explode("tokens").alias("token"))
+        return exploded.join(F.broadcast(asked), "token").groupBy("q", "t").agg(*counts)
+    exploded = texts.select("t", F.explode("tokens").alias("token"))
     exploded = exploded.join(asked.select("token").distinct(), "token", "left_semi")
     hot = exploded.groupBy("token").agg(F.count("*").alias("texts")).filter(F.col("texts") > HOT_TEXTS)
     hot = stored(hot.select("token", F.ceil(F.col("texts") / HOT_TEXTS).cast("int").alias("parts")), "hot_tokens")
-    part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int")
+    part = F.pmod(F.xxhash64("t"), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = exploded.join(hot, "token", "left").withColumn("part", part).drop("parts")
     repeated = asked.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    return dealt.join(repeated.drop("parts"), ["token", "part"]).groupBy("query_id", "key").agg(*aggregates)
+    met = dealt.join(repeated.drop("parts"), ["token", "part"])
+    return met.groupBy("q", "t").agg(*counts)
