@@ -10,9 +10,9 @@ Sketches are taken twice.  Forty coarse ones of five k-mers find the texts that
 only these get fine ones (up to 150 of ten k-mers), whose agreement makes a pair a candidate.  Short texts have
 sketches of fewer k-mers; the ranges of length overlap so that two texts of similarity 0.8 always have a kind in
 common.  At that similarity all sketches of a kind differ with a probability of about 1e-6 or less;
-no cap drops a candidate.  Within a group that shares a sketch, members are compared with a leader first; only
-groups that are not yet one class get more leaders, four times as many in every round, until each pair of members
-has met or is in one class.
+no cap drops a candidate.  Within a group that shares a sketch, members are compared with a leader first.  Members
+of groups that are not one class then are compared with each other unless their rarest runs prove that they share
+too few (``_unmet``), so a large group costs few pairs and loses no link between classes.
 
 Defined results: equal texts, also empty ones, are one class; a NULL text is a class of its own; texts
 without words are near no other; repeated rows stay one row each; other columns are not read.
@@ -22,19 +22,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import inf
+from math import inf, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folia.llm.components import components
 from folia.llm.words import PLAIN, Words, mixed, parts, record, run_hashes
 from folia.sources.shared import stored
 
 RUN, SIMILAR = 5, 0.8
+#: Width of a bucket of sizes, and how many of them lie within a similarity of 0.8 to either side.
+WIDTH, REACH = 1.05, 5
 
 
 @dataclass(frozen=True)
@@ -125,11 +126,16 @@ def edits_within(a: list, b: list, band: int) -> bool:
     return False
 
 
+def distinct_runs(words: np.ndarray) -> np.ndarray:
+    """Distinct hashes of a text's runs of five words; a shorter text is one run."""
+    return np.unique(run_hashes(words, min(RUN, len(words)))) if len(words) else words
+
+
 def near(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two texts with these word hashes are near copies."""
     if not len(a) or not len(b) or min(len(a), len(b)) < (SIMILAR - 0.3) * max(len(a), len(b)):
         return False
-    x, y = (np.unique(run_hashes(w, RUN if len(w) >= RUN else len(w))) for w in (a, b))
+    x, y = distinct_runs(a), distinct_runs(b)
     if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
         return False
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -162,6 +168,15 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record({"a": rows.column("a"), "b": rows.column("b"), "ok": pa.array(ok, pa.bool_())})
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, texts in parts(batches):
+        words = Words(texts, PLAIN, lower=True)
+        runs = [distinct_runs(words.hashes[a:b]).view(np.int64) for a, b in zip(words.first, words.first[1:])]
+        yield record({
+            "node": rows.column("node"), "component": rows.column("component"), "n": pa.array([len(r) for r in runs], pa.int32()), "runs": pa.array(runs, pa.list_(pa.int64())),
+        })
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
     """128 bits that stand for a text; NULL for a NULL text."""
     text = F.col("text").cast("string")
@@ -194,15 +209,9 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     tried = stored(_compared(pairs, read), "checked")
     classes = stored(components(tried.filter("ok")), "classes")
-    leaders = 1
-    while True:
-        pairs, largest = _unmet(shared, classes, tried, leaders)
-        if largest <= leaders:
-            break
-        more = stored(_compared(pairs, read), "checked")
-        tried = tried.unionByName(more)
-        classes = stored(components(tried.filter("ok")), "classes")
-        leaders *= 4
+    more = stored(_compared(_unmet(shared, classes, tried, read), read), "checked")
+    tried = tried.unionByName(more)
+    classes = stored(components(tried.filter("ok")), "classes")
 
     links = tried.filter("ok").distinct()
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
@@ -228,27 +237,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _unmet(shared: DataFrame, classes: DataFrame, tried: DataFrame, leaders: int) -> tuple[DataFrame, int]:
-    """Pairs to compare in the next round, and the size of the largest group that is not one class yet.
+def _unmet(shared: DataFrame, classes: DataFrame, tried: DataFrame, read: DataFrame) -> DataFrame:
+    """Pairs of different classes that may still be near, of texts whose groups are not one class yet.
+
+    All these texts put their runs in one order: those of a single class first, then the others, rare ones before
+    frequent ones.  Two texts of ``n`` and ``m`` runs that are near share at least ``4 / 9 (n + m)``, so the first that
+    they share lies among the first ``n - 4 / 9 (n + m) + 1`` of one and likewise of the other.  Partners are kept
+    apart by size (buckets 5 % wide, five to either side), which keeps these beginnings short.  A text with more runs
+    of its own than near copies may differ in meets nobody, however many texts share its sketches.  Nothing is missed.
 
-    Members of a group are ordered by a hash.  The next ``3 * leaders`` of them (the first four, to begin with) meet the
-    members after them that are of another class; whoever comes before them has met them already.  So over all rounds
-    a group gives each of its pairs once at most, and none within a class.
+    Of the texts that share a run, those of the most frequent class do not meet each other.
     """
     placed = shared.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    split = placed.join(split.select("key"), "key", "left_semi").withColumn("place", F.xxhash64("node"))
-    split = stored(split.select("key", "node", "component", "size", "place"), "split")
-    largest = split.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
-    first = Window.partitionBy("key").orderBy("place", "node")
-    front = split.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= 4 * leaders)
-    front = front.filter((F.col("rank") > leaders) | F.lit(leaders == 1))
-    front = front.select("key", F.col("node").alias("l"), F.col("component").alias("lc"), F.col("place").alias("lp"))
-    after = (F.col("place") > F.col("lp")) | ((F.col("place") == F.col("lp")) & (F.col("node") > F.col("l")))
-    met = split.join(front, "key").filter((F.col("component") != F.col("lc")) & after)
+    members = placed.join(split.select("key"), "key", "left_semi").select("node", "component").distinct()
+    runs = read.join(members, "node").mapInArrow(_runs, "node bigint, component bigint, n int, runs array<bigint>")
+    runs = stored(runs.select("node", "component", "n", F.explode("runs").alias("run")), "runs")
+    seen = runs.groupBy("run").agg(F.count("*").alias("times"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    common = runs.join(seen.filter("lo <> hi").select("run", "times"), "run")
+    ordered = common.groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("times", "run"))).alias("runs"))
+
+    own = F.floor(F.log("n") / log(WIDTH)).cast("int")
+    ordered = ordered.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.col("own") - REACH, F.col("own") + REACH)))
+    least = F.ceil((F.col("n") + F.pow(F.lit(WIDTH), F.col("other"))) * (SIMILAR / (1 + SIMILAR)) - 1e-6)
+    # runs of a single class stand before those listed here
+    begin = F.greatest(F.lit(0), F.size("runs") - least + 1).cast("int")
+    begun = ordered.withColumn("run", F.explode(F.slice("runs.run", F.lit(1), begin)))
+    begun = begun.select("node", "component", "own", "other", "run", F.least("own", "other").alias("small"), F.greatest("own", "other").alias("large"))
+    begun = stored(begun, "begun")
+    of_class = begun.groupBy("run", "small", "large", "component").agg(F.count("*").alias("times"))
+    most = of_class.groupBy("run", "small", "large").agg(F.max_by("component", F.struct("times", "component")).alias("most"), F.count("*").alias("classes"))
+    mixed_runs = begun.join(most.filter("classes > 1").drop("classes"), ["run", "small", "large"])
+    one = mixed_runs.filter("component <> most").select("run", "own", "other", F.col("node").alias("l"), F.col("component").alias("lc"))
+    two = mixed_runs.select("run", F.col("own").alias("other"), F.col("other").alias("own"), "node", "component")
+    met = one.join(two, ["run", "own", "other"]).filter("component <> lc")
     met = met.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
     old = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return met.join(old, ["a", "b"], "left_anti"), int(largest)
+    return met.join(old, ["a", "b"], "left_anti")
 
 
 def _read(nodes: DataFrame, hashed: DataFrame, texts: DataFrame) -> DataFrame:

@@ -159,6 +159,10 @@ def test_near_copies_have_one_class(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     rows += [(len(rows) + i, rows[0][1]) for i in range(30)]
     found = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert found == near_classes(rows)
+
+
+def near_classes(rows):
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
 
@@ -171,7 +175,32 @@ def test_near_copies_have_one_class(spark):
         for b in range(a):
             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
-    assert found == {i: root(i) for i in sets}
+    return {i: root(i) for i in sets}
+
+
+def test_large_groups_around_the_similarity(spark):
+    """Copies of a text that lie on both sides of the similarity, chains between them, and a group without its original."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for words, edits in ((150, (1, 2, 3, 4, 5, 6, 8)), (90, (2, 3, 4))):
+        base = prose(rng, words, vocabulary)
+        for _ in range(160):
+            copy = base[:]
+            for _ in range(rng.choice(edits)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(copy)
+        for _ in range(20):  # copies of copies
+            copy = rng.choice(texts)[:]
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(copy + prose(rng, rng.randrange(4), vocabulary))
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    wanted = near_classes(rows)
+    assert 20 < len(set(wanted.values())) < 300
+    found = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == wanted
+
 
 def test_account_numbers_end_at_their_length():
     long, plain = "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"
