@@ -76,6 +76,7 @@ class Page:
         self.closed = [False]  # within an element whose names speak against it
         self.chunks: list[tuple[int, int, str]] = []  # node, block, text
         self.block = 0
+        self.implied: set[int] = set()  # paragraphs that no tag opens
         self.stack = [0]
         self._read(source)
 
@@ -119,6 +120,10 @@ class Page:
             if text is None and m[0] == "<":
                 text = "<"
             if text is not None:
+                if len(self.stack) == 1 and not text.isspace():
+                    # text directly under the root begins a paragraph, as it would in a browser's body
+                    self.stack.append(self._open("p", ""))
+                    self.implied.add(self.stack[-1])
                 self.chunks.append((self.stack[-1], self.block, text))
                 continue
             tag = (m["tag"] or m["tag2"] or "").lower()
@@ -132,7 +137,7 @@ class Page:
             if m["end"] or m["end2"]:
                 self._pop({tag}, frozenset() if not inline else frozenset(CLOSES_P - {"p"}) | {"td", "th", "li"})
                 continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P or tag in ("html", "head", "body"):
                 self._pop({"p"}, frozenset({"table", "td", "th", "button", "object"}))
             if tag in SIBLINGS:
                 self._pop(set(SIBLINGS[tag].split()), scope if tag != "body" else frozenset())

@@ -107,6 +107,13 @@ def test_pages_odd_rows(spark):
     found = html_marginals.extract(pages, html_marginals.train(pages)).collect()
     assert len(found) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in found)
     assert {r["text"] for r in found if r["page_id"] in (1, 2)} == {""}
+    assert [r["text"] for r in found if r["page_id"] == 5] == ["plain"]
+    bare = {
+        "plain text": "plain text", "plain <b>bold</b> text<p>para": "plain bold text\npara", "<nav><a href=x>Home</a></nav>bare words": "bare words",
+        "<html><body><article><p>Good content here, long enough.</p></html>stray text": "Good content here, long enough.\nstray text", " \n <!-- none --> ": "",
+    }
+    model = html_marginals.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    assert {source: html_marginals.main_text(source, model) for source in bare} == bare
     empty = pages.limit(0)
     assert html_marginals.extract(empty, html_marginals.train(empty)).collect() == []
 
