@@ -2,7 +2,8 @@
 
 The lexicon is learned from labelled rows: words, and beginnings of words, that toxic documents have far more
 often than others.  It becomes a trie; a Levenshtein automaton of one edit runs through the trie with each
-distinct word of a text, so misspelled terms are caught (terms of six characters or more, first letter kept).
+distinct word of a text, so misspelled terms are caught: whole words of six characters or more with one character
+missing, added or wrong, or two neighbours exchanged, the first letter kept.
 Each match is weighed by the words around it: quotation marks and reporting words lower it, the second person
 raises it.  A logistic model over the weighed matches gives the score.
 
@@ -73,8 +74,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Terms with their weights (log-odds).  Of nested beginnings the shortest stays that is nearly as precise."""
-    counted = sample.select("text", "label").mapInArrow(_counted, "stem string, toxic bigint, other bigint")
+    """Terms with their weights (log-odds).
+
+    Of nested beginnings the shortest stays that is nearly as precise.  Whole words that can be misspelled stay beside
+    their beginnings, since only they take edits; equal texts of a label count once, so a term needs several
+    different documents.
+    """
+    counted = sample.select("text", "label").distinct().mapInArrow(_counted, "stem string, toxic bigint, other bigint")
     counted = counted.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     precise = F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("other"))
     useful = counted.filter((F.col("toxic") >= LEAST_SUPPORT) & precise)
@@ -87,15 +93,17 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         above = [chosen[plain[:n]] for n in range(SHORTEST, len(plain) + (stem != plain)) if plain[:n] in chosen]
         if not above or odds[stem] > max(above) + 1.0:
             chosen[stem] = odds[stem]
-    return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
+    best = dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
+    whole = [s for s in odds if s.endswith(" ") and len(s) > FUZZY]
+    return best | {s: odds[s] for s in whole[:TERMS]}
 
 
 # --- automaton ---------------------------------------------------------------------------------
 class Automaton:
     """The lexicon's trie, walked by all words within one edit of a path.
 
-    A state is the set of trie nodes that are reached, each with the least number of edits.  States are made
-    when first reached and kept, so a walk costs one dictionary lookup for each character.
+    A state is the set of trie nodes that are reached, each with the least number of edits; ``~node`` stands for a
+    node that is reached once the earlier of two exchanged characters follows.  States are made when first reached and kept, so a walk costs one dictionary lookup for each character.
     """
 
     def __init__(self, lexicon: dict[str, float]) -> None:
@@ -103,11 +111,12 @@ class Automaton:
         self.whole: list[float] = [0.0]
         self.begins: list[float] = [0.0]
         self.reach: list[int] = [0]
+        self.above: list[str] = [""]  # character that leads to the parent
         for term, weight in lexicon.items():
             plain, node = term.rstrip(), 0
-            for c in plain:
+            for before, c in zip(" " + plain, plain):
                 if c not in self.children[node]:
-                    for column, empty in ((self.children, {}), (self.whole, 0.0), (self.begins, 0.0), (self.reach, 0)):
+                    for column, empty in ((self.children, {}), (self.whole, 0.0), (self.begins, 0.0), (self.reach, 0), (self.above, before)):
                         column.append(empty)
                     self.children[node][c] = len(self.children) - 1
                 node = self.children[node][c]
@@ -131,7 +140,7 @@ class Automaton:
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
-        """A matching character keeps the edits; an extra, a wrong and a missing one cost one, in long terms alone."""
+        """A matching character keeps the edits; an extra, a wrong, a missing one and an exchange cost one, in long terms alone."""
         after: dict[int, int] = {}
 
         def reach(node: int, edits: int) -> None:
@@ -139,6 +148,10 @@ class Automaton:
                 after[node] = edits
 
         for node, edits in self.members[state].items():
+            if node < 0:
+                if self.above[~node] == c:
+                    reach(~node, 1)
+                continue
             exact = self.children[node].get(c)
             if exact is not None:
                 reach(exact, edits)
@@ -150,6 +163,7 @@ class Automaton:
                         reach(child, 1)
                         if c in self.children[child]:
                             reach(self.children[child][c], 1)
+                            reach(~self.children[child][c], 1)
         found = self._state(after)
         self.steps[state][c] = found
         return found
@@ -172,15 +186,16 @@ class Automaton:
                 return begun, False
             begun = max(begun, max((self.begins[n] for n, e in self.members[state].items() if e == 0), default=0.0))
         exact = max((self.whole[n] for n, e in self.members[state].items() if e == 0), default=0.0)
-        if max(exact, begun) > 0:
+        if exact > 0:
             return max(exact, begun), False
         near = 0.0
         for n, e in self.members[state].items():
             if e == 1:
-                near = max(near, self.whole[n])
+                near = max(near, self.whole[n] if n >= 0 and self.reach[n] >= FUZZY else 0.0)
             else:  # the last character of a term may be missing
                 near = max([near, *(self.whole[k] for k in self.children[n].values() if self.reach[k] >= FUZZY)])
-        return near, near > 0
+        # a misspelt word may begin like a weaker term
+        return (near, True) if near > begun else (begun, False)
 
 
 def features(text: str, match: Automaton) -> list[float]:

@@ -221,6 +221,30 @@ def test_automaton_accepts_one_edit_of_long_terms():
     assert match("vejuaire") == (1.0, False)
 
 
+def test_automaton_exchanges_and_weak_beginnings():
+    match = toxicity.Automaton({"disgusting ": 2.0, "disgusted ": 1.0, "dis": 0.5, "scum ": 1.5})
+    for word in ("disgutsing", "dsigusting", "disgustign", "disguusting"):
+        assert match(word) == (2.0, True), word
+    assert match("disco") == (0.5, False) and match("sucm")[0] == 0 and match("dsigustign")[0] == 0
+
+
+def test_misspelt_words_of_the_learned_lexicon(spark):
+    rng = random.Random(21)
+    rows, marks = [], []
+    for i in range(240):
+        words = prose(rng, 40)
+        if i % 3 == 0:
+            words[rng.randrange(40)] = rng.choice(("disgusting", "worthless", "pathetic", "disgrace"))
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(i % 3 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    wrong = ("dsgusting", "wrothless", "wortless", "patehtic", "pathetik", "disggusting")
+    asked = [(k, " ".join([*prose(rng, 20), w, *prose(rng, 20)])) for k, w in enumerate(wrong)] + [(100 + k, " ".join(prose(rng, 40))) for k in range(6)]
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(spark.createDataFrame(asked, "doc_id bigint, text string"), model).collect()}
+    assert found == {k: int(k < 100) for k, _ in asked}
+
+
 def test_quotation_weighs_less():
     match = toxicity.Automaton({"disgusting ": 2.0})
     plain = toxicity.features("what a disgusting thing", match)
