@@ -1,13 +1,18 @@
 """Quality rules: a linear-chain conditional random field marks the lines of a text as content or boilerplate.
 
 The field has two labels, features of a line's characters and words, and transitions between neighbouring
-lines.  It is fitted on a bounded sample of documents that pass the base rules and have a quality label, whose
-lines take the label of their document; Viterbi decoding then labels the lines of every text.  A text is kept if it passes the base rules
-and at least half of its word characters lie in content lines.
+lines.  It is fitted on a bounded sample of documents that pass the base rules and have a quality label.  The label
+of a document names only those of its lines that show it: whole sentences of a good one are content, and copies, symbols
+and short lines that end like a link or a title are boilerplate in any.  The other lines are latent.  Every second
+good document is fitted with runs of boilerplate lines between its own, so that the field sees both labels in one text.
+Viterbi decoding then labels the lines of every text.  A text is kept if it passes the base rules and at least half of
+its word characters lie in content lines.
 
 Base rules: a text fails with fewer than 50 words, or if more than half of its words lie in three-word windows
 that it has twice or more.  Defined results: NULL and empty texts have no words and fail; equal rows give
 equal results; without usable labels the field keeps its stated default weights; other columns are not read.
+Documents of more than ``SAMPLE_LINES`` lines are judged like any other but not fitted on, so the fitted weights lean
+to shorter documents.
 """
 
 from __future__ import annotations
@@ -25,12 +30,22 @@ from folia.llm.words import parts, record
 
 #: Documents that the field is fitted on at most (about), and lines beyond which a document is not used for it.
 SAMPLE_DOCS, SAMPLE_LINES = 3000, 2000
-FEATURES = ("bias", "words", "upper", "digit", "symbol", "shout", "stop", "mark", "wide", "short", "copy", "word_length")
+FEATURES = ("bias", "words", "upper", "digit", "symbol", "shout", "stop", "mark", "wide", "short", "copy", "word_length", "open")
+WORDS, SYMBOL, COPY, OPEN = (FEATURES.index(name) for name in ("words", "symbol", "copy", "open"))
 #: Weights for content where no label is known: symbols, shouting and copies speak against it.
-DEFAULT_WEIGHTS = np.array([2.0, 0.0, -2.0, -1.0, -4.0, -4.0, 0.0, -1.0, 0.0, -0.5, -1.0, 0.0])
+DEFAULT_WEIGHTS = np.array([2.0, 0.0, -2.0, -1.0, -4.0, -4.0, 0.0, -1.0, 0.0, -0.5, -1.0, 0.0, -3.0])
 DEFAULT_MOVES = np.array([[0.5, -0.5], [-0.5, 0.5]])
 SHARE = 0.5
-
+#: A line of fewer words than this that ends without a mark is open, the more so the fewer they are.
+OPEN_WORDS = 8
+#: Lines of site menus and notices, from which runs of boilerplate are made for fitting.
+MENU_LINES = (
+    "Home", "About us", "Contact", "Sign in", "Register", "Search", "Menu", "Next page", "Previous", "Back to top", "Share this",
+    "Follow us on social media", "Related articles", "Most read", "Terms of use", "Cookie settings", "Subscribe to our newsletter",
+    "Skip to main content", "Read more", "Comments", "Log out", "My account", "Site map", "Print this page", "FAQ",
+)
+#: Endings of sentences in scripts beyond ASCII.
+WIDE_STOPS = tuple(mark.encode() for mark in "。！？…」』”’»")
 
 #: Share of a line's characters at which a kind of character counts in full.
 FULL = {S.UP: 0.5, S.DIGIT: 0.3, S.SYMBOL: 0.05, S.SHOUT: 0.05, S.STOP: 0.05, S.MARK: 0.05, S.WIDE: 0.2}
@@ -43,9 +58,46 @@ def line_features(s: S.Signals) -> np.ndarray:
     columns = [np.ones(len(words)), np.minimum(np.log1p(words) / 4, 1.2)]
     columns += [np.minimum(kinds[:, k] / solid / full, 1) for k, full in FULL.items()]
     columns += [words < 3, s.line_copy, np.minimum(solid / np.maximum(words, 1) / 10, 2)]
+    columns.append(open_ended(s) * np.maximum(1 - words / OPEN_WORDS, 0))
     return np.stack(columns, axis=1)
 
 
+def open_ended(s: S.Signals) -> np.ndarray:
+    """Lines with a word whose last character is a letter or a digit."""
+    if not len(s.line_ends):
+        return np.zeros(0, dtype=bool)
+    solid = np.where(s.kinds != S.SPACE, np.arange(len(s.kinds)), -1)
+    last = np.maximum.accumulate(solid)[s.line_ends]
+    kind = np.where(last >= s.line_starts, s.kinds[last], S.SPACE)
+    found = np.isin(kind, (S.LOW, S.UP, S.DIGIT, S.WIDE)) & (s.line_words > 0)
+    data = s.words.data
+    for i in np.flatnonzero(found & (kind == S.WIDE)):
+        found[i] = not bytes(data[max(last[i] - 2, 0) : last[i] + 1]).endswith(WIDE_STOPS)
+    return found
+
+
+def weak_labels(x: np.ndarray, good: bool) -> np.ndarray:
+    """1 content, 0 boilerplate, -1 latent, for the lines of a document by their features and its label."""
+    sentence = (x[:, WORDS] >= np.log1p(5) / 4) & (x[:, OPEN] == 0) & (x[:, SYMBOL] < 0.5)
+    labels = np.where(sentence, 1 if good else -1, -1 if good else 0)
+    labels[(x[:, COPY] > 0) | (x[:, OPEN] >= 0.5)] = 0
+    return labels
+
+
+def with_boilerplate(x: np.ndarray, labels: np.ndarray, pools: list[np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A document's lines with runs of one to four lines of one pool put between them at about every third."""
+    rows, marks = [], []
+    for line, label in zip(x, labels):
+        rows.append(line[None])
+        marks.append([label])
+        if rng.random() < 1 / 3:
+            pool = pools[rng.integers(len(pools))]
+            run = pool[rng.integers(len(pool), size=rng.integers(1, 5))]
+            rows.append(run)
+            marks.append([0] * len(run))
+    return np.concatenate(rows), np.concatenate(marks)
+
+
 def decode(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Most likely labels of a chain whose content scores are given; boilerplate scores zero."""
     best0, best1, back = 0.0, float(scores[0]), []
@@ -62,19 +114,20 @@ def decode(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], dtype=bool)
 
 
-def fit(chains: list[np.ndarray], labels: list[int], *, steps: int = 200, rate: float = 0.15, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions by gradient ascent on the log-likelihood of the chains, whose lines share a label."""
+def fit(chains: list[np.ndarray], labels: list[np.ndarray], *, steps: int = 200, rate: float = 0.15, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions by gradient ascent on the log-likelihood of the known labels; -1 is latent."""
     width = len(FEATURES)
-    rows = [(c[i : i + 32], y) for c, y in zip(chains, labels) for i in range(0, len(c), 32)]
-    if len({y for _, y in rows}) < 2:
+    rows = [(c[i : i + 32], z[i : i + 32]) for c, z in zip(chains, labels) for i in range(0, len(c), 32)]
+    rows = [(c, z) for c, z in rows if (z >= 0).any()]
+    if len({int(v) for _, z in rows for v in np.unique(z) if v >= 0}) < 2:
         return DEFAULT_WEIGHTS, DEFAULT_MOVES
     length = np.array([len(c) for c, _ in rows])
     order = np.argsort(-length, kind="stable")
     rows, length = [rows[i] for i in order], length[order]
     x = np.zeros((len(rows), length[0], width))
-    for i, (c, _) in enumerate(rows):
-        x[i, : len(c)] = c
-    y = np.array([label for _, label in rows])
+    y = np.full(x.shape[:2], -1)
+    for i, (c, z) in enumerate(rows):
+        x[i, : len(c)], y[i, : len(c)] = c, z
     live = np.arange(length[0])[None, :] < length[:, None]
     w, moves = DEFAULT_WEIGHTS.copy(), DEFAULT_MOVES.copy()
     speed = [np.zeros(width), np.zeros((2, 2))]
@@ -89,30 +142,45 @@ def fit(chains: list[np.ndarray], labels: list[int], *, steps: int = 200, rate:
 
 
 def _gradient(x, live, y, w, moves) -> tuple[np.ndarray, np.ndarray]:
-    """Observed minus expected features and transitions, by the forward and backward recursions."""
-    n, longest, _ = x.shape
-    unary = np.stack([np.zeros((n, longest)), x @ w], axis=2)
-    forward = np.zeros((n, longest, 2))
-    forward[:, 0] = unary[:, 0]
+    """Features and transitions expected with the known labels, minus those expected with none.
+
+    ``y`` holds a label per chain or one per line; -1 is latent.
+    """
+    n = len(x)
+    if y.ndim == 1:
+        y = np.repeat(y[:, None], x.shape[1], axis=1)
+    order = np.argsort(-live.sum(axis=1), kind="stable")
+    if (order[:-1] > order[1:]).any():
+        x, live, y = x[order], live[order], y[order]
+    unary = np.stack([np.zeros(x.shape[:2]), x @ w], axis=2)
+    known = unary.copy()
+    known[:, :, 0][y == 1] = known[:, :, 1][y == 0] = -1e9
+    (seen, seen_moves), (free, free_moves) = _expected(known, live, moves), _expected(unary, live, moves)
+    return np.einsum("nt,ntf->f", seen - free, x) / n, (seen_moves - free_moves) / n
+
+
+def _expected(unary, live, moves) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of content per line and sums of the transitions, by the forward and backward recursions.
+
+    Chains come longest first, so those that reach a line are the first ones.
+    """
+    n, longest, _ = unary.shape
+    reach = live.sum(axis=0)
+    forward, backward = unary.copy(), np.zeros(unary.shape)
     for t in range(1, longest):
-        step = np.logaddexp(forward[:, t - 1, :1] + moves[0], forward[:, t - 1, 1:] + moves[1]) + unary[:, t]
-        forward[:, t] = np.where(live[:, t, None], step, forward[:, t - 1])
-    backward = np.zeros((n, longest, 2))
+        before = forward[: reach[t], t - 1]
+        forward[: reach[t], t] += np.logaddexp(before[:, :1] + moves[0], before[:, 1:] + moves[1])
     for t in range(longest - 2, -1, -1):
-        after = unary[:, t + 1] + backward[:, t + 1]
-        step = np.logaddexp(moves[None, :, 0] + after[:, :1], moves[None, :, 1] + after[:, 1:])
-        backward[:, t] = np.where(live[:, t + 1, None], step, 0)
-    total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-    marginal = np.exp(forward + backward - total[:, None, None])[:, :, 1] * live
-    gw = np.einsum("nt,ntf->f", y[:, None] * live - marginal, x) / n
-    gm = np.zeros((2, 2))
-    pairs = live[:, 1:]
-    for a in range(2):
-        for b in range(2):
-            expected = np.exp(forward[:, :-1, a] + moves[a, b] + unary[:, 1:, b] + backward[:, 1:, b] - total[:, None]) * pairs
-            observed = pairs * ((y == a) & (y == b))[:, None]
-            gm[a, b] = (observed - expected).sum() / n
-    return gw, gm
+        after = unary[: reach[t + 1], t + 1] + backward[: reach[t + 1], t + 1]
+        backward[: reach[t + 1], t] = np.logaddexp(moves[:, 0] + after[:, :1], moves[:, 1] + after[:, 1:])
+    chain, line = np.nonzero(live)
+    total = np.logaddexp(forward[:, 0, 0] + backward[:, 0, 0], forward[:, 0, 1] + backward[:, 0, 1])
+    content = np.zeros((n, longest))
+    content[chain, line] = np.exp(forward[chain, line, 1] + backward[chain, line, 1] - total[chain])
+    chain, line = chain[line > 0], line[line > 0]
+    ahead = unary[chain, line] + backward[chain, line] - total[chain, None]
+    joint = np.exp(forward[chain, line - 1][:, :, None] + moves + ahead[:, None, :])
+    return content, joint.sum(axis=0)
 
 
 def base_failed(s: S.Signals) -> np.ndarray:
@@ -125,7 +193,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = line_features(s)
         failed = base_failed(s)
         used = [not f and b - a <= SAMPLE_LINES for f, a, b in zip(failed, s.line_first, s.line_first[1:])]
-        flat = [values[a:b].ravel() if u else values[:0].ravel() for u, a, b in zip(used, s.line_first, s.line_first[1:])]
+        solid = s.line_kinds.sum(axis=1) > s.line_kinds[:, S.SPACE]
+        flat = [values[a:b][solid[a:b]].ravel() if u else values[:0].ravel() for u, a, b in zip(used, s.line_first, s.line_first[1:])]
         yield record({"label": rows.column("label"), "lines": pa.array(flat, pa.list_(pa.float64()))})
 
 
@@ -133,8 +202,15 @@ def train(docs: DataFrame, labels: DataFrame, *, limit: int = SAMPLE_DOCS) -> tu
     """The field's weights and transitions from about ``limit`` documents with a ``quality`` label."""
     sample = labelled_sample(docs, labels, "quality", limit)
     found = sorted((r["label"], r["lines"]) for r in sample.mapInArrow(_featured, "label int, lines array<double>").collect())
-    chains = [(np.array(v).reshape(-1, len(FEATURES)), int(y > 0)) for y, v in found if v]
-    return fit([c for c, _ in chains], [y for _, y in chains])
+    chains = [(np.array(v).reshape(-1, len(FEATURES)), y > 0) for y, v in found if v]
+    if len({good for _, good in chains}) < 2:
+        return DEFAULT_WEIGHTS, DEFAULT_MOVES
+    marked = [(x, weak_labels(x, good)) for x, good in chains]
+    junk = np.concatenate([x[z == 0] for (x, z), (_, good) in zip(marked, chains) if not good])
+    pools = [line_features(S.Signals(list(MENU_LINES)))] + ([junk] if len(junk) else [])
+    rng = np.random.default_rng(7)
+    used = [with_boilerplate(x, z, pools, rng) if good and i % 2 else (x, z) for i, ((x, z), (_, good)) in enumerate(zip(marked, chains))]
+    return fit([x for x, _ in used], [z for _, z in used])
 
 
 def _judge(model: tuple[np.ndarray, np.ndarray]):

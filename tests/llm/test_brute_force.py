@@ -585,3 +585,68 @@ def test_messages_give_exact_marginals():
         for i in range(n):
             weight[i] += p * z[i]
     assert all(abs(weight[i] / total - got[i]) < 1e-9 for i in range(n))
+
+
+def test_latent_labels_of_the_line_field():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(1, 5, 4)), np.array([[1, -1, 0, -1, 1]])
+    live = np.ones((1, 5), dtype=bool)
+
+    def likelihood(w, moves):
+        def value(z):
+            return sum(x[0, t] @ w for t in range(5) if z[t]) + sum(moves[a, b] for a, b in zip(z, z[1:]))
+
+        every = list(itertools.product((0, 1), repeat=5))
+        fitting = [z for z in every if all(k < 0 or k == v for k, v in zip(y[0], z))]
+        return np.log(sum(np.exp(value(z)) for z in fitting) / sum(np.exp(value(z)) for z in every))
+
+    w, moves = rng.normal(size=4), rng.normal(size=(2, 2))
+    gw, gm = line_crf._gradient(x, live, y, w, moves)
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-5
+        assert abs((likelihood(w + step, moves) - likelihood(w - step, moves)) / 2e-5 - gw[k]) < 1e-5
+    for a in range(2):
+        for b in range(2):
+            step = np.zeros((2, 2))
+            step[a, b] = 1e-5
+            assert abs((likelihood(w, moves + step) - likelihood(w, moves - step)) / 2e-5 - gm[a, b]) < 1e-5
+
+
+#: Menu and notice lines that are not among the lines that boilerplate for fitting is made from.
+UNSEEN_MENU = ["Privacy policy", "Accept all cookies", "News", "Latest headlines", "Download app", "Your basket", "Help centre", "Products"]
+
+
+@pytest.mark.parametrize("place", ["after", "before", "between", "symbols between"])
+def test_menu_lines_are_found_and_sentences_kept(docs, labels, texts, place):
+    weights, moves = line_crf.train(docs, labels)
+    rng = random.Random(3)
+    found = lost = unseen = sentences = 0
+    for r in labels.filter("quality = 1").orderBy("doc_id").collect():
+        lines = [x for x in texts.get(r["doc_id"], "").split("\n") if len(x.split()) >= 5 and x.rstrip().endswith(".")]
+        lines = list(dict.fromkeys(lines))
+        menu = rng.sample(UNSEEN_MENU, 6)
+        if place == "after":
+            rows = [(x, True) for x in lines] + [(x, False) for x in menu]
+        elif place == "before":
+            rows = [(x, False) for x in menu] + [(x, True) for x in lines]
+        else:
+            other = [f"thoner$$$ to%%% ththwh$$$ oue### {i}" for i in range(6)] if "symbols" in place else menu
+            rows = [row for x in lines for row in ((x, True), (rng.choice(other) + (f" {len(x)}" if "symbols" in place else ""), False))]
+        scores = line_crf.line_features(signals.Signals(["\n".join(x for x, _ in rows)])) @ weights
+        copies = {x for i, (x, _) in enumerate(rows) if x in {z for z, _ in rows[:i]}}
+        for (x, content), label in zip(rows, line_crf.decode(scores, moves)):
+            if content:
+                sentences, lost = sentences + 1, lost + (not label)
+            elif x not in copies:
+                unseen, found = unseen + 1, found + (not label)
+    assert sentences > 100 and unseen > 20
+    assert found >= 0.95 * unseen and lost <= 0.05 * sentences
+
+
+def test_open_lines():
+    s = signals.Signals(["Home\nA sentence.\n\nSaid “so.”\nweiß\n这是。\n 12 \t\n***", None, "x"])
+    assert line_crf.open_ended(s).tolist() == [True, False, False, False, True, False, True, False, False, True]
