@@ -58,6 +58,26 @@ def test_one_hot_source_is_split_evenly(spark):
     assert max(abs(v - mean) for v in total.values()) < 0.02 * mean
 
 
+def test_equal_texts_share_a_shard_unless_they_outweigh_one(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(prose(rng, 30)), "en", f"s{i % 5}") for i in range(1500)]
+    copied = [(" ".join(prose(rng, 30)), rng.choice([2, 3, 9, 40])) for _ in range(60)] + [(" ".join(prose(rng, 30)), 1200)]
+    rows += [(2000 + i, text, "en", f"s{i % 5}") for i, text in enumerate(t for t, n in copied for _ in range(n))]
+    rows += [(9000 + i, text, None, None) for i, text in enumerate([None, "", None])]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), 8).collect()
+    assert len(found) == len(rows)
+    total, text_of, places = Counter(), {r[0]: r[1] or "" for r in rows}, defaultdict(set)
+    weight = Counter()
+    for r in found:
+        total[r["shard"]] += r["size"]
+        places[text_of[r["doc_id"]]].add(r["shard"])
+        weight[text_of[r["doc_id"]]] += r["size"]
+    mean = sum(total.values()) / 8
+    assert all(len(at) == 1 for text, at in places.items() if weight[text] <= mean)
+    assert any(len(at) > 1 for at in places.values())
+    assert max(abs(v - mean) for v in total.values()) < 0.03 * mean
+
+
 def test_tree_cuts_the_widest_dimension(spark):
     rows = [(i, "x" * (2 ** (i % 12)), "en", "one") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
