@@ -219,7 +219,7 @@ def formula_sections(formulas: DataFrame, sections: DataFrame) -> DataFrame:
 
     The first two rules and the last are equi-joins against one row per key, so a document with
     very many sections does not multiply its formulas; formulas that both rules miss meet the
-    sections of their document by the first characters of their text.
+    sections of their document by the first characters of their text, all of them where it is short.
     """
     spot = F.min(F.struct("section_idx", "section_id"))
     by_article = sections.filter(F.col("article_no") != "").groupBy("doc_id", "article_no").agg(spot.alias("a"))
@@ -246,25 +246,25 @@ def formula_sections(formulas: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
-#: Beginnings of formulas of this many characters meet sections by equality; shorter ones are compared directly.
+#: Formulas and sections meet on the first characters of the formula, up to this many.
 HEAD_GRAM = 12
 
 
 def _sections_with_head(missed: DataFrame, sections: DataFrame) -> DataFrame:
     """Rows of ``missed(formula_id, doc_id, head)`` with the sections of their document that contain the head.
 
-    A section's text is normalised once and gives its distinct runs of twelve characters; a head meets only the
-    sections that have its first run, and containment is checked after.
+    The length of the shared run follows the head: a head of fewer than twelve characters is its own run, a longer one
+    gives its first twelve.  A section gives its distinct runs of those lengths only that heads of its document have,
+    and meets the heads that it shares one with; containment is checked after.
     """
-    wanted = sections.join(missed.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = wanted.select("doc_id", "section_idx", "section_id", T.norm_text("text").alias("norm"))
-    last = F.length("norm") - HEAD_GRAM + 1
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col("norm"), i, F.lit(HEAD_GRAM)))
-    keyed = texts.filter(last >= 1).withColumn("run", F.explode(F.array_distinct(runs)))
-    long = missed.filter(F.length("head") >= HEAD_GRAM).withColumn("run", F.left("head", F.lit(HEAD_GRAM)))
-    short = missed.filter(F.length("head") < HEAD_GRAM).join(texts, "doc_id")
-    met = long.join(keyed, ["doc_id", "run"]).select(short.columns).unionByName(short)
-    return met.filter(F.contains("norm", "head"))
+    heads = missed.withColumn("size", F.least(F.length("head"), F.lit(HEAD_GRAM))).withColumn("run", F.left("head", "size"))
+    sizes = heads.groupBy("doc_id").agg(F.collect_set("size").alias("sizes"))
+    texts = sections.join(sizes, "doc_id").withColumn("norm", T.norm_text("text")).withColumn("size", F.explode("sizes"))
+    last = F.length("norm") - F.col("size") + 1
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col("norm"), i, F.col("size")))
+    keyed = texts.filter(last >= 1).select("doc_id", "size", "section_idx", "section_id", "norm", F.explode(F.array_distinct(runs)).alias("run"))
+    met = heads.join(keyed, ["doc_id", "size", "run"])
+    return met.filter(F.contains("norm", "head")).select(*missed.columns, "section_idx", "section_id", "norm")
 
 
 def explain_formulas(formulas: DataFrame, sections: DataFrame, *, lines_per_variable: int = 2) -> DataFrame:

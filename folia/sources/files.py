@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
 from folia.functions.text import col, path_stem, strip
 
@@ -98,17 +99,33 @@ def scan_html(spark: SparkSession, root: str) -> DataFrame:
     return scan_binary(spark, root, "*.html").select("path", decode_html("content").alias("html"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line_no, value)`` of every line; numbers count from 1 in each file.
+
+    A file may be read in many splits.  Row numbers ascend within a split, so a count and the least number per split
+    place each line; only one row per split is sorted.
+    """
+    rows = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return rows.join(placed, ["file", "block"]).select("file", (F.col("row") + F.col("shift")).alias("line_no"), "value")
+
+
 def scan_json_lines(spark: SparkSession, path: str, schema: str, *, strict: bool = True) -> DataFrame:
     """JSON objects, one per line; blank lines and non-objects are skipped.
 
-    Invalid JSON raises with the file and the line when ``strict``; otherwise the bad lines
+    Invalid JSON raises with ``file:line`` and the text when ``strict``; otherwise the bad lines
     come back with a filled ``_bad_line`` column.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    raw = numbered_lines(spark, path) if strict else spark.read.text(path)
     filled = raw.filter(strip("value") != "")
     invalid = F.try_parse_json(F.col("value")).isNull()
     if strict:
-        message = F.concat(F.lit("Invalid JSON line in "), F.col("file"), F.lit(": "), F.col("value"))
+        message = F.concat(F.lit("Invalid JSON line in "), F.concat_ws(":", "file", "line_no"), F.lit(": "), F.col("value"))
         checked = F.when(invalid, F.raise_error(message).cast("string")).otherwise(F.col("value"))
         bad = []
     else:

@@ -170,3 +170,40 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_folder(Session())
+
+
+def test_json_errors_name_file_and_line_across_splits(spark, tmp_path):
+    lines = [json.dumps({"a": i, "pad": "x" * (i % 90)}) if i % 7 else "" for i in range(3000)]
+    (tmp_path / "good.jsonl").write_text("\n".join(lines))
+    lines[2221] = '{"a": 1,'
+    (tmp_path / "bad.jsonl").write_text("\n".join(lines) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = files.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        for r in rows.collect():
+            i = r["line_no"] - 1
+            assert r["value"] == (lines[i] if "bad" in r["file"] or i != 2221 else json.dumps({"a": i, "pad": "x" * (i % 90)}))
+        assert files.scan_json_lines(spark, str(tmp_path / "good.jsonl"), "a int").count() == sum(1 for i in range(3000) if i % 7)
+        with pytest.raises(Exception, match=r"bad\.jsonl:2222"):
+            files.scan_json_lines(spark, str(tmp_path / "bad.jsonl"), "a int").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_short_formulas_meet_the_sections_that_hold_them(spark):
+    texts = ["nothing here", "where R = a + b holds", "x=1", "", "a long formula alpha + beta * gamma / delta stands here"]
+    sections = spark.createDataFrame(
+        [(f"d#{i}", "d", i, "", f"h{i}", False, t) for i, t in enumerate(texts)],
+        "section_id string, doc_id string, section_idx int, article_no string, section_heading string, has_formula boolean, text string",
+    )
+    asked = {"f1": "x=1", "f2": "R = a", "f3": "alpha + beta * gamma / delta", "f4": "q", "f5": ""}
+    formulas = spark.createDataFrame(
+        [(k, "d", "", "", v) for k, v in asked.items()],
+        "formula_id string, doc_id string, article_no string, section_heading string, formula_text string",
+    )
+    found = {r["formula_id"]: r["section_id"] for r in graph.formula_sections(formulas, sections).collect()}
+    assert found == {"f1": "d#2", "f2": "d#1", "f3": "d#4", "f4": "d#0", "f5": "d#0"}
