@@ -317,3 +317,40 @@ def test_retrieve_by_strategy(spark):
     assert sum(counts[3]) == 8 and counts[3][0] <= 3 and counts[3][1] <= 6
     none = retrieve(asked, documents, sections.limit(0)).groupBy("query_id").count()
     assert {r["query_id"]: r["count"] for r in none.collect()} == {1: 4, 2: 2, 3: 4}
+
+
+def test_blocks_keep_ties_and_batches(spark, monkeypatch):
+    """Many blocks, several batches of questions, equal texts and repeated questions give the ranking of one block."""
+    import numpy as np
+
+    from folia.operators import blocks
+
+    texts = [(i, "abcd efgh"[: 3 + i % 7], ["gh"] * (i % 3)) for i in range(120)]
+    corpus = spark.createDataFrame(texts, "doc_id int, haystack string, keywords array<string>")
+    asked = spark.createDataFrame([(i, ("abcdefgh", "efg", "h", "")[i % 4]) for i in range(40)], "query_id int, question string")
+    spec = SearchSpec(ties=(("doc_id", False),), exact_boost=90.0)
+    want = {}
+    for q in asked.collect():
+        scored = sorted((-round(brute_score(q["question"], h, k, 90.0), 4), -d) for d, h, k in texts)
+        want[q["query_id"]] = [(-d, -s) for s, d in scored if s][:5]
+    for size in (16_384, 7):
+        monkeypatch.setattr(blocks, "BLOCK_TEXTS", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if size > 7 else 3)
+        try:
+            got = {}
+            for r in search(asked, corpus, spec, 5).orderBy("query_id", "rank").collect():
+                got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {k: v for k, v in want.items() if v}
+    assert blocks.rounded(np.array([0.00625, 1.5, 0.46875])).tolist() == [0.0062, 1.5, 0.4688]
+
+
+def test_pairs_of_a_search_are_not_rows(spark):
+    """No join on tokens: the rows that a search shuffles grow with questions and blocks, not with the pairs that share a token."""
+    corpus = spark.range(400).selectExpr("id AS doc_id", "'the same words' AS haystack", "array('same') AS keywords")
+    asked = spark.range(300).selectExpr("id AS query_id", "concat('the same words ', id) AS question")
+    found = search(asked, corpus, SearchSpec(ties=(("doc_id", True),), exact_boost=90.0), 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate explode(tokens" not in plan
+    assert found.count() == 600
