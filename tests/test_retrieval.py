@@ -354,3 +354,24 @@ def test_pairs_of_a_search_are_not_rows(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Generate explode(tokens" not in plan
     assert found.count() == 600
+
+
+def test_title_ladder_with_repeated_titles_and_questions(spark, monkeypatch):
+    """Many equal titles and questions: the first entries by title and id, rungs before shared keywords, whatever the blocks."""
+    from folia.operators import blocks
+
+    rows = [(f"d{i:03d}", "alpha：beta words" if i % 2 else "gamma words", ["alpha：beta words"] if i % 4 == 1 else [], ["words", "words2"][: 1 + i % 2]) for i in range(60)]
+    entries = spark.createDataFrame([(d, t, "c", a, k) for d, t, a, k in rows], "doc_id string, title string, category string, aliases array<string>, keywords array<string>")
+    entries = entries.withColumns({"path": F.col("doc_id"), "summary_short": F.lit("s")})
+    asked = questions(spark, *["words words2", "alpha：beta words", "gamma words", "beta", "？", "nothing"] * 5)
+    for size in (16_384, 5):
+        monkeypatch.setattr(blocks, "BLOCK_TEXTS", size)
+        got = {}
+        for r in search_titles(asked, entries, limit=2).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+        want = [
+            [("d001", 20.0), ("d003", 20.0)], [("d001", 200.0), ("d003", 200.0)], [("d000", 200.0), ("d002", 200.0)],
+            [("d001", 150.0), ("d003", 150.0)], None, None,
+        ]
+        assert got == {i + 1: w for i in range(30) if (w := want[i % 6])}
+    assert "MapInArrow" in search_titles(asked, entries)._jdf.queryExecution().optimizedPlan().toString()
