@@ -25,14 +25,14 @@ SLACK = 10.0**-SCORE_DIGITS * 2
 ROW = ("block", "is_question", "id", "text", "words", "marks", "grams")
 
 
-def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """UTF-16 units of the texts, each closed by a zero, and the text that each unit is of."""
     units = np.frombuffer("\0".join([*texts, ""]).encode("utf-16-le", "surrogatepass"), np.uint16)
     ends = units == 0
     return units, np.cumsum(ends) - ends
 
 
-def _runs(codes: np.ndarray, rows: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def runs(codes: np.ndarray, rows: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``n`` known units as numbers, and their texts."""
     m = max(0, len(codes) - n + 1)
     value, whole = np.zeros(m, np.int64), np.ones(m, bool)
@@ -70,7 +70,7 @@ class Block:
 
     def index(self) -> None:
         self.rows_of = {w: np.array(rows) for w, rows in self.words.items()}
-        units, of = _units(self.texts)
+        units, of = units_of(self.texts)
         present = np.flatnonzero(np.bincount(units, minlength=1 << 16)[1:]) + 1
         self.code = np.zeros(1 << 16, np.int64)
         self.code[present] = np.arange(1, len(present) + 1)
@@ -78,7 +78,7 @@ class Block:
         codes, every, at = self.code[units], [], 0
         self.runs, self.starts = [], []
         for n in GRAM_SIZES:
-            value, row = _runs(codes, of, n, self.bits)
+            value, row = runs(codes, of, n, self.bits)
             names = None
             if n * self.bits + shift > 62:
                 names, value = np.unique(value, return_inverse=True)
@@ -93,14 +93,14 @@ class Block:
 
     def shared(self, questions: list[str]) -> Iterator[np.ndarray]:
         """Per question the texts that share runs with it, one entry for each different run that both have."""
-        units, of = _units(questions)
+        units, of = units_of(questions)
         codes, found = self.code[units], [(np.empty(0, np.int64),) * 3]
-        for n, runs, starts in zip(GRAM_SIZES, self.runs, self.starts):
-            value, row = _runs(codes, of, n, self.bits)
-            if len(runs) and len(value):
-                place = np.minimum(np.searchsorted(runs, value), len(runs) - 1)
-                known = runs[place] == value
-                row, place = np.divmod(_distinct(row[known] * len(runs) + place[known]), len(runs))
+        for n, known_runs, starts in zip(GRAM_SIZES, self.runs, self.starts):
+            value, row = runs(codes, of, n, self.bits)
+            if len(known_runs) and len(value):
+                place = np.minimum(np.searchsorted(known_runs, value), len(known_runs) - 1)
+                known = known_runs[place] == value
+                row, place = np.divmod(_distinct(row[known] * len(known_runs) + place[known]), len(known_runs))
                 found.append((row, starts[place], starts[place + 1]))
         row, start, end = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(row, kind="stable")

@@ -1,22 +1,27 @@
 """Direct hits: questions that name a file.
 
-Stems and questions meet on the four-character runs that they share; runs that continue each other lie on one
-diagonal, so the longest common run follows from the places of the shared ones.
+Stems and questions meet in blocks; the places of the four-character runs that they share, followed along the question,
+give the longest common run, so no pair that shares a run is a row of a join.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions import text as T
-from folia.operators.containment import contained_pairs, overlapping
+from folia.operators.blocks import Block, ranked, runs, units_of
+from folia.operators.containment import overlapping
+from folia.sources.shared import stored
 
 # --- Fixed values: weights of a file name match ------------------------------------------
 HINT_WEIGHT = 50.0
 MIN_COMMON_RUN = 4
 BASE_SCORE = 1.5
 SCORE_SCALE = 100.0
+#: The mark of a stem that has hints.
+HINTED = "1"
 
 
 def _longest_chain(places: Column) -> Column:
@@ -31,7 +36,10 @@ def _longest_chain(places: Column) -> Column:
 
 
 def common_runs(stems: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(path, query_id, length)``: the longest string that ``s_norm`` and ``q_norm`` share, where it has four characters."""
+    """``(path, query_id, length)``: the longest string that ``s_norm`` and ``q_norm`` share, where it has four characters.
+
+    It lists every such pair, by a join; ``filename_hits`` ranks without listing them.
+    """
     ours = stems.select("path", F.posexplode(overlapping(F.col("s_norm"), MIN_COMMON_RUN)).alias("i", "run"))
     theirs = asked.select("query_id", F.posexplode(overlapping(F.col("q_norm"), MIN_COMMON_RUN)).alias("j", "run"))
     seeds = ours.join(theirs, "run").select("path", "query_id", "i", (F.col("i") - F.col("j")).alias("diagonal"))
@@ -40,44 +48,77 @@ def common_runs(stems: DataFrame, asked: DataFrame) -> DataFrame:
     return longest.select("path", "query_id", (F.col("run") + MIN_COMMON_RUN - 1).alias("length"))
 
 
-def _short_runs(stems: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(path, query_id, length)`` where the stem or the question is shorter than a run and inside the other."""
-
-    def short(column: str) -> Column:
-        return F.char_length(column) < MIN_COMMON_RUN
-
-    in_question = contained_pairs(
-        stems.filter(short("s_norm")).select(F.col("s_norm").alias("needle")), asked.select(F.col("query_id").alias("key"), F.col("q_norm").alias("hay"))
-    ).select(F.col("needle").alias("s_norm"), F.col("key").alias("query_id"), F.char_length("needle").alias("length"))
-    in_stem = contained_pairs(
-        asked.filter(short("q_norm")).select(F.col("q_norm").alias("needle")), stems.select(F.col("path").alias("key"), F.col("s_norm").alias("hay"))
-    ).select(F.col("needle").alias("q_norm"), F.col("key").alias("path"), F.char_length("needle").alias("length"))
-    return in_question.join(stems.select("path", "s_norm"), "s_norm").select("path", "query_id", "length").unionByName(
-        in_stem.join(asked.select("query_id", "q_norm"), "q_norm").select("path", "query_id", "length")
+def _index_places(block: Block) -> None:
+    """Where each run of a block's stems stands, in the order of the runs."""
+    units, block.stem_of = units_of(block.texts)
+    value, places = runs(block.code[units], np.arange(len(units)), MIN_COMMON_RUN, block.bits)
+    order = np.argsort(value, kind="stable")
+    value, block.places = value[order], places[order]
+    first = np.flatnonzero(np.diff(value, prepend=-1))
+    block.place_runs, block.place_starts = value[first], np.append(first, len(value))
+    #: length of the common run that ends before a place
+    block.before = np.zeros(len(units) + 1, np.int32)
+    block.short = [(row, text) for row, text in enumerate(block.texts) if len(text) < MIN_COMMON_RUN]
+
+
+def _common_runs(block: Block, question: str) -> np.ndarray:
+    """Length of the longest string that each stem shares with the question, where it has four characters."""
+    best = np.zeros(len(block.ids), np.int32)
+    units, _ = units_of([question])
+    value, at = runs(block.code[units], np.arange(len(units)), MIN_COMMON_RUN, block.bits)
+    last, held = -2, block.places[:0]
+    if len(block.place_runs) and len(value):
+        found = np.minimum(np.searchsorted(block.place_runs, value), len(block.place_runs) - 1)
+        known = block.place_runs[found] == value
+        for j, run in zip(at[known].tolist(), found[known].tolist()):
+            places = block.places[block.place_starts[run] : block.place_starts[run + 1]]
+            lengths = block.before[places] + 1 if j == last + 1 else np.ones(len(places), np.int32)
+            block.before[held + 1] = 0
+            block.before[places + 1] = lengths
+            np.maximum.at(best, block.stem_of[places], lengths)
+            last, held = j, places
+        block.before[held + 1] = 0
+    return np.where(best > 0, best + MIN_COMMON_RUN - 1, 0)
+
+
+def _scores(block: Block, question: str, words: list[str], marks: list[str], grams: int, shared: np.ndarray) -> np.ndarray:
+    """Scores of a block's stems; ``words`` are the question's hints.  A question with hints takes no run from a stem that has other hints only."""
+    if not hasattr(block, "places"):
+        _index_places(block)
+    lengths = _common_runs(block, question)
+    for row, text in block.short:
+        if text in question:
+            lengths[row] = max(lengths[row], len(text))
+    if 0 < len(question) < MIN_COMMON_RUN:
+        for row, text in enumerate(block.texts):
+            if question in text:
+                lengths[row] = max(lengths[row], len(question))
+    hints = np.zeros(len(block.ids))
+    for hint in words:
+        for stem, rows in block.rows_of.items():
+            if hint in stem:
+                hints[rows] += 1
+    hinted = np.zeros(len(block.ids), bool)
+    hinted[block.marks.get((0, HINTED), [])] = True
+    return np.where(hinted & (hints == 0) & bool(words), 0.0, lengths) + HINT_WEIGHT * hints
+
+
+def _best_paths(paths: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``(query_id, path, score, path_rank)``; different questions meet the stems in blocks (see ``blocks``)."""
+    none = F.slice(F.array(F.lit("")), 1, 0)
+    classes = asked.groupBy("question").agg(F.first("q_norm").alias("text"), F.first("q_hints").alias("words"))
+    classes = classes.select("question", F.monotonically_increasing_id().alias("q"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("words", none).alias("words"))
+    classes = stored(classes.withColumn("marks", none).withColumn("grams", F.lit(0)), "classes")
+    hinted = F.when(F.size("stem_hints") > 0, HINTED)
+    stems = paths.select(
+        F.monotonically_increasing_id().alias("t"), "path", "first_seen", F.col("s_norm").alias("text"), F.array("stem").alias("words"), F.array(hinted).alias("marks")
     )
-
-
-def _hint_counts(stems: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(path, query_id, hints)``: how many of the question's hints the stem has."""
-    hints = asked.select("query_id", F.explode("q_hints").alias("hint"))
-    met = contained_pairs(hints.select(F.col("hint").alias("needle")), stems.select(F.col("path").alias("key"), F.col("stem").alias("hay")))
-    met = met.select(F.col("key").alias("path"), F.col("needle").alias("hint"))
-    return met.join(hints, "hint").groupBy("path", "query_id").agg(F.count("*").alias("hints"))
-
-
-def _scored(stems: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(path, query_id, score, first_seen)`` of every pair with a score.
-
-    A question with hints takes no run from a stem that has other hints only.
-    """
-    runs = common_runs(stems, asked).unionByName(_short_runs(stems, asked)).withColumn("hints", F.lit(0).cast("bigint"))
-    every = runs.unionByName(_hint_counts(stems, asked).withColumn("length", F.lit(0)))
-    pairs = every.groupBy("path", "query_id").agg(F.max("length").alias("length"), F.max("hints").alias("hints"))
-    about = stems.select("path", "first_seen", (F.size("stem_hints") > 0).alias("hinted"))
-    pairs = pairs.join(about, "path").join(asked.select("query_id", (F.size("q_hints") > 0).alias("asks")), "query_id")
-    foreign = F.col("asks") & (F.col("hints") == 0) & F.col("hinted")
-    score = F.when(foreign, 0.0).otherwise(F.col("length").cast("double")) + HINT_WEIGHT * F.col("hints")
-    return pairs.select("path", "query_id", score.alias("score"), "first_seen").filter("score <> 0")
+    stems = stored(stems, "stems")
+    found = ranked(stems, classes.drop("question"), [(F.col("first_seen"), True), (F.col("path"), True)], _scores, k)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first_seen", "path"))
+    best = found.join(stems.select("t", "path", "first_seen"), "t").withColumn("path_rank", rank).filter(F.col("path_rank") <= k)
+    members = asked.select("query_id", "question").join(classes.select("question", "q"), "question")
+    return best.join(members, "q").select("query_id", "path", "score", "path_rank")
 
 
 def filename_hits(
@@ -93,9 +134,7 @@ def filename_hits(
     paths = documents.groupBy("path").agg(F.min(order).alias("first_seen")).select(
         "first_seen", "path", stem.alias("stem"), T.norm_text(stem).alias("s_norm"), T.filename_hints(stem).alias("stem_hints")
     )
-    best = _scored(paths.filter("s_norm <> ''"), asked)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first_seen", "path"))
-    chosen = best.withColumn("path_rank", rank).filter(F.col("path_rank") <= max_paths).drop("first_seen")
+    chosen = _best_paths(paths.filter("s_norm <> ''"), asked, max_paths)
     # The first chunks of a path are the same for every question; only chosen paths are numbered.
     chunk = F.row_number().over(Window.partitionBy("path").orderBy(order))
     opening = documents.join(chosen.select("path").distinct(), "path", "left_semi").withColumn("chunk_rank", chunk).filter(F.col("chunk_rank") <= chunks_per_path)

@@ -375,3 +375,32 @@ def test_title_ladder_with_repeated_titles_and_questions(spark, monkeypatch):
         ]
         assert got == {i + 1: w for i in range(30) if (w := want[i % 6])}
     assert "MapInArrow" in search_titles(asked, entries)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filename_hits_match_brute_force(spark, monkeypatch):
+    """Repeated questions and stems in several blocks; short stems and questions, and common runs that repeat in a stem."""
+    import random
+
+    from folia.operators import blocks
+
+    rng = random.Random(5)
+    stems = sorted({"".join(rng.choices("ab", k=rng.randint(1, 14))) for _ in range(60)})
+    texts = ["".join(rng.choices("abc", k=rng.randint(0, 12))) for _ in range(20)] * 2
+    docs = spark.createDataFrame([(i, f"x/{s}.md") for i, s in enumerate(stems)], "row_id int, path string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id int, question string")
+
+    def length(s, q):
+        runs = [n for n in range(1, len(s) + 1) for i in range(len(s) - n + 1) if s[i : i + n] in q]
+        longest = max(runs, default=0)
+        return longest if longest >= 4 or longest and longest in (len(s), len(q)) else 0
+
+    monkeypatch.setattr(blocks, "BLOCK_TEXTS", 9)
+    got = {}
+    for r in filename_hits(asked, docs, order="row_id").orderBy("query_id", "path_rank").collect():
+        got.setdefault(r["query_id"], []).append((r["row_id"], r["retrieval_score"]))
+    want = {}
+    for q, text in enumerate(texts):
+        scored = sorted((-length(s, text), i) for i, s in enumerate(stems))[:3]
+        if found := [(i, 1.5 - n / 100.0) for n, i in scored if n]:
+            want[q] = found
+    assert got == {q: [(i, pytest.approx(s)) for i, s in v] for q, v in want.items()}
