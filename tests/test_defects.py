@@ -125,6 +125,24 @@ def test_cells_rule_out_vectors_and_lose_none(spark, monkeypatch, block_rows):
     assert report["all_pairs"] == len(points) ** 2 + 4 and report["compared"] < 0.6 * report["all_pairs"]
 
 
+def test_queries_travel_once_to_a_region_and_copies_go_by_key(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    points = np.round(np.vstack([rng.normal(size=(400, 16)), np.tile(rng.normal(size=16), (60, 1))]), 6)
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id int, embedding array<double>")
+    best, visits, _ = vectors._search(table.withColumnRenamed("vec_id", "query_id"), table, "vec_id", 3, None, "embedding")
+    # once to the nearest cells and once to the others, however many cells there are
+    assert visits.count() <= 2 * len(points)
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    cosine, found = np.round(unit @ unit.T, 12), {}
+    for r in best.collect():
+        found.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    for q in range(len(points)):
+        order = np.lexsort((np.arange(len(points)), -cosine[q]))[:3]
+        assert [v for _, v in sorted(found[q])[:3]] == order.tolist()
+
+
 def test_caps_are_gone(spark):
     title = "t：" + "：".join(f"part{i}" for i in range(30))
     many = "\n".join(f"# h{i}" for i in range(1500))
