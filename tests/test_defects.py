@@ -143,6 +143,17 @@ def test_queries_travel_once_to_a_region_and_copies_go_by_key(spark):
         assert [v for _, v in sorted(found[q])[:3]] == order.tolist()
 
 
+def test_aliases_are_derived_once(spark):
+    from folia import profiles as P
+    from folia.operators import catalog as C
+
+    docs = spark.createDataFrame([("en/a.md", "---\ntitle: One\n---\n\n# One\n"), ("en/--.md", "plain")], "path string, text string")
+    found = C.alias_table(C.build_documents(docs, P.WEB))
+    assert sorted((r["doc_id"], r["alias"]) for r in found.collect()) == [("en/a.md", "One"), ("en/a.md", "a")]
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]
+    assert "Filter" not in below
+
+
 def test_caps_are_gone(spark):
     title = "t：" + "：".join(f"part{i}" for i in range(30))
     many = "\n".join(f"# h{i}" for i in range(1500))
