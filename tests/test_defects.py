@@ -154,6 +154,13 @@ def test_aliases_are_derived_once(spark):
     assert "Filter" not in below
 
 
+def test_formula_queries_derive_no_summaries(spark):
+    from folia.workload import queries
+
+    cut = queries._sectioned(spark, "/root/testdata/sf0.001")
+    assert not {"body", "keywords", "summary_short", "summary_structured", "focus_points"} & set(cut.columns)
+
+
 def test_caps_are_gone(spark):
     title = "t：" + "：".join(f"part{i}" for i in range(30))
     many = "\n".join(f"# h{i}" for i in range(1500))
