@@ -154,6 +154,17 @@ def test_aliases_are_derived_once(spark):
     assert "Filter" not in below
 
 
+def test_sections_are_cut_in_slices(spark, monkeypatch):
+    from folia.operators import sections
+
+    monkeypatch.setattr(sections, "SLICE_DOCUMENTS", 2)
+    texts = ["# A\n\nfirst body text\n\n# B\n\nsecond body text", None, "", "plain body text", "# C\n\nthird body text"]
+    docs = spark.createDataFrame([(i, f"t{i}", t) for i, t in enumerate(texts)], "doc_id int, title string, body string").coalesce(1)
+    got = {r["doc_id"]: [(list(s["heading_path"]), s["body"]) for s in r["sections"]] for r in sections.with_sections(docs, 100).collect()}
+    assert got == {i: [(list(h), b) for h, b in sections.document_sections(f"t{i}", t or "", 100)] for i, t in enumerate(texts)}
+    assert [len(got[i]) for i in range(5)] == [2, 0, 0, 1, 1]
+
+
 def test_formula_queries_derive_no_summaries(spark):
     from folia.workload import queries
 
