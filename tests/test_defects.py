@@ -172,6 +172,20 @@ def test_formula_queries_derive_no_summaries(spark):
     assert not {"body", "keywords", "summary_short", "summary_structured", "focus_points"} & set(cut.columns)
 
 
+def test_scoped_questions_leave_the_corpus_alone(spark, monkeypatch):
+    from folia.operators import lexical as L
+
+    def refuse(*_):
+        raise AssertionError("the corpus is ranked for no question")
+
+    monkeypatch.setattr(L, "ranked", refuse)
+    spec = L.SearchSpec(ties=(("doc_id", True),), exact_boost=90.0, scope_boost=35.0)
+    asked = spark.createDataFrame([(1, "blue whale")], "query_id bigint, question string")
+    corpus = spark.createDataFrame([(7, "a blue whale", []), (8, "other", [])], "doc_id bigint, haystack string, keywords array<string>")
+    scope = spark.createDataFrame([(1, 7)], "query_id bigint, doc_id bigint")
+    assert [(r["query_id"], r["doc_id"], r["score"]) for r in L.search_in_scope(asked, corpus, scope, spec, 5, ["doc_id"]).collect()] == [(1, 7, 185.0)]
+
+
 def test_caps_are_gone(spark):
     title = "t：" + "：".join(f"part{i}" for i in range(30))
     many = "\n".join(f"# h{i}" for i in range(1500))
