@@ -188,6 +188,52 @@ def test_resolution(spark):
     }
 
 
+def test_resolution_meets_equal_texts_and_questions_once(spark, monkeypatch):
+    """Copies of entries and of questions are searched once and still all stand in the result, the first ids first."""
+    from folia.operators import lexical
+
+    names = ["supplier 17", "supplier 18", "customer 17", "peru"]
+    entries = spark.createDataFrame(
+        [(f"{n}/{i:02d}", n, [n], "places") for n in names for i in range(12)], "doc_id string, title string, aliases array<string>, summary_short string"
+    )
+    asked = [(i, ("about supplier 17", "About  Supplier 17!", "peru", "er 17")[i % 4]) for i in range(40)]
+    met, ranked = [], lexical.ranked
+
+    def counted(texts, asked, *rest):
+        met.append((texts.count(), asked.count()))
+        return ranked(texts, asked, *rest)
+
+    monkeypatch.setattr(lexical, "ranked", counted)
+    got = resolve_documents(spark.createDataFrame(asked, "query_id int, question string"), entries, limit=5).collect()
+    assert met == [(4, 3)]
+    found = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    assert sorted(found) == list(range(40))
+    first = {0: ("supplier 17", 120.0), 1: ("supplier 17", 120.0), 2: ("peru", 200.0)}
+    for i in range(40):
+        if i % 4 in first:
+            name, score = first[i % 4]
+            assert found[i] == [(f"{name}/{j:02d}", score) for j in range(5)]
+        else:
+            # inside two names: equal scores go by id over both
+            assert found[i] == [(f"customer 17/{j:02d}", 140.0) for j in range(5)]
+
+
+def test_names_inside_match_brute_force(spark):
+    import random
+
+    from folia.operators.containment import names_inside
+
+    rng = random.Random(11)
+    names = ["".join(rng.choices("ab规😀", k=rng.randint(0, 7))) for _ in range(60)]
+    hays = ["".join(rng.choices("ab规😀", k=rng.randint(0, 25))) for _ in range(40)]
+    hays = list(enumerate(hays)) + [(40, None)]
+    got = names_inside(spark.createDataFrame([(n,) for n in names], "needle string"), spark.createDataFrame(hays, "key int, hay string")).collect()
+    wanted = {(n, k) for n in names if n for k, hay in hays if hay and n in hay}
+    assert sorted((r["needle"], r["key"]) for r in got) == sorted(wanted)
+
+
 # --- vectors and file names --------------------------------------------------------------
 def test_vector_top_k(spark):
     table = spark.createDataFrame(
