@@ -14,6 +14,7 @@ from folia.operators.filenames import filename_hits
 from folia.operators.fusion import answer_hits, first_seen_hits, merge_hits, rerank, retrieval_history, synthesis_width
 from folia.operators.routing import retrieval_strategy
 from folia.operators.vectors import search_width, vector_top_k
+from folia.sources.shared import stored
 
 HIT_COLUMNS = ("path", "title", "text", "token_count", "source_kind", "section_heading")
 
@@ -37,7 +38,9 @@ def _search_index(
         F.lit(max_width) + F.row_number().over(Window.partitionBy("query_id").orderBy("path_rank", "row_id")),
         "retrieval_score",
     ).toDF("query_id", "row_id", "ord", "retrieval_score")
-    hits = by_vector.unionByName(named).join(index.select("row_id", *HIT_COLUMNS), "row_id").drop("row_id")
+    # Stored, since Spark 4.1 takes a union of two tables dealt by question as dealt so itself, also where an adaptive read
+    # of one side moves its rows; a window or a group over the union then sees a question in two pieces.
+    hits = stored(by_vector.unionByName(named), "candidates").join(index.select("row_id", *HIT_COLUMNS), "row_id").drop("row_id")
     ranked = rerank(merge_hits(hits), questions)
     limits = questions.select("query_id", keep.alias("keep"))
     return ranked.join(limits, "query_id").filter(F.col("rank") <= F.col("keep")).drop("keep", "ord")
@@ -78,12 +81,8 @@ def retrieve(
     mixed_secs = secs.join(strategy, "query_id").filter(is_section | (F.col("rank") <= 6))
     side = Window.partitionBy("query_id").orderBy("side", "rank")
     plain = ("query_id", "rank", "retrieval_score", *HIT_COLUMNS)
-    combined = (
-        mixed_docs.select(*plain, F.lit(0).alias("side"))
-        .unionByName(mixed_secs.select(*plain, F.lit(1).alias("side")))
-        .withColumn("ord", F.row_number().over(side))
-        .drop("side", "rank")
-    )
+    sides = mixed_docs.select(*plain, F.lit(0).alias("side")).unionByName(mixed_secs.select(*plain, F.lit(1).alias("side")))
+    combined = stored(sides, "sides").withColumn("ord", F.row_number().over(side)).drop("side", "rank")
     merged = rerank(merge_hits(combined), questions)
     top = F.when(is_section, section_k).otherwise(max(8, 2 * k))
     both = merged.join(strategy, "query_id").filter(F.col("rank") <= top).drop("strategy", "ord")

@@ -365,6 +365,36 @@ def test_retrieve_by_strategy(spark):
     assert {r["query_id"]: r["count"] for r in none.collect()} == {1: 4, 2: 2, 3: 4}
 
 
+def test_retrieval_groups_no_union(spark, monkeypatch):
+    """No window or group over a union relies on how its two sides are dealt, which adaptive reads change one by one."""
+    from folia.plans import retrieval
+
+    rows = [(i, [1.0, i / 50], f"a/{i}.md", "T", f"text {i}", 5, "document", "h") for i in range(20)]
+    index = spark.createDataFrame(
+        rows, "row_id int, embedding array<double>, path string, title string, text string, token_count int, source_kind string, section_heading string"
+    )
+    asked = spark.createDataFrame([(1, "取值多少", [1.0, 0.2]), (2, "两者的关系", [1.0, 0.2])], "query_id int, question string, embedding array<double>")
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in held}
+    met, merge = [], retrieval.merge_hits
+
+    def watched(hits):
+        met.append(hits._jdf.queryExecution().executedPlan().toString())
+        return merge(hits)
+
+    monkeypatch.setattr(retrieval, "merge_hits", watched)
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        retrieve(asked, index, index)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(met) == 3
+    for plan in met:
+        assert "Union" not in plan
+
+
 def test_blocks_keep_ties_and_batches(spark, monkeypatch):
     """Many blocks, several batches of questions, equal texts and repeated questions give the ranking of one block."""
     import numpy as np
