@@ -63,15 +63,16 @@ def retrieve(
     asked = questions.withColumn("strategy", retrieval_strategy("question"))
     is_section = F.col("strategy") == "section"
     doc_k, section_k = max(4, k), max(6, 2 * k)
-    docs = _search_index(
+    # Both are read several times below.
+    docs = stored(_search_index(
         asked, documents,
         F.when(is_section, search_width(2)).otherwise(search_width(doc_k)), search_width(doc_k),
         F.when(is_section, 2).otherwise(doc_k), threshold,
-    )
+    ), "document_hits")
     with_sections = asked.filter(F.col("strategy") != "document")
-    secs = _search_index(
+    secs = stored(_search_index(
         with_sections, sections, F.lit(search_width(section_k)), search_width(section_k), F.lit(section_k), threshold
-    )
+    ), "section_hits")
     strategy = asked.select("query_id", "strategy")
     found = secs.select("query_id").distinct().withColumn("has_sections", F.lit(True))
     sided = docs.join(strategy, "query_id").join(found, "query_id", "left")
