@@ -480,3 +480,40 @@ def test_filename_hits_match_brute_force(spark, monkeypatch):
         if found := [(i, 1.5 - n / 100.0) for n, i in scored if n]:
             want[q] = found
     assert got == {q: [(i, pytest.approx(s)) for i, s in v] for q, v in want.items()}
+
+
+def below_broadcasts(df):
+    """The plan's nodes whose rows would go through the driver."""
+    found, limit = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if limit is not None and depth > limit:
+            found.append(line)
+        else:
+            limit = depth if "BroadcastExchange" in line else None
+    return "\n".join(found)
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    from folia.operators.containment import names_inside, with_anchor
+    from folia.sources.shared import stored
+
+    text = F.concat(F.lit("alpha beta "), F.col("id").cast("string"))
+    hays = stored(spark.range(50).select(F.col("id").alias("key"), text.alias("hay")), "hays")
+    needles = stored(hays.select(F.col("hay").alias("needle")), "needles")
+    for plan in (with_anchor(needles), contained_pairs(needles, hays), names_inside(needles, hays)):
+        assert "Generate" not in below_broadcasts(plan)
+
+
+def test_hits_of_blocks_are_not_broadcast(spark):
+    from folia.sources.shared import stored
+
+    text = F.concat(F.lit("alpha beta "), F.col("id").cast("string"))
+    asked = spark.range(20).select(F.col("id").alias("query_id"), text.alias("question"))
+    corpus = spark.range(50).select(F.col("id").alias("doc_id"), text.alias("haystack"), F.array(F.lit("alpha")).alias("keywords"))
+    assert "MapInArrow" not in below_broadcasts(search(asked, stored(corpus, "corpus"), SearchSpec(ties=(("doc_id", True),), exact_boost=90.0), 5))
+    entries = corpus.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("haystack").alias("path"), F.col("haystack").alias("title"), F.lit("a").alias("category"),
+        F.lit("s").alias("summary_short"), F.array("haystack").alias("aliases"), "keywords",
+    )
+    assert "MapInArrow" not in below_broadcasts(search_titles(asked, stored(entries, "entries")))
