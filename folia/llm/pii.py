@@ -26,10 +26,11 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = "iban"
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
-CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
+# A pattern that opens with a class of characters is searched faster than one that opens with a look back, so that comes second.
+IP = re.compile(r"[0-9](?<![0-9]{2})[0-9]*+(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?<![0-9]{2})(?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?: ?[A-Z0-9]){11,30}")
 SHORTEST_IBAN, LONGEST_IBAN = 15, 34
 #: Length of an account number by country; other countries may have any length.
 LENGTHS = {
@@ -41,7 +42,9 @@ LENGTHS = {
     }.items()
     for country in countries.split()
 }
-LOCAL_PHONE = re.compile(r"(?<![0-9+)(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+LOCAL_PHONE = re.compile(r"[(0-9](?<![0-9+)(.-][(0-9])(?:(?<=\()[0-9]{3}|(?<!\()[0-9]{2})\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+#: Every kind has a digit or an at sign.
+SOME = "[0-9@]"
 #: Words that make a doubtful number likely, by kind; fixed values.
 CONTEXT = {
     "card": frozenset("card cards visa mastercard amex credit debit cvv payment carte karte tarjeta".split()),
@@ -157,7 +160,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: counts of the base kinds, their digest, and all spans.  No shuffle."""
+    """Per row of ``docs(doc_id, text)``: counts of the base kinds, their digest, and all spans.  No shuffle.
+
+    A text with neither a digit nor an at sign has no spans; Spark tells so, and such a text does not travel to Python.
+    """
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, {counts}, base_sha256 string, spans string"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan, schema)
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.when(text.rlike(SOME), text).alias("text")).mapInArrow(_scan, schema)

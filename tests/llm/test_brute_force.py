@@ -115,6 +115,31 @@ def test_base_spans_of_random_strings():
         assert pii.base_spans(text) == plain_base(text), text
 
 
+def test_patterns_find_what_their_plain_forms_find():
+    plain = {
+        "IP": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
+        "CARD": r"(?<![0-9])[0-9](?:[ -]?[0-9])++",
+        "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+        "LOCAL_PHONE": r"(?<![0-9+)(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    }
+    rng = random.Random(2)
+    pieces = ["417", "555", "3020", "(417)", "(", ")", " ", "-", ".", "+", "1.2.3", "GB82", "WEST12345698765432", "A", "z", "7", "é", "٣", "\n"]
+    for _ in range(20000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        for name, pattern in plain.items():
+            assert [m.span() for m in getattr(pii, name).finditer(text)] == [m.span() for m in re.finditer(pattern, text)], (name, text)
+
+
+def test_only_texts_that_can_hold_personal_data_reach_python(spark):
+    rows = [(1, "no such thing ٣ ５"), (2, None), (3, ""), (4, "a@b.co"), (5, "at 1.2.3.4"), (6, "line\nx@y.zz\n")]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id int, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" in plan[plan.index("MapInArrow") :]
+    got = {r["doc_id"]: (r["spans"], r["base_sha256"]) for r in found.collect()}
+    want = {1: "", 2: "", 3: "", 4: "email:0:6", 5: "ip:3:10", 6: "email:5:11"}
+    assert got == {k: (v, hashlib.sha256(v.encode()).hexdigest()) for k, v in want.items()}
+
+
 def test_personal_data_of_documents(docs, texts):
     for r in pii.find_personal_data(docs).collect():
         base = plain_base(texts[r["doc_id"]])
