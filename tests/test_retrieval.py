@@ -494,15 +494,19 @@ def below_broadcasts(df):
     return "\n".join(found)
 
 
-def test_exploded_rows_are_not_broadcast(spark):
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch, sent):
+    from folia.operators import containment
     from folia.operators.containment import names_inside, with_anchor
     from folia.sources.shared import stored
 
+    monkeypatch.setattr(containment, "SENT_ROWS", sent)
     text = F.concat(F.lit("alpha beta "), F.col("id").cast("string"))
     hays = stored(spark.range(50).select(F.col("id").alias("key"), text.alias("hay")), "hays")
     needles = stored(hays.select(F.col("hay").alias("needle")), "needles")
     for plan in (with_anchor(needles), contained_pairs(needles, hays), names_inside(needles, hays)):
         assert "Generate" not in below_broadcasts(plan)
+    assert contained_pairs(needles, hays).count() == names_inside(needles, hays).count() == 50 + 40
 
 
 def test_hits_of_blocks_are_not_broadcast(spark):
@@ -517,3 +521,16 @@ def test_hits_of_blocks_are_not_broadcast(spark):
         F.lit("s").alias("summary_short"), F.array("haystack").alias("aliases"), "keywords",
     )
     assert "MapInArrow" not in below_broadcasts(search_titles(asked, stored(entries, "entries")))
+
+
+def test_catalog_ids_are_not_broadcast(spark):
+    from folia.sources.shared import stored
+
+    name = F.concat(F.lit("place "), F.col("id").cast("string"))
+    places = spark.range(50).select(
+        F.concat(F.lit("c/"), F.col("id").cast("string")).alias("doc_id"), name.alias("title"), F.array(name).alias("aliases"), F.lit("s").alias("summary_short")
+    )
+    asked = stored(spark.range(60).select(F.col("id").alias("query_id"), F.concat(F.lit("c/"), F.col("id").cast("string")).alias("question")), "asked_ids")
+    found = resolve_documents(asked, stored(places, "places"), prefix="x/")
+    assert "places-" not in below_broadcasts(found)
+    assert sorted(rows(found.filter("score IS NULL"), "query_id", "doc_id")) == [(i, f"c/{i}") for i in range(50)]
