@@ -534,3 +534,13 @@ def test_catalog_ids_are_not_broadcast(spark):
     found = resolve_documents(asked, stored(places, "places"), prefix="x/")
     assert "places-" not in below_broadcasts(found)
     assert sorted(rows(found.filter("score IS NULL"), "query_id", "doc_id")) == [(i, f"c/{i}") for i in range(50)]
+
+
+def test_question_grams_are_not_broadcast(spark):
+    from folia.sources.shared import stored
+
+    asked = stored(spark.range(20).select(F.col("id").alias("query_id"), F.concat(F.lit("alpha beta "), F.col("id").cast("string")).alias("question")), "asked")
+    scope = stored(spark.range(10).select(F.col("id").alias("query_id"), F.lit("d").alias("doc_id")), "scope")
+    cut = stored(section_table(spark), "sections")
+    for found in (search_sections(asked, cut, limit=3), search_sections(asked, cut, limit=3, scope=scope)):
+        assert "q_grams" not in below_broadcasts(found)
